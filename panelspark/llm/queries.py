@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelspark.llm.shared import table
 
@@ -15,6 +16,31 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("keep_copies")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.bpe import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.sstable import read_shards, write_shards
+
+    return read_shards(write_shards(table(spark, sf_dir, "documents"))).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.sharding import shard_by_bytes
 
@@ -23,6 +49,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_packing": op6_packing,
+    "op9_token_shards": op9_token_shards,
     "op10_sharding": op10_sharding,
 }
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +61,27 @@ def held_out(doc_id):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this subpackage importable in the Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "training_data_operators.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        z.write(here.parent / "__init__.py", f"{here.parent.name}/__init__.py")
+        for f in sorted(here.glob("*.py")):
+            z.write(f, f"{here.parent.name}/{here.name}/{f.name}")
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow``, with this subpackage at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
