@@ -33,6 +33,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.suffix_repeats import find_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return find_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.sstable import read_shards, write_shards
 
@@ -51,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op9_token_shards": op9_token_shards,
     "op10_sharding": op10_sharding,
 }
