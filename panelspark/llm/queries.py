@@ -16,6 +16,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("keep_copies")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.bpe import encode_and_decode
 
@@ -62,6 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op7_suffix_repeats": op7_suffix_repeats,
