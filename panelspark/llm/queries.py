@@ -16,6 +16,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("keep_copies")
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.multi_index import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.near_dedup import near_duplicates
 
@@ -68,6 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_multi_index": op3_multi_index,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
