@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import table
+from panelspark.llm.shared import held_out, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +66,14 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.rules import fit_rules, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_rules(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.sstable import read_shards, write_shards
 
@@ -73,12 +89,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_multi_index": op3_multi_index,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op7_suffix_repeats": op7_suffix_repeats,
+    "op8_quality_rules": op8_quality_rules,
     "op9_token_shards": op9_token_shards,
     "op10_sharding": op10_sharding,
 }
