@@ -2,15 +2,17 @@
 
 A shard holds the documents of one range of ids. Its file is, in this order:
 
-- data blocks of about ``BLOCK_BYTES``: entries of shared prefix with the key before
-  (1 byte), rest of the key (1 byte for its length), bytes of the value (4), the rest of
-  the key, the value; a block's first key is whole; a CRC-32 ends the block;
+- data blocks of about ``BLOCK_BYTES``, each compressed by zstd: entries of shared prefix
+  with the key before (1 byte), length of the rest of the key (1 byte), bytes of an id in
+  the value (1 byte: 2, or 4 where an id needs them), bytes of the value (4), the rest of
+  the key, the value; a block's first key is whole; the CRC-32 of the entries ends the block;
 - the Bloom filter: bits of all keys;
-- the sparse index: for each block its first key, place, bytes and entries;
+- the sparse index: for each block its first key, place, bytes, entries, and bytes before
+  compression;
 - the footer of fixed length: places and bytes of filter and index, entries, ids, magic.
 
 A key is 9 bytes that sort as the ids do (null first); a value is the document's ids as
-little-endian unsigned 32-bit integers. A lookup reads the footer, the filter, the index
+little-endian unsigned integers. A lookup reads the footer, the filter, the index
 (binary search) and the blocks that can hold the key.
 """
 
@@ -30,7 +32,7 @@ from panelspark.llm.tokens import encoder, text_batches, vocabulary_path
 BLOCK_BYTES = 64 * 1024
 BITS_PER_KEY, PROBES = 10, 7
 MAGIC = b"SSTIDS01"
-_ENTRY, _BLOCK, _FOOTER = struct.Struct("<BBI"), struct.Struct("<9sQII"), struct.Struct("<QQQQQQ8s")
+_ENTRY, _BLOCK, _FOOTER = struct.Struct("<BBBI"), struct.Struct("<9sQIII"), struct.Struct("<QQQQQQ8s")
 _MANIFEST = "part int, path string, first_id long, last_id long, rows long, tokens long, bytes long"
 
 
@@ -71,7 +73,13 @@ class Writer:
         self.at += len(data)
         return at, len(data)
 
-    def add(self, key: bytes, value: bytes) -> None:
+    def add(self, key: bytes, ids: bytes) -> None:
+        """``ids`` as little-endian unsigned 32-bit integers."""
+        import numpy as np
+
+        wide = np.frombuffer(ids, "<u4")
+        width = 4 if len(wide) and wide.max() > 0xFFFF else 2
+        value = ids if width == 4 else wide.astype("<u2").tobytes()
         if self.in_block and len(self.block) + len(value) > BLOCK_BYTES:
             self._end_block()
         shared = 0
@@ -80,16 +88,19 @@ class Writer:
                 shared += 1
         else:
             self.first = key
-        self.block += _ENTRY.pack(shared, 9 - shared, len(value)) + key[shared:] + value
+        self.block += _ENTRY.pack(shared, 9 - shared, width, len(value)) + key[shared:] + value
         self.last = key
         self.in_block += 1
         self.entries += 1
-        self.tokens += len(value) // 4
+        self.tokens += len(wide)
         self.keys.append(key)
 
     def _end_block(self) -> None:
-        at, size = self._write(bytes(self.block) + struct.pack("<I", zlib.crc32(self.block)))
-        self.index.append(_BLOCK.pack(self.first, at, size, self.in_block))
+        import pyarrow as pa
+
+        packed = pa.compress(bytes(self.block), codec="zstd", asbytes=True)
+        at, size = self._write(packed + struct.pack("<I", zlib.crc32(self.block)))
+        self.index.append(_BLOCK.pack(self.first, at, size, self.in_block, len(self.block)))
         self.block, self.in_block = bytearray(), 0
 
     def close(self) -> None:
@@ -123,17 +134,22 @@ class Reader:
         return self.file.read_at(size, at)
 
     def _entries(self, block: tuple) -> Iterator[tuple[bytes, bytes]]:
-        _, at, size, entries = block
-        data = self._read(at, size)
-        if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+        import numpy as np
+        import pyarrow as pa
+
+        _, at, size, entries, length = block
+        stored = self._read(at, size)
+        data = pa.decompress(stored[:-4], length, codec="zstd", asbytes=True)
+        if zlib.crc32(data) != struct.unpack("<I", stored[-4:])[0]:
             raise ValueError("a block of token ids doesn't match its checksum")
         key, p = b"", 0
         for _ in range(entries):
-            shared, rest, length = _ENTRY.unpack_from(data, p)
+            shared, rest, width, length = _ENTRY.unpack_from(data, p)
             p += _ENTRY.size
             key = key[:shared] + data[p : p + rest]
             p += rest
-            yield key, data[p : p + length]
+            value = data[p : p + length]
+            yield key, value if width == 4 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
             p += length
 
     def __iter__(self) -> Iterator[tuple[bytes, bytes]]:

@@ -22,7 +22,7 @@ _WORDS = re.compile(f"[^{WHITE_SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
-KEPT_PIECES = 250_000
+KEPT_PIECES = 500_000
 KEPT_LENGTH = 64
 BATCH_BYTES = 4_000_000
 
@@ -78,8 +78,7 @@ def splitter(config: dict):
         return cut_before_spaces
     steps = pre.get("pretokenizers") or []
     drops_space = steps and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
-    known = {"NFC", "Replace", "Lowercase"}
-    if drops_space and normalizer and {x["type"] for x in normalizer.get("normalizers", [])} <= known:
+    if drops_space and normalizer and {x["type"] for x in normalizer.get("normalizers", [])} == {"NFC", "Replace", "Lowercase"}:
         return words
     return None
 
@@ -98,10 +97,36 @@ class Encoder:
         self.split = splitter(config)
         self.specials = [x["content"] for x in config.get("added_tokens", [])]
         self.kept = Recent()
+        self.lower = self.split is words  # such vocabularies take letters as lower-case ones
+        self.marks = dict(zip(("", ",", "."), self._library(["", ",", "."]), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [little_endian(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Keep the ids of pieces: by the library, or of their word and the mark behind it."""
+        kept, old, lower = self.kept, self.kept.old, self.lower
+        made, unknown = [], set()
+        for p in fresh:
+            if p.isascii():
+                mark = p[-1] if p[-1] in ",." else ""
+                word = p[:-1] if mark else p
+                if (word[1:] if word[:1] == " " else word).isalpha():
+                    if lower:
+                        word = word.lower()
+                    if word != p:
+                        made.append((p, word, mark))
+                        if word not in kept and word not in old:
+                            unknown.add(word)
+                        continue
+            unknown.add(p)
+        ask = list(unknown)
+        for at in range(0, len(ask), 10_000):
+            part = ask[at : at + 10_000]
+            kept.update(zip(part, self._library(part), strict=True))
+        for p, word, mark in made:
+            kept[p] = kept[word] + self.marks[mark]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [self.split is None or any(s in t for s in self.specials) for t in texts]
         pieces = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
@@ -112,9 +137,7 @@ class Encoder:
             new.update(p)
         new.difference_update(kept)
         fresh = [p for p in new if p not in old]
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            kept.update(zip(part, self._library(part), strict=True))
+        self._learn(fresh)
         out = [b"".join([kept[p] for p in ps]) for ps in pieces]
         for p in fresh:
             if len(p) > KEPT_LENGTH:

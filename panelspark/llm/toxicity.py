@@ -21,11 +21,11 @@ from panelspark.llm.shared import held_out, map_batches, materialise, text_or_em
 from panelspark.llm.tokens import text_batches
 
 PER_CLASS = 4_000
-FEATURES = 60_000
+FEATURES = 20_000
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 20
 LEAST_DOCUMENTS = 3
-PENALTY = 1e-4
+PENALTY = 1e-5
 _BLOCK = 2_000_000
 
 
@@ -90,14 +90,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_logistic(rows, columns, values, labels, n_features: int, penalty: float = PENALTY, steps: int = 400):
+def fit_logistic(rows, columns, values, labels, n_features: int, penalty: float = PENALTY, steps: int = 150):
     """Weights and intercept by accelerated gradient steps; rows of the matrix have length 1 at most."""
     import numpy as np
 
     n = len(labels)
     w, b = np.zeros(n_features), 0.0
     vw, vb, momentum = w, b, 1.0
-    rate = 1 / (0.25 * 2 / 1 + penalty)  # the loss is a mean, its curvature at most (1 + 1) / 4
+    rate = 1 / (0.5 + penalty)  # the curvature of the mean loss is at most (1 + 1) / 4
     for _ in range(steps):
         z = np.bincount(rows, values * vw[columns], n) + vb
         error = (1 / (1 + np.exp(-z)) - labels) / n
