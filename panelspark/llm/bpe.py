@@ -19,6 +19,7 @@ from panelspark.llm.shared import map_batches, text_or_empty
 from panelspark.llm.tokens import (
     KEPT_LENGTH,
     Recent,
+    byte_characters,
     cut_before_spaces,
     little_endian,
     text_batches,
@@ -32,13 +33,6 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 _NONE = 1 << 62
 
 
-def byte_characters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
-
-
 def merge_symbols(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Merge until no adjacent pair is in ``pairs``: (left, right) -> (rank, merged)."""
     n = len(symbols)

@@ -13,6 +13,7 @@ import functools
 import json
 import re
 import sys
+import unicodedata
 from collections.abc import Iterator
 
 #: The characters with the Unicode property White_Space.
@@ -20,6 +21,7 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0              
 
 _WORDS = re.compile(f"[^{WHITE_SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
+_RUN = re.compile(r"[ \n]\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 KEPT_PIECES = 500_000
@@ -83,6 +85,13 @@ def splitter(config: dict):
     return None
 
 
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -94,58 +103,100 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.split = splitter(config)
         self.specials = [x["content"] for x in config.get("added_tokens", [])]
-        self.kept = Recent()
+        self.kept, self.spaced = Recent(), Recent()  # pieces as they are; words behind a blank
         self.lower = self.split is words  # such vocabularies take letters as lower-case ones
+        self.shown = dict(enumerate(byte_characters()))
         self.marks = dict(zip(("", ",", "."), self._library(["", ",", "."]), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [little_endian(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Keep the ids of pieces: by the library, or of their word and the mark behind it."""
-        kept, old, lower = self.kept, self.kept.old, self.lower
-        made, unknown = [], set()
+    def _word(self, word: str, blank: str) -> bytes:
+        """Of a word of Latin letters, which is one piece to the library's pre-tokenizers, by its model alone."""
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(self.shown)
+        if blank:
+            word = self.shown[32] + word
+        return little_endian([t.id for t in self.model.tokenize(word)])
+
+    def _learn(self, kept: Recent, pieces: list[set], blank: str = "") -> list[str]:
+        """Keep the ids of pieces that are new, each with ``blank`` before it."""
+        kept.trim()
+        new: set[str] = set().union(*pieces)
+        new.difference_update(kept)
+        old, marks = kept.old, self.marks
+        fresh = [p for p in new if p not in old]
+        unknown = []
         for p in fresh:
-            if p.isascii():
-                mark = p[-1] if p[-1] in ",." else ""
-                word = p[:-1] if mark else p
-                if (word[1:] if word[:1] == " " else word).isalpha():
-                    if lower:
-                        word = word.lower()
-                    if word != p:
-                        made.append((p, word, mark))
-                        if word not in kept and word not in old:
-                            unknown.add(word)
-                        continue
-            unknown.add(p)
-        ask = list(unknown)
-        for at in range(0, len(ask), 10_000):
-            part = ask[at : at + 10_000]
-            kept.update(zip(part, self._library(part), strict=True))
-        for p, word, mark in made:
-            kept[p] = kept[word] + self.marks[mark]
+            mark = p[-1] if p[-1:] in marks and p else ""
+            word = p[:-1] if mark else p
+            if self.lower:
+                word = word.lower()
+            if word.isalpha() and (word.isascii() or max(word) < "\u0180" and p.isascii() is False and unicodedata.is_normalized("NFC", p)):
+                ids = kept.get(word) or old.get(word)
+                if ids is None:
+                    ids = kept[word] = self._word(word, blank)
+                if word != p:
+                    kept[p] = ids + marks[mark]
+            else:
+                unknown.append(p)
+        for at in range(0, len(unknown), 10_000):
+            part = unknown[at : at + 10_000]
+            kept.update(zip(part, self._library([blank + p for p in part] if blank else part), strict=True))
+        return [p for p in fresh if len(p) > KEPT_LENGTH]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [self.split is None or any(s in t for s in self.specials) for t in texts]
-        pieces = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
-        self.kept.trim()
-        kept, old = self.kept, self.kept.old
-        new: set[str] = set()
-        for p in pieces:
-            new.update(p)
-        new.difference_update(kept)
-        fresh = [p for p in new if p not in old]
-        self._learn(fresh)
+        if self.split is None:
+            return self._library(texts)
+        odd = [any(s in t for s in self.specials) for t in texts]
+        plain = [t for t, o in zip(texts, odd, strict=True) if not o]
+        done = iter(self._plain_words(plain) if self.lower else self._plain_lines(plain))
+        rest = iter(self._library([t for t, o in zip(texts, odd, strict=True) if o]) if any(odd) else ())
+        return [next(rest if o else done) for o in odd]
+
+    def _plain_words(self, texts: list[str]) -> list[bytes]:
+        pieces = [words(t) for t in texts]
+        long = self._learn(self.kept, [set(p) for p in pieces])
+        kept = self.kept
         out = [b"".join([kept[p] for p in ps]) for ps in pieces]
-        for p in fresh:
-            if len(p) > KEPT_LENGTH:
-                del kept[p]
-        if any(whole):
-            at = [i for i, w in enumerate(whole) if w]
-            for i, ids in zip(at, self._library([texts[i] for i in at]), strict=True):
-                out[i] = ids
+        for p in long:
+            kept.pop(p, None)
+        return out
+
+    def _plain_lines(self, texts: list[str]) -> list[bytes]:
+        """Texts whose white space stands alone are cut at blanks and line ends, others piece by piece."""
+        cut: list[list] = []  # of each text: a first piece, the words behind blanks, the next line's first, ...
+        starts, behind = set(), set()
+        for t in texts:
+            parts: list = []
+            if _RUN.search(t) or t[-1:].isspace() or not t:
+                ps = cut_before_spaces(t)
+                starts.update(ps)
+                parts = [(p, ()) for p in ps]
+            else:
+                end = ""
+                for line in t.split("\n"):
+                    first, *rest = line.split(" ")
+                    starts.add(first := end + first)
+                    behind.update(rest)
+                    parts.append((first, rest))
+                    end = "\n"
+            cut.append(parts)
+        long = [(self.kept, p) for p in self._learn(self.kept, [starts])]
+        long += [(self.spaced, p) for p in self._learn(self.spaced, [behind], " ")]
+        kept, spaced = self.kept, self.spaced
+        out = []
+        for parts in cut:
+            ids = []
+            for first, rest in parts:
+                ids.append(kept[first])
+                ids += [spaced[p] for p in rest]
+            out.append(b"".join(ids))
+        for where, p in long:
+            where.pop(p, None)
         return out
 
 
