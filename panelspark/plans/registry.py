@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.plans import panel
+from panelspark.plans import context, evaluation, panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (panel,):
+for module in (panel, context, evaluation):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
