@@ -190,7 +190,8 @@ def fit_rules(
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-    data = materialise(with_statistics(rows, "doc_id", "text", ("label",)), "quality-sample")
+    # a few MB at most, which many rounds of fitting read: a few partitions
+    data = materialise(with_statistics(rows, "doc_id", "text", ("label",)), "quality-sample").coalesce(4)
     shares = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     n0, n1 = shares.get(0, 0), shares.get(1, 0)
     if not (n0 and n1):
