@@ -189,6 +189,36 @@ def b16_metrics(spark, d):
     return rounded(B.metrics(curve, B.trades(held, config), config), ["periods", "number_of_trades"], SUMMARY, 5)
 
 
+HELD = backtest_sql()[2]
+HYSTERESIS = HELD[: HELD.index("t1 AS")] + f"""t1 AS (SELECT *, ({S.pct_rank('p', 'period')}) * 100 AS pct, dense_rank() OVER (ORDER BY period) AS step FROM t0),
+    t2 AS (SELECT *, coalesce((step - lag(step) OVER (PARTITION BY stock ORDER BY step) <> 1)::INT, 1) AS starts FROM t1),
+    t3 AS (SELECT *, sum(starts) OVER (PARTITION BY stock ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM t2),
+    t4 AS (SELECT *, coalesce(last_value(CASE WHEN pct >= 80 THEN true WHEN pct < 50 THEN false END IGNORE NULLS) OVER (PARTITION BY stock, run ORDER BY step ROWS UNBOUNDED PRECEDING), false) AS chosen FROM t3)"""
+
+
+@query("b7_hysteresis", S.statement(S.BARS, SCORED, HYSTERESIS, "SELECT CAST(step AS INTEGER) AS step, d, stock, round(1.0 / count(*) OVER (PARTITION BY step), 6) AS weight FROM t4 WHERE chosen"))
+def b7_hysteresis(spark, d):
+    """Stocks enter at the 80th percentile and stay to the 50th."""
+    held = B.positions(scored(spark, d), T.nation_bars(spark, d), B.Config(entry=80.0, leave=50.0, least=1))
+    return held.where("chosen").select("step", "d", "stock", F.round("weight", 6).alias("weight"))
+
+
+VOLUME_SCORED = SCORED.replace(f"{S.log_ratio('c', 21)} AS r", f"CASE WHEN {S.log_ratio('c', 21).replace('CASE WHEN', 'CASE WHEN', 1)} IS NOT NULL THEN v END AS r")
+CURVE_SQL = "SELECT d, round(ln(growth), 6) AS strategy, round(ln(benchmark_growth), 6) AS benchmark FROM curve"
+
+
+@query("b18_two_strategies", f"SELECT a.d, a.strategy, a.benchmark, b.strategy AS baseline FROM ({S.statement(*backtest_sql(), CURVE_SQL)}) a LEFT JOIN ({S.statement(*[x if x != SCORED else VOLUME_SCORED for x in backtest_sql()], CURVE_SQL)}) b USING (d)")
+def b18_two_strategies(spark, d):
+    """Log growth of the score's strategy, the benchmark, and a strategy that follows volume."""
+    config, prices = B.Config(), T.nation_bars(spark, d)
+    first = scored(spark, d)
+    second = first.drop("p").join(prices.select(*EXACT, "v"), EXACT).withColumn("p", W.pct_rank(F.col("v"), ["d"]))
+    log = lambda x: F.round(F.ln(F.col(x) / config.capital), 6)
+    a = B.equity_curve(B.positions(first, prices, config), config).select("d", log("equity").alias("strategy"), log("benchmark_equity").alias("benchmark"))
+    b = B.equity_curve(B.positions(second, prices, config), config).select("d", log("equity").alias("baseline"))
+    return a.join(b, "d", "left")
+
+
 @query("b17_long_flat", S.statement(S.BARS, SCORED, f"""ranked AS (SELECT stock, d, ({S.pct_rank('p')}) * 100 AS pct, row_number() OVER ({S.P}) - 1 AS i FROM scored),
     f AS (SELECT r.stock, r.d, pct, fill FROM ranked r LEFT JOIN (SELECT stock, d, lead(o) OVER ({S.P}) AS fill FROM bars) USING (stock, d) WHERE i % 5 = 0),
     x AS (SELECT * FROM (SELECT *, lead(fill) OVER ({S.P}) AS exit FROM f) WHERE fill IS NOT NULL AND exit IS NOT NULL),

@@ -9,7 +9,9 @@ from panelspark.functions import windows as W
 from panelspark.operators import context as X
 from panelspark.operators import evaluation as E
 from panelspark.operators import indicators as I
+from panelspark.plans import selection as SEL
 from panelspark.plans import sql as S
+from panelspark.plans.context import VIX_F, index_sql
 from panelspark.plans.evaluation import SCORED, scored
 from panelspark.plans.panel import rounded, technical_names
 from panelspark.sources import io
@@ -97,6 +99,36 @@ def q13_relative_strength(spark, d):
     return rounded(both, ["stock", "d"], ["strength"])
 
 
+SNAP = ["index_return_1", "index_return_20", "index_sma_ratio", "vix_return", "vix_volatility"]
+
+
+@query("q5_market_snapshot", S.statement(S.SHIPMENTS, S.MARKET, S.VIX, index_sql("market", "idx", "index"), VIX_F, "x AS (SELECT * FROM idx JOIN vix_f USING (d) WHERE d = (SELECT max(d) FROM market))",
+    " UNION ALL ".join(f"SELECT d, '{n}' AS reading, round({n}, 6) + 0.0 AS \"value\", CASE WHEN {n} > 0 THEN 'up' ELSE 'down' END AS trend FROM x" for n in SNAP)))
+def q5_market_snapshot(spark, d):
+    """The latest reading of each context series and its direction in words."""
+    both = X.index_features(T.market_series(spark, d), "index").join(X.volatility_features(T.volatility_series(spark, d)), "d")
+    last = both.orderBy(F.desc("d")).limit(1)
+    long = last.select("d", *SNAP).unpivot("d", SNAP, "reading", "value")
+    return long.select("d", "reading", (F.round("value", 6) + F.lit(0.0)).alias("value"), F.when(F.col("value") > 0, "up").otherwise("down").alias("trend"))
+
+
+@query("q10_top_features", S.statement(*SEL.BASE, SEL.AUCS, "SELECT feature, round(abs(auc - 0.5), 6) AS importance, row_number() OVER (ORDER BY round(abs(auc - 0.5), 9) DESC, feature) AS place FROM a QUALIFY place <= 5"))
+def q10_top_features(spark, d):
+    """The features of the largest single-feature importance."""
+    x = SEL.sample(spark, d)
+    found = SEL.X.single_feature_auc(SEL.X.long_form(x, SEL.EXACT, [*SEL.USED, *SEL.EXTRA]), x.select(*SEL.EXACT, "y"), SEL.EXACT)
+    found = found.withColumn("importance", F.abs(F.col("roc_auc") - 0.5))
+    top = found.orderBy(F.desc(F.round("importance", 9)), "feature").limit(5)
+    return top.select("feature", F.round("importance", 6).alias("importance"), F.row_number().over(Window.orderBy(F.desc(F.round("importance", 9)), "feature")).alias("place"))
+
+
+@query("q12_feature_percentiles", S.statement(*SEL.BASE, f"SELECT stock, d, feature, round({S.pct_rank('x', 'feature')}, 6) AS pct FROM long WHERE x IS NOT NULL AND feature IN ('RSI', 'Ret_5')"))
+def q12_feature_percentiles(spark, d):
+    """Where each row's value lies among the feature's values."""
+    x = SEL.long(spark, d).where("x is not null and feature in ('RSI', 'Ret_5')")
+    return x.select("stock", "d", "feature", F.round(W.pct_rank(F.col("x"), ["feature"]), 6).alias("pct"))
+
+
 @query("a2_pivot_panel", S.statement(S.BARS, "SELECT d, max(CASE WHEN sector = 0 THEN c END) AS s0, max(CASE WHEN sector = 1 THEN c END) AS s1, max(CASE WHEN sector = 2 THEN c END) AS s2 FROM (SELECT d, sector, arg_max(c, stock) AS c FROM bars GROUP BY ALL) GROUP BY 1"))
 def a2_pivot_panel(spark, d):
     wide = T.nation_bars(spark, d).groupBy("d").pivot("sector", [0, 1, 2]).agg(F.max_by("c", "stock"))
