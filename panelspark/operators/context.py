@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 from panelspark.functions import windows as W
 from panelspark.functions.windows import EPS
 
-C = F.col("c")
 INDEX = ["return_1", "return_5", "return_20", "volatility", "momentum", "sma_ratio"]
 
 
 def market_quartet(series: DataFrame) -> DataFrame:
     """d and the four market features of one index series, a table of one row a day."""
     w = Window.orderBy("d")
-    r = series.select("d", "c", W.log_ratio(C, W.lag(C, 1, w)).alias("__r"))
+    r = series.select("d", "c", W.log_ratio(F.col("c"), W.lag(F.col("c"), 1, w)).alias("__r"))
     return r.select(
         "d",
-        W.log_ratio(C, W.lag(C, 21, w)).alias("Mkt_Ret_21"),
-        W.log_ratio(C, W.lag(C, 63, w)).alias("Mkt_Ret_63"),
-        W.ratio(C, W.mean(C, 200, w)).alias("Mkt_SMA200_Ratio"),
+        W.log_ratio(F.col("c"), W.lag(F.col("c"), 21, w)).alias("Mkt_Ret_21"),
+        W.log_ratio(F.col("c"), W.lag(F.col("c"), 63, w)).alias("Mkt_Ret_63"),
+        W.ratio(F.col("c"), W.mean(F.col("c"), 200, w)).alias("Mkt_SMA200_Ratio"),
         W.std(F.col("__r"), 20, w).alias("Mkt_Vol_20"),
     )
 
@@ -29,35 +28,35 @@ def index_features(series: DataFrame, prefix: str, by: list[str] | None = None,
     """Returns, volatility, momentum and average ratio of an index, or of many series keyed by ``by``."""
     by = by or []
     w = Window.partitionBy(*by).orderBy("d")
-    r = series.withColumn("__r", W.log_ratio(C, W.lag(C, 1, w)))
-    r = r.withColumn("__r20", W.log_ratio(C, W.lag(C, 20, w))).withColumn("__vol", W.std(F.col("__r"), 20, w))
-    sma50, sma200 = W.mean(C, 50, w), W.mean(C, 200, w)
+    r = series.withColumn("__r", W.log_ratio(F.col("c"), W.lag(F.col("c"), 1, w)))
+    r = r.withColumn("__r20", W.log_ratio(F.col("c"), W.lag(F.col("c"), 20, w))).withColumn("__vol", W.std(F.col("__r"), 20, w))
+    sma50, sma200 = W.mean(F.col("c"), 50, w), W.mean(F.col("c"), 200, w)
     columns = {
         "return_1": F.col("__r"),
-        "return_5": W.log_ratio(C, W.lag(C, 5, w)),
+        "return_5": W.log_ratio(F.col("c"), W.lag(F.col("c"), 5, w)),
         "return_20": F.col("__r20"),
         "volatility": F.col("__vol"),
         "momentum": F.col("__r20") / (F.col("__vol") * 20**0.5 + EPS),
-        "sma_ratio": W.ratio(C, sma50),
+        "sma_ratio": W.ratio(F.col("c"), sma50),
     }
     if extras:
-        trend = F.when((C > sma50) & (sma50 > sma200), 1.0).when((C < sma50) & (sma50 < sma200), -1.0).otherwise(0.0)
-        columns |= {"sma200_ratio": W.ratio(C, sma200), "trend_direction": F.when(sma200.isNotNull(), trend)}
+        trend = F.when((F.col("c") > sma50) & (sma50 > sma200), 1.0).when((F.col("c") < sma50) & (sma50 < sma200), -1.0).otherwise(0.0)
+        columns |= {"sma200_ratio": W.ratio(F.col("c"), sma200), "trend_direction": F.when(sma200.isNotNull(), trend)}
     return r.select(*by, "d", *[W.finite(x).alias(f"{prefix}_{n}") for n, x in columns.items()])
 
 
 def volatility_features(series: DataFrame) -> DataFrame:
     w = Window.orderBy("d")
-    r = series.withColumn("__r", W.log_ratio(C, W.lag(C, 1, w)))
+    r = series.withColumn("__r", W.log_ratio(F.col("c"), W.lag(F.col("c"), 1, w)))
     return r.select(
-        "d", C.alias("vix"), W.diff(C, w).alias("vix_change"), F.col("__r").alias("vix_return"), W.std(F.col("__r"), 20, w).alias("vix_volatility")
+        "d", F.col("c").alias("vix"), W.diff(F.col("c"), w).alias("vix_change"), F.col("__r").alias("vix_return"), W.std(F.col("__r"), 20, w).alias("vix_volatility")
     )
 
 
 def fx_features(series: DataFrame) -> DataFrame:
     w = Window.orderBy("d")
-    r = series.withColumn("__r", W.log_ratio(C, W.lag(C, 1, w)))
-    names = {f"fx_return_{n}": W.log_ratio(C, W.lag(C, n, w)) for n in (1, 5, 20)}
+    r = series.withColumn("__r", W.log_ratio(F.col("c"), W.lag(F.col("c"), 1, w)))
+    names = {f"fx_return_{n}": W.log_ratio(F.col("c"), W.lag(F.col("c"), n, w)) for n in (1, 5, 20)}
     return r.select("d", *[x.alias(n) for n, x in names.items()], W.std(F.col("__r"), 20, w).alias("fx_volatility"))
 
 
@@ -90,7 +89,7 @@ def sector_levels(bars: DataFrame) -> DataFrame:
     placed = bars.select("stock", "sector", "d", "c").join(calendar, ["sector", "d"])
     w = Window.partitionBy("sector", "stock").orderBy("day")
     follows = F.col("day") - F.lag("day").over(w) == 1
-    returns = placed.withColumn("r", F.when(follows, W.log_ratio(C, F.lag("c").over(w))))
+    returns = placed.withColumn("r", F.when(follows, W.log_ratio(F.col("c"), F.lag("c").over(w))))
     totals = returns.groupBy("sector", "d").agg(F.sum("r").alias("total"), F.count("r").alias("members"))
     grid = calendar.join(bars.select("stock", "sector").distinct(), "sector")
     grid = grid.join(returns.select("sector", "stock", "d", "r"), ["sector", "stock", "d"], "left").join(totals, ["sector", "d"])
@@ -120,7 +119,7 @@ def market_features(bars: DataFrame, market: DataFrame | None, vix: DataFrame |
     """
     w = W.over()
     out = bars.select("stock", "sector", "d", "c")
-    out = out.withColumn("__r1", W.log_ratio(C, W.lag(C, 1, w))).withColumn("__r20", W.log_ratio(C, W.lag(C, 20, w)))
+    out = out.withColumn("__r1", W.log_ratio(F.col("c"), W.lag(F.col("c"), 1, w))).withColumn("__r20", W.log_ratio(F.col("c"), W.lag(F.col("c"), 20, w)))
 
     def attach(out, found, names):
         if found is None:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from panelspark.functions import windows as W
 from panelspark.functions.windows import EPS
 
-C, H, L, V = F.col("c"), F.col("h"), F.col("l"), F.col("v")
 
 #: The names of the baseline features that need no market series.
 STOCK_FEATURES = [
@@ -23,12 +22,12 @@ MIN_HISTORY = 260
 
 def true_range(w) -> Column:
     """The greatest of the bar's range and its distances to the close before; the first bar has its range alone."""
-    before = W.lag(C, 1, w)
-    return F.greatest(H - L, F.abs(H - before), F.abs(L - before))
+    before = W.lag(F.col("c"), 1, w)
+    return F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - before), F.abs(F.col("l") - before))
 
 
 def gains_and_losses(df: DataFrame, w) -> DataFrame:
-    change = W.diff(C, w)
+    change = W.diff(F.col("c"), w)
     return df.withColumn("__gain", F.when(change.isNotNull(), F.greatest(change, F.lit(0.0)))).withColumn(
         "__loss", F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))
     )
@@ -57,8 +56,8 @@ def returns(df: DataFrame, by="stock", order="d") -> DataFrame:
     w = W.over(by, order)
     return df.select(
         "*",
-        W.pct_change(C, w).alias("Daily_Return"),
-        *[W.log_ratio(C, W.lag(C, n, w)).alias(f"Ret_{n}") for n in (1, 5, 21, 63, 126, 252)],
+        W.pct_change(F.col("c"), w).alias("Daily_Return"),
+        *[W.log_ratio(F.col("c"), W.lag(F.col("c"), n, w)).alias(f"Ret_{n}") for n in (1, 5, 21, 63, 126, 252)],
     )
 
 
@@ -69,8 +68,8 @@ def baseline(df: DataFrame, by="stock", order="d") -> DataFrame:
     r1, close = F.col("Ret_1"), F.col("c")
     sma = {n: W.mean(close, n, w) for n in (20, 50, 200)}
     vol20, vol60, std20 = W.std(r1, 20, w), W.std(r1, 60, w), W.std(close, 20, w)
-    low14, high14 = W.rolling(F.min, L, 14, w), W.rolling(F.max, H, 14, w)
-    volume = V.cast("double")
+    low14, high14 = W.rolling(F.min, F.col("l"), 14, w), W.rolling(F.max, F.col("h"), 14, w)
+    volume = F.col("v").cast("double")
     df = df.withColumn("__tr", true_range(w))
     features = {
         "Volatility": vol20,
@@ -87,8 +86,8 @@ def baseline(df: DataFrame, by="stock", order="d") -> DataFrame:
         "RSI": F.col("__rsi"),
         "Stoch_K": 100 * (close - low14) / (high14 - low14 + EPS),
         "BB_PctB": (close - (sma[20] - 2 * std20)) / (4 * std20 + EPS),
-        "High252_Dist": W.ratio(close, W.rolling(F.max, H, 252, w)) - 1,
-        "Low252_Dist": W.ratio(close, W.rolling(F.min, L, 252, w)) - 1,
+        "High252_Dist": W.ratio(close, W.rolling(F.max, F.col("h"), 252, w)) - 1,
+        "Low252_Dist": W.ratio(close, W.rolling(F.min, F.col("l"), 252, w)) - 1,
         "Volume_Ratio": W.log((W.mean(volume, 5, w) + 1) / (W.mean(volume, 60, w) + 1)),
     }
     out = df.select("*", *[W.finite(x).alias(n) for n, x in features.items()])
@@ -103,12 +102,12 @@ def technical(
     kept = df.columns
     df = macd_and_rsi(df, by, order)
     df = W.ewm(df, {"__ema_f": ("c", 2 / (fast + 1), fast), "__ema_s": ("c", 2 / (slow + 1), slow)}, by, order)
-    df = df.withColumn("__r", W.log_ratio(C, W.lag(C, 1, w))).withColumn("__tr", true_range(w))
+    df = df.withColumn("__r", W.log_ratio(F.col("c"), W.lag(F.col("c"), 1, w))).withColumn("__tr", true_range(w))
     df = df.withColumn("__vol", W.std(F.col("__r"), vol_window, w)).withColumn("__atr", W.mean(F.col("__tr"), 14, w))
-    df = df.withColumn("__mom", W.log_ratio(C, W.lag(C, momentum_bars, w)))
-    volume = V.cast("double")
+    df = df.withColumn("__mom", W.log_ratio(F.col("c"), W.lag(F.col("c"), momentum_bars, w)))
+    volume = F.col("v").cast("double")
     ema_f, ema_s, line, signal, r = (F.col(x) for x in ("__ema_f", "__ema_s", "__macd", "__signal", "__rsi"))
-    trend = F.when((C > ema_f) & (ema_f > ema_s), 1.0).when((C < ema_f) & (ema_f < ema_s), -1.0).otherwise(0.0)
+    trend = F.when((F.col("c") > ema_f) & (ema_f > ema_s), 1.0).when((F.col("c") < ema_f) & (ema_f < ema_s), -1.0).otherwise(0.0)
     regime = F.when(r > 60, 1.0).when(r < 40, -1.0).otherwise(0.0)
     features = {
         "RSI": r,
@@ -120,11 +119,11 @@ def technical(
         "volume_change": W.log((volume + 1) / (W.mean(volume, vol_window, w) + 1)),
         f"EMA_{fast}": ema_f,
         f"EMA_{slow}": ema_s,
-        "price_vs_EMA": W.ratio(C, ema_f) - 1,
-        "MACD_norm": W.ratio(line, C),
-        "MACD_signal_norm": W.ratio(signal, C),
-        "MACD_hist_norm": W.ratio(line - signal, C),
-        "ATR_pct": W.ratio(F.col("__atr"), C),
+        "price_vs_EMA": W.ratio(F.col("c"), ema_f) - 1,
+        "MACD_norm": W.ratio(line, F.col("c")),
+        "MACD_signal_norm": W.ratio(signal, F.col("c")),
+        "MACD_hist_norm": W.ratio(line - signal, F.col("c")),
+        "ATR_pct": W.ratio(F.col("__atr"), F.col("c")),
         "EMA_fast_vs_slow": W.ratio(ema_f, ema_s) - 1,
         "momentum": F.col("__mom"),
         "momentum_z": F.col("__mom") / (F.col("__vol") * momentum_bars**0.5 + EPS),
@@ -139,11 +138,11 @@ def chart_overlays(df: DataFrame, by="stock", order="d") -> DataFrame:
     w = W.over(by, order)
     kept = df.columns
     df = macd_and_rsi(df, by, order, rsi_least=1)
-    sma20, std20 = W.mean(C, 20, w), W.std(C, 20, w)
+    sma20, std20 = W.mean(F.col("c"), 20, w), W.std(F.col("c"), 20, w)
     return df.select(
         *kept,
-        W.mean(C, 50, w).alias("SMA_50"),
-        W.mean(C, 200, w).alias("SMA_200"),
+        W.mean(F.col("c"), 50, w).alias("SMA_50"),
+        W.mean(F.col("c"), 200, w).alias("SMA_200"),
         (sma20 + 2 * std20).alias("BB_Upper"),
         (sma20 - 2 * std20).alias("BB_Lower"),
         F.col("__rsi").alias("RSI"),
@@ -155,10 +154,10 @@ def chart_overlays(df: DataFrame, by="stock", order="d") -> DataFrame:
 def add_labels(df: DataFrame, horizons: dict[str, int], threshold: float = 0.005, by="stock", order="d") -> DataFrame:
     """1 if the close ``h`` rows ahead is above the close by more than the threshold, else 0; NULL if unknown."""
     w = W.over(by, order)
-    future = lambda h: F.lead(C, h).over(w)
+    future = lambda h: F.lead(F.col("c"), h).over(w)
     return df.select(
         "*",
-        *[F.when(future(h).isNotNull(), (future(h) > C * (1 + threshold)).cast("double")).alias(f"Target_{n}") for n, h in horizons.items()],
+        *[F.when(future(h).isNotNull(), (future(h) > F.col("c") * (1 + threshold)).cast("double")).alias(f"Target_{n}") for n, h in horizons.items()],
     )
 
 
