@@ -112,6 +112,32 @@ def test_backtest_by_hand(spark):
         assert abs(r.period_return - net) < 1e-12 and abs(r.equity - equity * config.capital) < 1e-3
 
 
+def test_hysteresis_with_the_fallback(spark):
+    import random
+
+    r = random.Random(3)
+    days = [DAY + dt.timedelta(days=i) for i in range(30)]
+    p = {(s, d): r.random() for s in range(8) for d in days if r.random() < 0.8}
+    rows = [(s, d, 1.0, 1.0, p.get((s, d))) for s in range(8) for d in days]
+    prices = spark.createDataFrame(rows, "stock int, d date, o double, c double, p double")
+    config = B.Config(rebalance=1, entry=75.0, leave=45.0, execution="close", least=3)
+    held = B.positions(prices.where("p is not null").select("stock", "d", "p"), prices, config).where("chosen")
+    got = {(x.d, x.stock) for x in held.collect()}
+    want, before = set(), set()
+    for d in days[:-1]:
+        day = {s: v for (s, e), v in p.items() if e == d}
+        if len(day) < 3:
+            continue
+        order = sorted(day, key=day.get)
+        pct = {s: (i + 1) / len(order) * 100 for i, s in enumerate(order)}
+        chosen = {s for s in day if pct[s] >= 75 or (s in before and pct[s] >= 45)}
+        if len(chosen) < 3:
+            chosen = set(order[-3:])
+        want |= {(d, s) for s in chosen}
+        before = chosen
+    assert got == want
+
+
 def test_forbidden_names(spark):
     assert column(S.forbidden_names(spark, ["next_close", "RSI", "Target_x"]), "feature", "feature") == ["Target_x", "next_close"]
 
@@ -145,6 +171,6 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     got = QUERIES[name](spark, folder)
     names = sorted(got.columns)
-    want = con.execute(ORACLE_SQL[name]).fetch_arrow_table().select(names).to_pylist()
+    want = con.execute(ORACLE_SQL[name]).to_arrow_table().select(names).to_pylist()
     plain = lambda rows: sorted(repr([(str(v)[:19] if isinstance(v, dt.date) else round(float(v), 5) + 0.0 if isinstance(v, (int, float)) else v) for v in r]) for r in rows)
     assert plain([r.values() for r in want]) == plain([[r[n] for n in names] for r in got.collect()])
