@@ -89,26 +89,26 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], by: str | list[
     w = over(by, order)
     upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     kept = df.columns
-    for x in dict.fromkeys(x for x, *_ in specs.values()):
-        df = df.withColumn(f"__n_{x}", F.count(x).over(upto) - 1)
-    for out, (x, a, _) in specs.items():
-        decay = 1 - a
-        place = F.col(f"__n_{x}") % EWM_BLOCK
+    inputs = dict.fromkeys(x for x, *_ in specs.values())
+    df = df.select("*", *[(F.count(x).over(upto) - 1).alias(f"__n_{x}") for x in inputs])
+    place = {x: F.col(f"__n_{x}") % EWM_BLOCK for x in inputs}
+
+    def local(x: str, a: float) -> Column:
         weight = F.when(F.col(f"__n_{x}") == 0, F.lit(1.0)).otherwise(F.lit(a))
-        scaled = F.col(x) * weight * F.pow(F.lit(decay), -place)
         block = Window.partitionBy(*by, F.floor(F.col(f"__n_{x}") / EWM_BLOCK)).orderBy(order)
-        df = df.withColumn(f"__local_{out}", F.sum(scaled).over(block.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(decay), place))
-    ends = {out: F.when((F.col(f"__n_{x}") % EWM_BLOCK == EWM_BLOCK - 1) & F.col(x).isNotNull(), F.col(f"__local_{out}")) for out, (x, *_) in specs.items()}
-    for out, (_, a, _) in specs.items():
-        df = df.withColumn(f"__end_{out}", ends[out])
-        blocks = max(1, math.ceil(math.log(1e-20) / (EWM_BLOCK * math.log(1 - a)))) if 0 < a < 1 else 1
-        for _ in range(blocks):
-            before = F.last(f"__end_{out}", ignorenulls=True).over(earlier)
-            df = df.withColumn(f"__end_{out}", ends[out] + F.coalesce(before, F.lit(0.0)) * (1 - a) ** EWM_BLOCK)
+        summed = F.sum(F.col(x) * weight * F.pow(F.lit(1 - a), -place[x])).over(block.rowsBetween(Window.unboundedPreceding, 0))
+        return summed * F.pow(F.lit(1 - a), place[x])
+
+    df = df.select("*", *[local(x, a).alias(f"__local_{out}") for out, (x, a, _) in specs.items()])
+    ends = {out: F.when((place[x] == EWM_BLOCK - 1) & F.col(x).isNotNull(), F.col(f"__local_{out}")) for out, (x, *_) in specs.items()}
+    before = lambda out: F.coalesce(F.last(f"__end_{out}", ignorenulls=True).over(earlier), F.lit(0.0))
+    rest = df.columns
+    df = df.select("*", *[ends[out].alias(f"__end_{out}") for out in specs])
+    rounds = max(math.ceil(math.log(1e-20) / (EWM_BLOCK * math.log(1 - a))) if 0 < a < 1 else 1 for _, a, _ in specs.values())
+    for _ in range(rounds):
+        df = df.select(*rest, *[(ends[out] + before(out) * (1 - a) ** EWM_BLOCK).alias(f"__end_{out}") for out, (_, a, _) in specs.items()])
     columns = []
     for out, (x, a, least) in specs.items():
-        place = F.col(f"__n_{x}") % EWM_BLOCK
-        before = F.coalesce(F.last(f"__end_{out}", ignorenulls=True).over(earlier), F.lit(0.0))
-        y = F.col(f"__local_{out}") + before * F.pow(F.lit(1 - a), place + 1)
+        y = F.col(f"__local_{out}") + before(out) * F.pow(F.lit(1 - a), place[x] + 1)
         columns.append(F.when(F.col(x).isNotNull() & (F.col(f"__n_{x}") + 1 >= least), y).alias(out))
     return df.select(*kept, *columns)

@@ -65,33 +65,43 @@ def baseline(df: DataFrame, by="stock", order="d") -> DataFrame:
     """The features that need the stock's own bars; one shuffle by stock."""
     w = W.over(by, order)
     df = macd_and_rsi(returns(df, by, order), by, order)
-    r1, close = F.col("Ret_1"), F.col("c")
-    sma = {n: W.mean(close, n, w) for n in (20, 50, 200)}
-    vol20, vol60, std20 = W.std(r1, 20, w), W.std(r1, 60, w), W.std(close, 20, w)
-    low14, high14 = W.rolling(F.min, F.col("l"), 14, w), W.rolling(F.max, F.col("h"), 14, w)
-    volume = F.col("v").cast("double")
     df = df.withColumn("__tr", true_range(w))
+    r1, close, volume = F.col("Ret_1"), F.col("c"), F.col("v").cast("double")
+    steps = {f"sma{n}": W.mean(close, n, w) for n in (20, 50, 200)} | {
+        "vol20": W.std(r1, 20, w),
+        "vol60": W.std(r1, 60, w),
+        "std20": W.std(close, 20, w),
+        "low14": W.rolling(F.min, F.col("l"), 14, w),
+        "high14": W.rolling(F.max, F.col("h"), 14, w),
+        "high252": W.rolling(F.max, F.col("h"), 252, w),
+        "low252": W.rolling(F.min, F.col("l"), 252, w),
+        "atr": W.mean(F.col("__tr"), 14, w),
+        "v5": W.mean(volume, 5, w),
+        "v60": W.mean(volume, 60, w),
+    }
+    df = df.select("*", *[x.alias(f"__{n}") for n, x in steps.items()])  # each window once
+    x = {n: F.col(f"__{n}") for n in steps}
     features = {
-        "Volatility": vol20,
-        "Vol_60": vol60,
-        "Vol_Ratio": vol20 / (vol60 + EPS),
-        "ATR_Ratio": W.ratio(W.mean(F.col("__tr"), 14, w), close),
-        "Ret21_Z": F.col("Ret_21") / (vol20 * 21**0.5 + EPS),
-        "SMA20_Ratio": W.ratio(close, sma[20]),
-        "SMA50_Ratio": W.ratio(close, sma[50]),
-        "SMA200_Ratio": W.ratio(close, sma[200]),
-        "SMA50_200_Ratio": W.ratio(sma[50], sma[200]),
+        "Volatility": x["vol20"],
+        "Vol_60": x["vol60"],
+        "Vol_Ratio": x["vol20"] / (x["vol60"] + EPS),
+        "ATR_Ratio": W.ratio(x["atr"], close),
+        "Ret21_Z": F.col("Ret_21") / (x["vol20"] * 21**0.5 + EPS),
+        "SMA20_Ratio": W.ratio(close, x["sma20"]),
+        "SMA50_Ratio": W.ratio(close, x["sma50"]),
+        "SMA200_Ratio": W.ratio(close, x["sma200"]),
+        "SMA50_200_Ratio": W.ratio(x["sma50"], x["sma200"]),
         "MACD_Ratio": W.ratio(F.col("__macd"), close),
         "MACD_Hist_Ratio": W.ratio(F.col("__macd") - F.col("__signal"), close),
         "RSI": F.col("__rsi"),
-        "Stoch_K": 100 * (close - low14) / (high14 - low14 + EPS),
-        "BB_PctB": (close - (sma[20] - 2 * std20)) / (4 * std20 + EPS),
-        "High252_Dist": W.ratio(close, W.rolling(F.max, F.col("h"), 252, w)) - 1,
-        "Low252_Dist": W.ratio(close, W.rolling(F.min, F.col("l"), 252, w)) - 1,
-        "Volume_Ratio": W.log((W.mean(volume, 5, w) + 1) / (W.mean(volume, 60, w) + 1)),
+        "Stoch_K": 100 * (close - x["low14"]) / (x["high14"] - x["low14"] + EPS),
+        "BB_PctB": (close - (x["sma20"] - 2 * x["std20"])) / (4 * x["std20"] + EPS),
+        "High252_Dist": W.ratio(close, x["high252"]) - 1,
+        "Low252_Dist": W.ratio(close, x["low252"]) - 1,
+        "Volume_Ratio": W.log((x["v5"] + 1) / (x["v60"] + 1)),
     }
     out = df.select("*", *[W.finite(x).alias(n) for n, x in features.items()])
-    return out.drop("__macd", "__signal", "__rsi", "__tr")
+    return out.drop("__macd", "__signal", "__rsi", "__tr", *[f"__{n}" for n in steps])
 
 
 def technical(
