@@ -12,9 +12,10 @@ a chance of (1 - 0.8^5)^32, about 3 in a million; higher similarities with less.
 
 *Verification.* Documents with equal sets are one class; its smallest id stands for it. In
 every bucket the smallest member leads and is compared in full with all others. After
-that, buckets whose members aren't all connected yet go on round by round: the members of
-their smallest components are compared with all the others, until no pair of a bucket is
-left that is neither compared nor connected. So each pair that shares a bucket is linked or
+that, buckets whose members aren't all connected yet go on round by round: members with too
+few shingles that any other has leave, as no set can be similar to theirs; of the rest, those
+with the most shared shingles and those of the smallest components are compared with all
+others, until no pair of a bucket is left that is neither compared, ruled out nor connected. So each pair that shares a bucket is linked or
 refuted exactly, though groups of near copies cost no more than their size.
 """
 
@@ -28,7 +29,7 @@ from panelspark.llm.shared import map_batches, materialise, text_or_empty
 BINS, BAND = 160, 5
 HOT_PAIRS = 2_000  # pairs of one leader beyond which they are salted
 SALTS = 64
-LEADERS = 8  # compared in each further round of a bucket
+LEADERS = 16  # of either kind, compared in each further round of a bucket
 _BLOCK = 1_500_000
 
 
@@ -185,6 +186,39 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with their component."""
+    known = members.join(components.withColumnRenamed("node", "rep"), "rep")
+    mixed = (
+        known.groupBy("band", "h")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        .where("x <> y")
+        .select("band", "h")
+    )
+    return known.join(mixed, ["band", "h"], "left_semi")
+
+
+def _possible(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members that may still have a link, with ``shared``, how many of their shingles another has, too.
+
+    An intersection holds shared shingles only, so a set with too few of them for the
+    smallest size in its bucket is similar enough to none.
+    """
+    single = (
+        sets.select("rep", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n"))
+        .where("n = 1")
+        .groupBy("rep")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    least = known.groupBy("band", "h").agg(F.min("n").alias("least"))
+    rest = known.drop("component").join(single, "rep", "left").join(least, ["band", "h"])
+    rest = rest.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    smallest = F.greatest(F.col("least"), F.floor(F.col("n") * percent / 100), F.col("shared"))
+    return rest.where(F.col("shared") * 100 >= (F.col("n") + smallest - F.col("shared")) * percent).drop("alone", "least")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -235,23 +269,27 @@ def near_duplicates(
     # what no leader has met yet: members of buckets that aren't connected
     open_ = buckets.where("lead <> rep").select("band", "h", "rep", "n")
     while True:
-        known = open_.join(components.withColumnRenamed("node", "rep"), "rep")
-        mixed = (
-            known.groupBy("band", "h")
-            .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            .where("x <> y")
-            .select("band", "h")
-        )
-        known = materialise(known.join(mixed, ["band", "h"], "left_semi"), "near-open")
+        known = materialise(_mixed(open_, components), "near-open")
+        if known.isEmpty():
+            break
+        own = known.select("rep").distinct()
+        sets = materialise(sets.join(own, "rep", "left_semi"), "near-open-sets")
+        known = materialise(_mixed(_possible(known, sets, percent), components), "near-possible")
         if known.isEmpty():
             break
         sizes = known.groupBy("band", "h", "component").agg(F.count(F.lit(1)).alias("size"))
-        order = Window.partitionBy("band", "h").orderBy("size", "rep")
-        ranked = known.join(sizes, ["band", "h", "component"]).withColumn("turn", F.row_number().over(order))
-        chosen = materialise(ranked.where(F.col("turn") <= LEADERS).select("band", "h", "rep", "n", "component"), "near-leaders")
-        lead = chosen.select("band", "h", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-        met = known.join(lead, ["band", "h"]).where("component <> a_component").where(alike(F.col("a_n"), F.col("n")))
-        pairs = met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        bucket = Window.partitionBy("band", "h")
+        sized = known.join(sizes, ["band", "h", "component"])
+        central = sized.withColumn("turn", F.row_number().over(bucket.orderBy(F.desc("shared"), "rep")))
+        apart = sized.withColumn("turn", F.row_number().over(bucket.orderBy("size", F.desc("shared"), "rep")))
+        names = ["band", "h", "rep", "n", "shared", "component"]
+        chosen = [x.where(F.col("turn") <= LEADERS).select(*names) for x in (central, apart)]
+        chosen = materialise(chosen[0].union(chosen[1]).distinct(), "near-leaders")
+        lead = chosen.select("band", "h", *[F.col(c).alias(f"a_{c}") for c in names[2:]])
+        most = F.least("shared", "a_shared")
+        close = alike(F.col("a_n"), F.col("n")) & (most * 100 >= (F.col("n") + F.col("a_n") - most) * percent)
+        met = known.join(lead, ["band", "h"]).where("component <> a_component").where(close)
+        pairs = met.select(F.least("a_rep", "rep").alias("a"), F.greatest("a_rep", "rep").alias("b")).distinct()
         new = materialise(_verified(materialise(pairs, "near-pairs"), sets, percent), "near-links")
         if not new.isEmpty():
             edges = edges.unionByName(new)
