@@ -16,8 +16,9 @@ their windows are repeated and leave, too.
 one of them stands for all from here on.
 
 *Pass 3*, the windows of the contexts that differ: those found twice are repeated. The
-contexts of one digit, up to ``SMALL_GROUP``, are compared in one row; those of
-larger groups are dealt out window by window.
+contexts of one digit, up to ``SMALL_GROUP``, are compared in one row; those of larger
+groups are dealt out, first in blocks of windows, which leave if what all their windows
+share is found once, or if all that share it are equal, then window by window.
 
 Digits and contexts are compared by two independent 64-bit hashes (of the digit and of the
 context), windows of small groups byte by byte. Matches never cross texts.
@@ -32,6 +33,7 @@ from panelspark.llm.shared import map_batches, materialise, text_or_empty
 from panelspark.llm.tokens import text_batches
 
 SMALL_GROUP = 64
+BLOCK = 8
 _BLOCK = 1_500_000
 _PLACE_BITS = 24
 
@@ -175,34 +177,71 @@ def _compare_small(threshold: int):
     return run
 
 
-def _deal_windows(threshold: int):
+def _deal_blocks(threshold: int):
+    """The windows of each context in blocks of equal anchor offsets, with what all windows of
+    the full block share (core), what those of the context span together (union), and each one's hash."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        from panelspark.llm.bytehash import Rolling, string_bytes
+        from panelspark.llm.bytehash import Rolling, U, mix, string_bytes
 
         for batch in batches:
             for at in range(0, batch.num_rows, 4_000):
                 part = batch.slice(at, 4_000)
                 values, offsets = string_bytes(part.column("context"))
+                rolling = Rolling(values, 2)
+                before = part.column("before").to_numpy().astype(np.int64)
                 more = part.column("more").to_numpy() + 1
                 owner = np.repeat(np.arange(len(more)), more)
                 inside = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more)
-                start = offsets[:-1][owner] + inside
-                hashed = Rolling(values, 2).spans(start, start + threshold)
+                block = (before[owner] - inside) // BLOCK
+                change = np.flatnonzero((block[1:] != block[:-1]) | (owner[1:] != owner[:-1])) + 1
+                first, last = np.r_[0, change], np.r_[change - 1, len(owner) - 1]
+                own, blk = owner[first], block[first]
+                start = offsets[own]
+                core = start + before[own] - BLOCK * blk
+                i, j = inside[first], inside[last]
+                union = rolling.spans(start + i, start + j + threshold)
+                union = mix(union + ((before[own] - i) << 16 | (before[own] - j)).astype(U))
+                windows = rolling.spans(offsets[owner] + inside, offsets[owner] + inside + threshold)
+                hashes = pa.ListArray.from_arrays(
+                    pa.array(np.r_[first, len(owner)].astype(np.int32)), pa.array(_signed(windows))
+                )
                 columns = [
-                    part.column("k1").to_numpy()[owner],
-                    _signed(hashed),
-                    part.column("row").to_numpy()[owner],
-                    part.column("low").to_numpy()[owner] + inside,
-                    part.column("alone").to_numpy(zero_copy_only=False)[owner],
+                    pa.array(part.column("k1").to_numpy()[own]),
+                    pa.array(blk.astype(np.int32)),
+                    pa.array(_signed(rolling.spans(core, core - BLOCK + 1 + threshold))),
+                    pa.array(_signed(union)),
+                    pa.array(part.column("row").to_numpy()[own]),
+                    pa.array(part.column("low").to_numpy()[own] + i),
+                    pa.array((j - i).astype(np.int32)),
+                    pa.array(part.column("alone").to_numpy(zero_copy_only=False)[own]),
+                    hashes,
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "w", "row", "p", "alone"])
+                names = ["k1", "block", "core", "whole", "row", "p", "more", "alone", "windows"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
+def _of_large_groups(large: DataFrame, threshold: int) -> DataFrame:
+    """row and ranges of repeated windows among many contexts of one digit: first by blocks, then one by one."""
+    schema = "k1 long, block int, core long, whole long, row long, p long, more int, alone boolean, windows array<long>"
+    blocks = materialise(map_batches(large, _deal_blocks(threshold), schema), "repeats-blocks")
+    digits = blocks.groupBy("k1", "block", "core").agg(
+        F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")
+    )
+    shared = digits.where("n > 1").select("k1", "block", "core", (F.col("a") == F.col("b")).alias("same"))
+    met = materialise(blocks.join(shared, ["k1", "block", "core"]), "repeats-blocks-met")
+    whole = met.where("same and alone").select("row", F.shiftleft("p", 8).bitwiseOR(F.col("more").cast("long")).alias("range"))
+    single = met.where("not same").select("k1", "row", "p", "alone", F.posexplode("windows").alias("i", "w"))
+    twice = single.groupBy("k1", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "w")
+    found = single.where("alone").join(twice, ["k1", "w"], "left_semi")
+    return whole.unionByName(found.select("row", F.shiftleft(F.col("p") + F.col("i"), 8).alias("range")))
+
+
 def repeated_ranges(keyed: DataFrame, threshold: int) -> DataFrame:
     """row and the ranges of its repeated windows, as first window << 8 | windows after it.
 
@@ -239,9 +278,7 @@ def repeated_ranges(keyed: DataFrame, threshold: int) -> DataFrame:
     from_small = map_batches(groups.select("contexts"), _compare_small(threshold), "row long, range long")
 
     large = contexts.join(sizes.where(F.col("members") > SMALL_GROUP).select("k1"), "k1", "left_semi")
-    windows = map_batches(large, _deal_windows(threshold), "k1 long, w long, row long, p long, alone boolean")
-    twice = windows.groupBy("k1", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "w")
-    from_large = windows.where("alone").join(twice, ["k1", "w"], "left_semi").select("row", F.shiftleft("p", 8).alias("range"))
+    from_large = _of_large_groups(large, threshold)
 
     found = (
         together.where("same").select("row", as_range)
