@@ -26,10 +26,9 @@ def query(name, oracle=None):
     return add
 
 
-def sample(spark, d):
-    """A deterministic sample of labelled rows with a few features, a copy, a constant and a sparse one."""
+def labelled(spark, d):
+    """All labelled rows with a few features, a copy, a constant and a sparse one."""
     bars = I.add_labels(I.baseline(T.nation_bars(spark, d)), {"Weekly": 5}).where("Target_Weekly is not null")
-    bars = bars.where((F.col("stock") * 7919 + F.unix_date("d") * 104729 + 42) % 10 == 0)
     rounded = [F.round(F.col(f), 6).alias(f) for f in USED]
     r5 = F.round("Ret_5", 6)
     return bars.select(*EXACT, F.col("Target_Weekly").alias("y"), *rounded, (r5 * 2).alias("Twin"), F.lit(1.0).alias("Flat"), F.when(F.col("stock") < 3, r5).alias("Sparse"))
@@ -43,7 +42,7 @@ BASE = [S.BARS, S.BASELINE, SAMPLE]
 
 
 def long(spark, d):
-    return X.long_form(sample(spark, d), [*EXACT, "y"], [*USED, *EXTRA])
+    return X.long_form(labelled(spark, d), [*EXACT, "y"], [*USED, *EXTRA])
 
 
 @query("x2_low_coverage", S.statement(*BASE, "SELECT feature, round(avg((x IS NULL)::INT), 6) AS missing FROM long GROUP BY 1 HAVING avg((x IS NULL)::INT) > 0.5"))
@@ -90,7 +89,7 @@ def x6_clusters(spark, d):
     k AS (SELECT feature, bin, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS total, sum(n) OVER (PARTITION BY feature, bin) AS r, sum(n) OVER (PARTITION BY feature, y) AS c FROM k)""",
     "SELECT feature, round(sum(n / total * ln(n * total / (r * c))), 6) + 0.0 AS mi FROM t GROUP BY 1"))
 def x7_mutual_information(spark, d):
-    x = sample(spark, d)
+    x = labelled(spark, d)
     found = X.mutual_information(X.long_form(x, EXACT, [*USED, *EXTRA]), x.select(*EXACT, "y"), EXACT)
     return found.select("feature", (F.round("mi", 6) + F.lit(0.0)).alias("mi"))
 
@@ -101,7 +100,7 @@ AUCS = """k AS (SELECT feature, x, sum(y) AS n1, sum(1 - y) AS n0 FROM long WHER
 
 @query("x14_single_feature_auc", S.statement(*BASE, AUCS, "SELECT feature, round(auc, 6) AS auc, abs(auc - 0.5) > 0.15 AS suspicious FROM a"))
 def x14_single_feature_auc(spark, d):
-    x = sample(spark, d)
+    x = labelled(spark, d)
     found = X.single_feature_auc(X.long_form(x, EXACT, [*USED, *EXTRA]), x.select(*EXACT, "y"), EXACT)
     return found.select("feature", F.round("roc_auc", 6).alias("auc"), (F.abs(F.col("roc_auc") - 0.5) > 0.15).alias("suspicious"))
 
@@ -110,7 +109,7 @@ def x14_single_feature_auc(spark, d):
     f"r AS (SELECT feature, CASE WHEN edge IS NOT NULL THEN {S.pct_rank('edge', '1')} END AS a, {S.pct_rank('spread', '1')} AS b, {S.pct_rank('filled', '1')} AS c FROM j)",
     "SELECT feature, (coalesce(a > 0.5, false))::INT + (b > 0.5)::INT + (c > 0.5)::INT AS votes, (coalesce(a > 0.5, false))::INT + (b > 0.5)::INT + (c > 0.5)::INT >= 2 AS selected, round((coalesce(a, 0) + b + c) / ((a IS NOT NULL)::INT + 2), 6) AS composite FROM r"))
 def x11_votes(spark, d):
-    x = sample(spark, d)
+    x = labelled(spark, d)
     values = X.long_form(x, EXACT, [*USED, *EXTRA])
     edge = X.single_feature_auc(values, x.select(*EXACT, "y"), EXACT).select("feature", F.round(F.abs(F.col("roc_auc") - 0.5), 9).alias("edge"))
     other = values.groupBy("feature").agg(F.round(F.stddev_samp("x") / (F.abs(F.avg("x")) + 1), 9).alias("spread"), F.count("x").alias("filled"))
@@ -120,7 +119,7 @@ def x11_votes(spark, d):
 
 @query("x17_target_identity", S.statement(*BASE, "SELECT feature, 'y' AS target FROM (SELECT 'Ret_5' AS feature, bool_and(abs(Ret_5 - y) <= 1e-8 + 1e-5 * abs(y)) AS same FROM smp UNION ALL SELECT 'y_copy', bool_and(abs(y - y) <= 1e-8) FROM smp) WHERE same"))
 def x17_target_identity(spark, d):
-    return X.equal_to_targets(sample(spark, d).withColumn("y_copy", F.col("y")), ["Ret_5", "y_copy"], ["y"])
+    return X.equal_to_targets(labelled(spark, d).withColumn("y_copy", F.col("y")), ["Ret_5", "y_copy"], ["y"])
 
 
 @query("x18_point_in_time", "SELECT 0 AS stock, DATE '2000-01-01' AS cutoff, '' AS feature, 0.0::DOUBLE AS full_value, 0.0::DOUBLE AS past_value WHERE false")

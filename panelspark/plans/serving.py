@@ -115,7 +115,7 @@ def q5_market_snapshot(spark, d):
 @query("q10_top_features", S.statement(*SEL.BASE, SEL.AUCS, "SELECT feature, round(abs(auc - 0.5), 6) AS importance, row_number() OVER (ORDER BY round(abs(auc - 0.5), 9) DESC, feature) AS place FROM a QUALIFY place <= 5"))
 def q10_top_features(spark, d):
     """The features of the largest single-feature importance."""
-    x = SEL.sample(spark, d)
+    x = SEL.labelled(spark, d)
     found = SEL.X.single_feature_auc(SEL.X.long_form(x, SEL.EXACT, [*SEL.USED, *SEL.EXTRA]), x.select(*SEL.EXACT, "y"), SEL.EXACT)
     found = found.withColumn("importance", F.abs(F.col("roc_auc") - 0.5))
     top = found.orderBy(F.desc(F.round("importance", 9)), "feature").limit(5)
