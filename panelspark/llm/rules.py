@@ -11,6 +11,7 @@ Statistics are of whole texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,10 +65,10 @@ def statistics(text: str) -> tuple[float, ...]:
     marks = sum(int(counts[ord(c)]) for c in ".,;:!?'\"-()")
     printable = counts[33:127].sum()
     symbols = printable - letters - digits - marks
-    distinct = set(words)
+    distinct = Counter(words)
     pairs = len(set(zip(words, words[1:])))
     share = counts[counts > 0] / n
-    top = max(map(words.count, words[:3])) / n_words if words else 0.0
+    top = max(distinct.values()) / n_words if words else 0.0
     lengths = sum(map(len, words))
     return tuple(
         float(x)

@@ -296,6 +296,17 @@ def test_models_on_odd_tables(docs, rows, empty, spark):
     assert fit_toxicity(empty, none).intercept == 0.0
 
 
+def test_the_commonest_word_may_come_late():
+    from panelspark.llm.rules import STATISTICS, statistics
+
+    share = lambda text: statistics(text)[STATISTICS.index("top_word_share")]
+    assert share("a b c d d d d e") == share("d d d d a b c e") == 0.5
+    assert share(" \n") == share("") == 0.0
+    for text in filter(None, _texts()):
+        words = text.split()
+        assert share(text) == max(map(words.count, words), default=0) / max(1, len(words))
+
+
 @pytest.mark.parametrize("query, column, least", [("op1_toxicity", "toxic", 0.9), ("op8_quality_rules", "quality", 0.95)])
 def test_held_out_accuracy(spark, query, column, least):
     from panelspark.llm.queries import QUERIES
