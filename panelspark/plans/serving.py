@@ -131,8 +131,10 @@ def q12_feature_percentiles(spark, d):
 
 @query("a2_pivot_panel", S.statement(S.BARS, "SELECT d, max(CASE WHEN sector = 0 THEN c END) AS s0, max(CASE WHEN sector = 1 THEN c END) AS s1, max(CASE WHEN sector = 2 THEN c END) AS s2 FROM (SELECT d, sector, arg_max(c, stock) AS c FROM bars GROUP BY ALL) GROUP BY 1"))
 def a2_pivot_panel(spark, d):
-    wide = T.nation_bars(spark, d).groupBy("d").pivot("sector", [0, 1, 2]).agg(F.max_by("c", "stock"))
-    return wide.where("d is not null").select("d", F.col("0").alias("s0"), F.col("1").alias("s1"), F.col("2").alias("s2"))
+    """The close of each region's last stock by day, a column for every row of the region table."""
+    sectors = sorted(r[0] for r in T.read_table(spark, d, "region").select("r_regionkey").distinct().collect())
+    wide = T.nation_bars(spark, d).groupBy("d").pivot("sector", sectors).agg(F.max_by("c", "stock"))
+    return wide.where("d is not null").select("d", *[F.col(str(k)).alias(f"s{k}") for k in sectors])
 
 
 @query("a8_top_by_day", S.statement(S.BARS, SCORED, "SELECT d, stock, round(p, 6) AS p, turn FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY p DESC, stock) AS turn FROM scored) WHERE turn <= 3"))

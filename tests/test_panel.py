@@ -196,3 +196,17 @@ def test_selection_reads_all_labelled_rows(spark, name):
     plain = lambda v: str(v) if isinstance(v, dt.date) else round(float(v), 5) + 0.0 if isinstance(v, (int, float)) else v
     want = sorted(repr([plain(r[i]) for i in order]) for r in found.fetchall())
     assert want and want == sorted(repr([plain(r[n]) for n in names]) for r in got.collect())
+
+
+def test_pivot_has_every_region(spark):
+    from panelspark.plans.registry import QUERIES
+    from panelspark.sources import tables as T
+
+    folder = "/root/testdata/sf0.001"
+    last = {}
+    for r in T.nation_bars(spark, folder).collect():
+        key = (r.d, f"s{r.sector}")
+        last[key] = max(last.get(key, (-1, 0.0)), (r.stock, r.c))
+    got = QUERIES["a2_pivot_panel"](spark, folder)
+    assert got.columns == ["d", "s0", "s1", "s2", "s3", "s4"]
+    assert {(r.d, n): r[n] for r in got.collect() for n in got.columns[1:] if r[n] is not None} == {k: c for k, (_, c) in last.items()}
