@@ -257,10 +257,9 @@ def near_duplicates(
     pairs = buckets.where("lead <> rep").where(alike(F.col("lead_n"), F.col("n")))
     pairs = materialise(pairs.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
     edges = materialise(_verified(pairs, sets, percent), "near-links")
-    nodes = materialise(
-        classes.select(F.col("rep").alias("node")).union(of.select("doc_id").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).distinct(),
-        "near-nodes",
-    )
+    # an id of several classes is a node, too, whether or not it represents one
+    repeated = of.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y")
+    nodes = materialise(classes.select(F.col("rep").alias("node")).union(repeated.select("doc_id")).distinct(), "near-nodes")
     # rows that repeat an id with another text tie their classes together
     ties = of.join(classes.select(*key, "rep"), key).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     ties = ties.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi")

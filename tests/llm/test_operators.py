@@ -140,6 +140,15 @@ def test_near_dedup(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_of_an_id_that_represents_nothing(spark):
+    from panelspark.llm.near_dedup import near_duplicates
+
+    x, y = "red green blue black white", "one two three four five six"
+    rows = [(1, x), (5, x), (3, y), (5, y), (7, "other words that stand quite alone")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1), (5, 1), (3, 1), (5, 1), (7, 7)])
+
+
 def test_near_dedup_of_a_large_group(spark):
     """Near copies that drift: every link is between neighbours, and some copies belong to none."""
     from panelspark.llm.near_dedup import near_duplicates
