@@ -59,6 +59,25 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def byte_runs(column, most: int):
+    """(first, last) of runs of rows of a string or binary Arrow column that hold about ``most`` bytes.
+
+    A run ends before the row that would go beyond ``most``; a longer row is a run by itself.
+    """
+    import pyarrow as pa
+
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    places = column.buffers()[1]
+    if places is None:
+        return
+    offsets = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
 class Rolling:
     """Hashes of substrings from prefix sums modulo 2**64."""
 

@@ -11,26 +11,38 @@ independent.
 a chance of (1 - 0.8^5)^32, about 3 in a million; higher similarities with less.
 
 *Verification.* Documents with equal sets are one class; its smallest id stands for it. In
-every bucket the smallest member leads and is compared in full with all others. After
-that, buckets whose members aren't all connected yet go on round by round: members with too
-few shingles that any other has leave, as no set can be similar to theirs; of the rest, those
-with the most shared shingles and those of the smallest components are compared with all
-others, until no pair of a bucket is left that is neither compared, ruled out nor connected. So each pair that shares a bucket is linked or
-refuted exactly, though groups of near copies cost no more than their size.
+every bucket the smallest member leads and is compared in full with all others: a row for
+each member.
+
+*What no leader connects.* Members of buckets that still hold several components form groups
+(members that buckets connect). All pairs of a group are decided by an exact prefix join on
+differences: each set is replaced by its symmetric difference with one central set of its
+group, which keeps all distances. A pair of similarity ``percent`` differs in at most
+D = (100 - percent) / (100 + percent) of the sum of its sizes. So two members either lie so near
+to the centre that the sum of their differences is at most D, and then both are linked to
+the member nearest to it; or their differences have at least half of what goes beyond D in
+common. Then, with the rarest elements first, each has one of the common elements among
+its first few, and meets the other there. Near copies whose edits are their own have
+nothing in common but what both lack, so hardly any pair that isn't linked ever meets; the
+lists are split by distance, too, and left out where only one component meets. What meets
+is compared in full.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import map_batches, materialise, text_or_empty
+from panelspark.llm import shared
+from panelspark.llm.shared import discard, join_to_one, map_batches, materialise, text_or_empty, unused_name
 
 BINS, BAND = 160, 5
 HOT_PAIRS = 2_000  # pairs of one leader beyond which they are salted
 SALTS = 64
-LEADERS = 16  # of either kind, compared in each further round of a bucket
-_BLOCK = 1_500_000
+GROUP_ROWS = 512  # members of a group that one copy of its centre meets
+COMMON = 16  # elements in a share of 1/COMMON of a group's differences are ordered by how many hold them
+STEP = 1.3  # from one level of distance to the next
+_BLOCK = 500_000
 
 
 def shingle_sets(values, offsets, words: int):
@@ -82,17 +94,12 @@ def sketches(elements, counts, bins: int = BINS):
 
 def _blocks(batches):
     """(batch, first row, last row, bytes, offsets) of runs of about _BLOCK bytes."""
-    import numpy as np
-
-    from panelspark.llm.bytehash import string_bytes
+    from panelspark.llm.bytehash import byte_runs, string_bytes
 
     for batch in batches:
         values, offsets = string_bytes(batch.column("text"))
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _BLOCK, "right")) - 1)
+        for i, j in byte_runs(batch.column("text"), _BLOCK):
             yield batch, i, j, values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            i = j
 
 
 def _sketch_rows(words: int):
@@ -166,57 +173,159 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(same * 100 >= union * percent).select("a", "b").distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node and component, the smallest node that it reaches; ``edges`` has columns a and b.
 
-    Labels spread along edges and then jump to the label of their label, until none changes.
+    Of the edges' nodes and those of ``nodes``. Labels spread along edges and then jump to the label of
+    their label, until none changes. Nodes with many edges, and labels whose nodes have many, are
+    joined by broadcast: those that hold a thousandth of all edges are a few thousand at most.
     """
-    labels = materialise(nodes.select("node", F.col("node").alias("component")), "components")
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "component-edges")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "component")
-        least = labels.unionByName(near).groupBy("node").agg(F.min("component").alias("component"))
+    both = edges.where("a <> b").select("a", "b")
+    both = materialise(both.union(both.select("b", "a")).distinct(), "component-edges")
+    degrees = both.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    every = degrees if nodes is None else nodes.select("node").distinct().join(degrees, "node", "full")
+    start = every.select("node", F.col("node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    labels = materialise(start.withColumn("moved", F.lit(True)), "components")
+    total = both.count()
+
+    def met(rows: DataFrame, one: DataFrame, key: str, hot: list[int]) -> DataFrame:
+        if not hot:
+            return rows.join(one, key)
+        few = F.broadcast(one.where(F.col(key).isin(hot)))
+        return rows.where(F.col(key).isin(hot)).join(few, key).unionByName(rows.where(~F.col(key).isin(hot)).join(one, key))
+
+    many = (F.col("degree") > shared.HOT_ROWS) & (F.col("degree") * shared.HOT_SHARE >= total)
+    hot_nodes = [r["node"] for r in labels.where(many).select("node").collect()]
+    while not labels.where("moved").isEmpty():
+        mass = labels.groupBy("component").agg(F.sum(F.col("degree") + 1).alias("degree"))
+        hot_labels = [r["component"] for r in mass.where(many).select("component").collect()]
+        near = met(both, labels.select(F.col("node").alias("b"), "component"), "b", hot_nodes)
+        least = labels.select("node", F.col("component").alias("was"), "component", "degree").unionByName(
+            near.select(F.col("a").alias("node"), "component"), allowMissingColumns=True
+        )
+        least = least.groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"), F.max("degree").alias("degree"))
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = least.join(of, "component").select("node", F.least("component", "further").alias("component"))
-        after = materialise(jumped, "components")
-        changed = labels.join(after.withColumnRenamed("component", "new"), "node").where("new <> component")
-        done = changed.isEmpty()
+        jumped = met(least, of, "component", hot_labels)
+        component = F.least("component", "further")
+        after = materialise(jumped.select("node", component.alias("component"), "degree", (component != F.col("was")).alias("moved")), "components")
+        discard(labels)
         labels = after
-        if done:
-            return labels
-
-
-def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with their component."""
-    known = members.join(components.withColumnRenamed("node", "rep"), "rep")
-    mixed = (
-        known.groupBy("band", "h")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .where("x <> y")
-        .select("band", "h")
-    )
-    return known.join(mixed, ["band", "h"], "left_semi")
+    discard(both)
+    return labels.select("node", "component")
 
 
-def _possible(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The members that may still have a link, with ``shared``, how many of their shingles another has, too.
+def _prefix_rows(percent: int):
+    """For each member and level of distance: the first of its differences, one of which it must
+    share with a member of that level to be linked to it."""
 
-    An intersection holds shared shingles only, so a set with too few of them for the
-    smallest size in its bucket is similar enough to none.
-    """
-    single = (
-        sets.select("rep", F.explode("shingles").alias("shingle"))
-        .groupBy("shingle")
-        .agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n"))
-        .where("n = 1")
-        .groupBy("rep")
-        .agg(F.count(F.lit(1)).alias("alone"))
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            get = {c: batch.column(c) for c in batch.schema.names}
+            groups, owns, components, scores = (get[c].to_pylist() for c in ("group", "level", "component", "score"))
+            group, levels, of_group = None, [], None
+            out: list[list] = [[] for _ in range(4)]  # row, tokens, low level, high level
+            places = []
+            for r in range(batch.num_rows):
+                if groups[r] != group:
+                    group, levels = groups[r], get["levels"][r].as_py()
+                    held = get["common"][r].values
+                    tokens, counts = (held.field(i).to_numpy() for i in (0, 1))
+                    order = np.argsort(tokens)
+                    of_group = tokens[order], counts[order]
+                own, component, score = owns[r], components[r], scores[r]
+                diff = get["diff"][r].values.to_numpy()
+                count = np.zeros(len(diff), np.int64)
+                if len(of_group[0]) and len(diff):
+                    at = np.minimum(np.searchsorted(of_group[0], diff), len(of_group[0]) - 1)
+                    count = np.where(of_group[0][at] == diff, of_group[1][at], 0)
+                diff = diff[np.lexsort((diff, count))]
+                for x in levels:
+                    if x["c0"] == x["c1"] == component:
+                        continue
+                    common = max(1, -(-(score + x["least"]) // (2 * (100 + percent))))
+                    if common <= min(len(diff), x["widest"]):
+                        first = diff[: len(diff) - common + 1]
+                        out[0].append(np.full(len(first), r))
+                        out[1].append(first)
+                        out[2].append(np.full(len(first), min(own, x["level"]), np.int32))
+                        out[3].append(np.full(len(first), max(own, x["level"]), np.int32))
+                        places.append(np.arange(len(first), dtype=np.int32))
+            if out[0]:
+                rows = np.concatenate(out[0])
+                for at in range(0, len(rows), 100_000):
+                    part = pa.array(rows[at : at + 100_000])
+                    columns = [get[c].take(part) for c in ("group", "rep", "component", "n", "d", "level", "score")]
+                    columns += [pa.array(np.concatenate(x)[at : at + 100_000]) for x in (*out[1:], places)]
+                    names = ["group", "rep", "component", "n", "d", "level", "score", "token", "low", "high", "place"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _unmet_pairs(open_: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among which are all links that members of the open buckets may have."""
+    above, below = 100 + percent, 100 - percent
+    firsts = open_.groupBy("band", "h").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("members"))
+    met = materialise(join_to_one(open_, firsts, ["band", "h"]), "near-open-buckets")
+    weights = met.groupBy("rep").agg(F.sum("members").alias("weight"))
+    edges = met.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    groups = connected_components(edges, weights.select(F.col("rep").alias("node")))
+    groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
+
+    placed = materialise(groups.join(weights, "rep").join(components.withColumnRenamed("node", "rep"), "rep"), "near-groups")
+    central = placed.groupBy("group").agg(
+        F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("x"), F.count(F.lit(1)).alias("size")
     )
-    least = known.groupBy("band", "h").agg(F.min("n").alias("least"))
-    rest = known.drop("component").join(single, "rep", "left").join(least, ["band", "h"])
-    rest = rest.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
-    smallest = F.greatest(F.col("least"), F.floor(F.col("n") * percent / 100), F.col("shared"))
-    return rest.where(F.col("shared") * 100 >= (F.col("n") + smallest - F.col("shared")) * percent).drop("alone", "least")
+    salts = F.ceil(F.col("size") / GROUP_ROWS).cast("int")
+    central = materialise(central.select("group", "size", (-F.col("x.rep")).alias("centre"), salts.alias("salts")), "near-centres")
+    every_salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    salted = join_to_one(placed.drop("weight"), central.select("group", "salts"), ["group"])
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).drop("salts")
+    centres = central.join(sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("of_centre")), "centre")
+    centres = centres.groupBy("group", "salts").agg(F.min("of_centre").alias("of_centre"))  # an id may repeat with two texts
+    centres = centres.select("group", "of_centre", every_salt)
+    apart = F.concat(F.array_except("shingles", "of_centre"), F.array_except("of_centre", "shingles"))
+    members = salted.join(sets, "rep").join(centres, ["group", "salt"])
+    members = members.select("group", "salt", "rep", "component", F.size("shingles").cast("long").alias("n"), apart.alias("diff"))
+    members = members.withColumn("d", F.size("diff").cast("long")).withColumn("score", above * F.col("d") - below * F.col("n"))
+    members = materialise(members, "near-differences")
+
+    # those whose differences with the member nearest to the centre can't be too many are linked to it
+    nearest = members.groupBy("group").agg(F.min(F.struct("score", "rep", "component")).alias("nearest"))
+    linked = F.col("score") + F.col("nearest.score") <= 0
+    met = materialise(join_to_one(members, nearest, ["group"]), "near-distances")
+    sure = met.where(linked & (F.col("rep") != F.col("nearest.rep")) & (F.col("component") != F.col("nearest.component")))
+    sure = sure.select(F.col("nearest.rep").alias("a"), F.col("rep").alias("b"))
+
+    over = F.greatest(F.lit(1.0), F.col("score") / (8.0 * above))
+    rest = met.withColumn("component", F.when(linked, F.col("nearest.component")).otherwise(F.col("component"))).drop("nearest")
+    rest = rest.withColumn("level", F.floor(F.log(over) / F.log(F.lit(STEP))).cast("int"))
+    levels = rest.groupBy("group", "level").agg(
+        F.min("score").alias("least"), F.max("d").alias("widest"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    )
+    levels = levels.groupBy("group").agg(F.collect_list(F.struct("level", "least", "widest", "c0", "c1")).alias("levels"))
+    counts = rest.select("group", F.explode("diff").alias("token")).groupBy("group", "token").agg(F.count(F.lit(1)).alias("held"))
+    common = join_to_one(materialise(counts.where("held > 1"), "near-counts"), central.select("group", "size"), ["group"])
+    common = common.where(F.col("held") * COMMON >= F.col("size")).groupBy("group").agg(F.collect_list(F.struct("token", "held")).alias("common"))
+    none = F.array().cast("array<struct<token: long, held: long>>")
+    known = central.select("group", "salts").join(levels, "group").join(common, "group", "left")
+    known = known.select("group", "levels", F.coalesce("common", none).alias("common"), every_salt)
+    fields = "group long, rep long, component long, n long, d long, level int, score long, token long, low int, high int, place int"
+    first = materialise(map_batches(rest.join(known, ["group", "salt"]), _prefix_rows(percent), fields), "near-prefixes")
+
+    key = ["group", "token", "low", "high"]
+    several = first.groupBy(*key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*key)
+    first = materialise(first.join(several, key, "left_semi"), "near-prefixes-met")
+    x, y = first.where("level = low").alias("x"), first.where("level = high").alias("y")
+    most = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place"))  # this token and all after it
+    enough = most * (2 * above) >= F.col("x.score") + F.col("y.score")
+    once = (F.col("low") < F.col("high")) | (F.col("x.rep") < F.col("y.rep"))
+    pairs = x.join(y, key).where((F.col("x.component") != F.col("y.component")) & once & enough)
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(sure)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -243,60 +352,47 @@ def near_duplicates(
 
     dealt = classes.select(F.col("rep"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "h"))
     leaders = dealt.groupBy("band", "h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("lead"))
-    leaders = leaders.where("members > 1").select("band", "h", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
-    buckets = materialise(dealt.join(leaders, ["band", "h"]), "near-buckets")
+    leaders = leaders.where("members > 1").select("band", "h", "members", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
+    dealt = materialise(dealt, "near-dealt")
+    buckets = materialise(join_to_one(dealt, leaders, ["band", "h"]), "near-buckets")
+    discard(dealt)
 
     needed = buckets.select("rep").distinct()
     texts = base.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep")
     sets = materialise(map_batches(texts, _set_rows(words), "rep long, shingles array<long>"), "near-sets")
 
-    def alike(small, large):
-        """The sizes of the sets alone don't rule out the similarity."""
-        return F.least(small, large) * 100 >= F.greatest(small, large) * percent
-
-    pairs = buckets.where("lead <> rep").where(alike(F.col("lead_n"), F.col("n")))
-    pairs = materialise(pairs.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    met = buckets.where("lead <> rep").where(F.least("lead_n", "n") * 100 >= F.greatest("lead_n", "n") * percent)
+    pairs = materialise(met.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
     edges = materialise(_verified(pairs, sets, percent), "near-links")
-    # an id of several classes is a node, too, whether or not it represents one
+    # an id of several classes ties them together, whether or not it represents one
     repeated = of.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y")
-    nodes = materialise(classes.select(F.col("rep").alias("node")).union(repeated.select("doc_id")).distinct(), "near-nodes")
-    # rows that repeat an id with another text tie their classes together
-    ties = of.join(classes.select(*key, "rep"), key).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    ties = ties.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi")
-    components = connected_components(nodes, edges.unionByName(ties))
+    repeated = materialise(repeated.select("doc_id"), "near-repeated-ids")
+    links = edges
+    if not repeated.isEmpty():
+        ties = of.drop("bands").join(repeated, "doc_id", "left_semi").join(classes.select(*key, "rep"), key)
+        links = edges.unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    components = connected_components(links, classes.select(F.col("rep").alias("node")))
 
     # what no leader has met yet: members of buckets that aren't connected
-    open_ = buckets.where("lead <> rep").select("band", "h", "rep", "n")
-    while True:
-        known = materialise(_mixed(open_, components), "near-open")
-        if known.isEmpty():
-            break
-        own = known.select("rep").distinct()
-        sets = materialise(sets.join(own, "rep", "left_semi"), "near-open-sets")
-        known = materialise(_mixed(_possible(known, sets, percent), components), "near-possible")
-        if known.isEmpty():
-            break
-        sizes = known.groupBy("band", "h", "component").agg(F.count(F.lit(1)).alias("size"))
-        bucket = Window.partitionBy("band", "h")
-        sized = known.join(sizes, ["band", "h", "component"])
-        central = sized.withColumn("turn", F.row_number().over(bucket.orderBy(F.desc("shared"), "rep")))
-        apart = sized.withColumn("turn", F.row_number().over(bucket.orderBy("size", F.desc("shared"), "rep")))
-        names = ["band", "h", "rep", "n", "shared", "component"]
-        chosen = [x.where(F.col("turn") <= LEADERS).select(*names) for x in (central, apart)]
-        chosen = materialise(chosen[0].union(chosen[1]).distinct(), "near-leaders")
-        lead = chosen.select("band", "h", *[F.col(c).alias(f"a_{c}") for c in names[2:]])
-        most = F.least("shared", "a_shared")
-        close = alike(F.col("a_n"), F.col("n")) & (most * 100 >= (F.col("n") + F.col("a_n") - most) * percent)
-        met = known.join(lead, ["band", "h"]).where("component <> a_component").where(close)
-        pairs = met.select(F.least("a_rep", "rep").alias("a"), F.greatest("a_rep", "rep").alias("b")).distinct()
-        new = materialise(_verified(materialise(pairs, "near-pairs"), sets, percent), "near-links")
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            components = connected_components(nodes, edges.unionByName(ties))
-        open_ = known.join(chosen, ["band", "h", "rep"], "left_anti").select("band", "h", "rep", "n")
+    rest = buckets.where("lead <> rep and members > 2").select("band", "h", "rep")
+    known = materialise(rest.join(components.withColumnRenamed("node", "rep"), "rep"), "near-open")
+    mixed = known.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    open_ = materialise(join_to_one(known.drop("component"), mixed.select("band", "h"), ["band", "h"], "left_semi"), "near-mixed")
+    if not open_.isEmpty():
+        own = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
+        pairs = materialise(_unmet_pairs(open_, materialise(own, "near-open-sets"), components, percent), "near-pairs")
+        new = materialise(_verified(pairs, sets, percent), "near-links")
+        # only the components that a new link joins change
+        of_a = components.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
+        of_b = components.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
+        joined = new.join(of_a, "a").join(of_b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+        joined = materialise(joined, "near-joined")
+        after = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("further"))
+        components = join_to_one(components, after, ["component"], "left")
+        components = components.select("node", F.coalesce("further", "component").alias("component"))
 
     of_class = classes.select(*key, "rep").join(components.withColumnRenamed("node", "rep"), "rep").select(*key, "component")
-    joined = marks.drop("bands").join(of_class, key, "left")
+    joined = join_to_one(marks.drop("bands"), of_class, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -311,5 +407,6 @@ def drop_near_duplicates(
 
     Documents without words and rows with a null id all stay.
     """
-    found = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(found.distinct(), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = unused_name(docs)
+    found = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone))
+    return docs.join(found.distinct(), docs[id_col] == F.col(gone), "left_anti")

@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir`` that driver and executors share.
 
-    Only where the setting is missing (tests, a local session) a folder of our own is
-    set for the session's context.
+    Only where the setting is missing in a local session (tests) a folder of our own is set
+    for the session's context; on a cluster a missing setting is an error, as executors
+    can't see the driver's folders.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(root)
         root = context.getCheckpointDir()
@@ -46,7 +49,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for tables that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused_name(df: DataFrame, name: str = "helper") -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def text_or_empty(column: str = "text"):
@@ -55,14 +76,58 @@ def text_or_empty(column: str = "text"):
 
 
 def held_out(doc_id):
-    """True for the documents whose labels no model may see: crc32 of the id as text, mod 5, is 0."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """True for the documents whose labels no model may see: crc32 of the id as text, mod 5, is 0.
+
+    A null id has no label to hide, so it is False.
+    """
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+HOT_SHARE, HOT_ROWS = 1000, 200
+
+
+def hot_keys(rows: DataFrame, key: list[str], share: int = HOT_SHARE) -> DataFrame | None:
+    """The keys that hold a ``share``-th of all rows or more, and over HOT_ROWS; None if there are none.
+
+    They number at most ``share`` by arithmetic.
+    """
+    total = rows.count()
+    if total <= HOT_ROWS:
+        return None
+    return hot_among(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key, total, share)
+
+
+def hot_among(counts: DataFrame, key: list[str], total: int, share: int = HOT_SHARE) -> DataFrame | None:
+    """hot_keys of ``total`` rows, of which ``counts`` has ``n`` for each key."""
+    if total <= HOT_ROWS:
+        return None
+    hot = materialise(counts.where((F.col("n") > HOT_ROWS) & (F.col("n") * share >= total)).select(*key), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def join_to_one(rows: DataFrame, one: DataFrame, key: list[str], how: str = "inner", hot: DataFrame | None | str = "find") -> DataFrame:
+    """``rows`` with the columns of ``one``, which has a row for each key at most.
+
+    Rows of a hot key stay where they are and meet its row by broadcast, which hot_keys
+    bounds; only the others are shuffled by the key. ``how``: inner, left or left_semi.
+    ``rows`` is read several times, so it should be cheap to read; the keys given as ``hot``
+    needn't be found again.
+    """
+    if isinstance(hot, str):
+        hot = hot_keys(rows, key)
+    if hot is None:
+        return rows.join(one, key, how)
+    flag = F.col("met_hot_key").isNotNull()
+    marked = rows.join(F.broadcast(hot.withColumn("met_hot_key", F.lit(True))), key, "left")
+    few = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))
+    near = marked.where(flag).drop("met_hot_key").join(few, key, how)
+    return near.unionByName(marked.where(~flag).drop("met_hot_key").join(one, key, how))
+
+
 _shipped: set[str] = set()
 
 

@@ -210,10 +210,13 @@ def encoder(path: str) -> Encoder:
 
 
 def text_batches(batches: Iterator, columns: list[str], most: int = BATCH_BYTES) -> Iterator[tuple[list, ...]]:
-    """Columns of Arrow batches as lists, in runs of about ``most`` bytes of text (the last column)."""
+    """Columns of Arrow batches as lists, in runs of at most ``most`` bytes of text (the last column).
+
+    A longer text comes alone.
+    """
+    from panelspark.llm.bytehash import byte_runs
+
     for batch in batches:
-        lengths = batch.column(columns[-1]).nbytes // max(1, batch.num_rows)
-        step = max(1, int(most // max(1, lengths)))
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
+        for i, j in byte_runs(batch.column(columns[-1]), most):
+            part = batch.slice(i, j - i)
             yield tuple(part.column(c).to_pylist() for c in columns)
