@@ -2,8 +2,9 @@
 
 Documents are cut into full sequences and a rest. The histogram of the pieces' lengths, at
 most one row for each length, is all that the driver sees: lengths are placed longest first
-into the pattern with the most room, whose count is split where it holds more packs than
-there are pieces. Patterns are then joined back to the pieces by their rank among the pieces
+into the pattern with the most room (the shortest pack), whose count is split where it holds
+more packs than there are pieces; where none has room, only as many packs are opened as the
+tokens that are left would fill. Patterns are then joined back to the pieces by their rank among the pieces
 of one length.
 """
 
@@ -17,9 +18,14 @@ from panelspark.llm.tokens import encoder, text_batches, vocabulary_path
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns (packs of this kind, their lengths) that hold every counted length."""
+    """Patterns (packs of this kind, their lengths) that hold every counted length.
+
+    Where no open pack has room for a length, as many are opened as what is left to place
+    would fill, but not more than there are pieces of this length.
+    """
     open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = {}  # by the room that is left
     done: list[tuple[int, tuple[int, ...]]] = []
+    tokens = sum(length * n for length, n in counts.items())  # to be placed
 
     def put(room: int, count: int, lengths: tuple[int, ...]) -> None:
         if room:
@@ -32,8 +38,8 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, tup
         while left:
             room = max(open_packs, default=0)
             if room < length:
-                put(capacity - length, left, (length,))
-                break
+                room = capacity
+                put(room, min(left, -(-tokens // capacity)), ())
             packs = open_packs[room]
             count, lengths = packs.pop()
             if not packs:
@@ -43,7 +49,8 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, tup
                 put(room, count - taken, lengths)
             put(room - length, taken, (*lengths, length))
             left -= taken
-    return done + [x for packs in open_packs.values() for x in packs]
+            tokens -= taken * length
+    return done + [x for packs in open_packs.values() for x in packs if x[1]]
 
 
 def pattern_slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
