@@ -5,12 +5,16 @@ is a pair of centroids. A query walks over the pairs by the sum of its two dista
 first, with a heap (multi-sequence order), until the cells that it has met hold ``share`` of
 all entries; every entry of those cells is reranked by its exact distance.
 
-Codebooks are fitted to a bounded sample, ``SAMPLE`` entries; every vector is indexed.
+Codebooks are fitted to a bounded sample, ``SAMPLE`` entries; every vector is indexed. The
+share comes from that sample, too: for ``PROBES`` of its entries the true neighbours within
+the sample are compared with the order of their walks, and the share that reaches all but a
+small part of them (1 - ``RECALL``) is taken. Neighbours among all entries are nearer than
+those in a sample, so the share errs to the safe side where the table is larger.
+
 Equal vectors are one entry that keeps its smallest ids, one more than are asked for, which
 is all of it that a result can hold. Entries and queries meet in blocks of at most about
-``BLOCK`` by ``BLOCK`` rows, so no cell, however full, ends up in one task. Measured against
-brute force, 128 centroids and a share of 0.4 find over 95 of 100 neighbours of unclustered
-64-dimensional vectors, whatever their number; clustered ones need a smaller share.
+``BLOCK`` by ``BLOCK`` rows, so no cell, however full, ends up in one task, and a side is
+copied once for each block of the other.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from panelspark.llm.shared import map_batches, materialise, ship
 
 SAMPLE = 20_000
 CENTROIDS = 128
-SHARE = 0.4
-BLOCK = 2_048
+RECALL = 0.98
+PROBES = 256
+BLOCK = 16_384
+QUERIES_A_TASK = 64
 
 
 def fit_codebook(x, centroids: int, rounds: int = 12, seed: int = 7):
@@ -67,6 +73,26 @@ def walk(first, second, counts, wanted: int) -> list[tuple[int, int]]:
     return out
 
 
+def needed_share(x, books, half: int, k: int, recall: float = RECALL, probes: int = PROBES, seed: int = 7) -> float:
+    """The share of entries that walks must meet to find ``recall`` of the true neighbours, measured on a sample."""
+    import numpy as np
+
+    cells = squared_distances(x[:, :half], books[0]).argmin(1) * len(books[1]) + squared_distances(x[:, half:], books[1]).argmin(1)
+    counts = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
+    asked = np.random.default_rng(seed).permutation(len(x))[:probes]
+    needed = []
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        near = np.argpartition(d, min(k, len(x) - 1))[: min(k, len(x) - 1)]
+        first, second = squared_distances(x[q : q + 1, :half], books[0])[0], squared_distances(x[q : q + 1, half:], books[1])[0]
+        order = np.argsort((first[:, None] + second[None]).ravel(), kind="stable")
+        met = np.empty(len(order))
+        met[order] = np.cumsum(counts[order]) - counts[order]  # entries met before each cell
+        needed += list((met[cells[near]] + 1) / len(x))
+    return float(np.quantile(needed, recall)) if needed else 1.0
+
+
 def _matrix(column):
     import numpy as np
 
@@ -79,12 +105,13 @@ def nearest_neighbours(
     k: int = 10,
     every: int = 100,
     centroids: int = CENTROIDS,
-    share: float = SHARE,
+    share: float | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """Of each query, the rows whose id is divisible by ``every``, its ``k`` nearest others that
     the index finds: query_id, rank (from 1), vec_id, score (Euclidean distance in double).
+    ``share`` of all entries is reranked for each query; None: as many as the sample asks for.
 
     Ties go to the smaller id. Vectors that are null, zero, of another length than most,
     or hold null or non-finite components take no part, nor do rows with a null id; a row
@@ -116,6 +143,8 @@ def nearest_neighbours(
     half = length["n"] // 2
     x = _matrix(sample)
     books = [fit_codebook(x[:, :half], centroids), fit_codebook(x[:, half:], centroids)]
+    if share is None:
+        share = needed_share(x, books, half, k)
 
     def assign(batches):
         import pyarrow as pa
@@ -141,7 +170,8 @@ def nearest_neighbours(
     asked = valid.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     asked = materialise(asked.join(entries.select("v", "entry"), "v").select("query_id", "entry"), "ann-queries")
     queries = index.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "v")
-    query_blocks = max(1, -(-queries.count() // BLOCK))
+    n_queries = queries.count()
+    query_blocks = max(1, -(-n_queries // BLOCK))
     wanted = max(k + 1, int(np.ceil(share * n_entries)))
 
     def plan(batches):
@@ -162,7 +192,7 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["entry", "v", "c1", "cells"])
 
     key = ["c1", "block", "query_block"]
-    plans = map_batches(queries.repartition("entry"), plan, "entry long, v array<double>, c1 int, cells binary")
+    plans = map_batches(queries.repartition(max(1, -(-n_queries // QUERIES_A_TASK)), "entry"), plan, "entry long, v array<double>, c1 int, cells binary")
     left = plans.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1))).withColumn(
         "query_block", F.pmod(F.xxhash64("entry"), F.lit(query_blocks)).cast("int")
     )
