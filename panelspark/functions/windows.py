@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-10
-#: Rows of a block of the exponential filter; weights within a block stay far from overflow.
-EWM_BLOCK = 256
+#: A block of the exponential filter is so long that weights grow by no more than e ** EWM_GROWTH in it, far from overflow.
+EWM_GROWTH, EWM_LONGEST = 500, 4096
 
 
 def over(by: str | list[str] = "stock", order: str = "d"):
@@ -80,33 +80,35 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], by: str | list[
     ``specs``: new column -> (column, a, least observations). Leading NULLs are no
     observations; a NULL between others is not expected and stays NULL.
 
-    A row's value is the weighted sum of its block of EWM_BLOCK observations up to it, by a
-    scaled prefix sum, plus the decayed value at the end of the block before. That value is
-    the same sum over the blocks before; their weights fall by (1 - a) ** EWM_BLOCK, so a
-    few of them give every bit of a double. Windows only, linear in the rows.
+    A row's value is the weighted sum of its block of observations up to it, by a scaled
+    prefix sum, plus the decayed value at the end of the block before. That value is the
+    same sum over the blocks before; their weights fall by (1 - a) ** block, so one or two
+    of them give every bit of a double. Windows only, linear in the rows.
     """
+    fastest = max((a for _, a, _ in specs.values() if a < 1), default=0.5)
+    block_rows = max(1, min(EWM_LONGEST, int(EWM_GROWTH / -math.log(1 - fastest))))
     by = [by] if isinstance(by, str) else by
     w = over(by, order)
     upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     kept = df.columns
     inputs = dict.fromkeys(x for x, *_ in specs.values())
     df = df.select("*", *[(F.count(x).over(upto) - 1).alias(f"__n_{x}") for x in inputs])
-    place = {x: F.col(f"__n_{x}") % EWM_BLOCK for x in inputs}
+    place = {x: F.col(f"__n_{x}") % block_rows for x in inputs}
 
     def local(x: str, a: float) -> Column:
         weight = F.when(F.col(f"__n_{x}") == 0, F.lit(1.0)).otherwise(F.lit(a))
-        block = Window.partitionBy(*by, F.floor(F.col(f"__n_{x}") / EWM_BLOCK)).orderBy(order)
+        block = Window.partitionBy(*by, F.floor(F.col(f"__n_{x}") / block_rows)).orderBy(order)
         summed = F.sum(F.col(x) * weight * F.pow(F.lit(1 - a), -place[x])).over(block.rowsBetween(Window.unboundedPreceding, 0))
         return summed * F.pow(F.lit(1 - a), place[x])
 
     df = df.select("*", *[local(x, a).alias(f"__local_{out}") for out, (x, a, _) in specs.items()])
-    ends = {out: F.when((place[x] == EWM_BLOCK - 1) & F.col(x).isNotNull(), F.col(f"__local_{out}")) for out, (x, *_) in specs.items()}
+    ends = {out: F.when((place[x] == block_rows - 1) & F.col(x).isNotNull(), F.col(f"__local_{out}")) for out, (x, *_) in specs.items()}
     before = lambda out: F.coalesce(F.last(f"__end_{out}", ignorenulls=True).over(earlier), F.lit(0.0))
     rest = df.columns
     df = df.select("*", *[ends[out].alias(f"__end_{out}") for out in specs])
-    rounds = max(math.ceil(math.log(1e-20) / (EWM_BLOCK * math.log(1 - a))) if 0 < a < 1 else 1 for _, a, _ in specs.values())
+    rounds = max(math.ceil(math.log(1e-20) / (block_rows * math.log(1 - a))) if 0 < a < 1 else 1 for _, a, _ in specs.values())
     for _ in range(rounds):
-        df = df.select(*rest, *[(ends[out] + before(out) * (1 - a) ** EWM_BLOCK).alias(f"__end_{out}") for out, (_, a, _) in specs.items()])
+        df = df.select(*rest, *[(ends[out] + before(out) * (1 - a) ** block_rows).alias(f"__end_{out}") for out, (_, a, _) in specs.items()])
     columns = []
     for out, (x, a, least) in specs.items():
         y = F.col(f"__local_{out}") + before(out) * F.pow(F.lit(1 - a), place[x] + 1)

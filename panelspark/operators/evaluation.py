@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import windows as W
+from panelspark.functions.ranks import sums_before
 
 
 def date_index(rows: DataFrame) -> DataFrame:
@@ -86,5 +87,30 @@ def evaluate(rows: DataFrame, by: list[str], up_signal: float = 60.0) -> DataFra
     return out.join(auc(rows, by), by)
 
 
+def mid_ranks(rows: DataFrame, reference: DataFrame, near: float = 1e-4, relative: float = 1e-5) -> DataFrame:
+    """``rows`` with pct: the share (in per cent) of the reference's p below theirs, near ties counted half.
+
+    Both tables are put in one order of p: running counts of the reference up to the lower and up
+    to the upper edge of each row's tolerance give the two numbers. No row meets every reference row.
+    """
+    width = near + relative * F.abs("p")
+    edge = lambda value, kind: rows.select(*rows.columns, value.alias("__at"), F.lit(kind).alias("__kind"))
+    # at equal places the lower edge comes before reference values, the upper one after them
+    marks = edge(F.col("p") - width, 0).unionByName(edge(F.col("p") + width, 2))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in rows.dtypes]
+    all_ = marks.unionByName(reference.select(*nothing, F.col("p").alias("__at"), F.lit(1).alias("__kind")))
+    counts = all_.groupBy("__at", "__kind").agg(F.sum((F.col("__kind") == 1).cast("long")).alias("__n"))
+    counts = counts.withColumn("__place", F.struct("__at", "__kind"))
+    placed = sums_before(counts.select("__place", "__n"), [], "__place", ["__n"])
+    found = marks.withColumn("__place", F.struct("__at", "__kind")).join(placed.drop("__n"), "__place")
+    total = reference.agg(F.count(F.lit(1)).alias("__total"))
+    both = found.groupBy(*rows.columns).agg(
+        F.max(F.when(F.col("__kind") == 0, F.col("before___n"))).alias("__below"), F.max(F.when(F.col("__kind") == 2, F.col("before___n"))).alias("__upto")
+    )
+    share = (F.col("__below") + F.col("__upto")) / 2 / F.col("__total") * 100
+    return both.join(F.broadcast(total), F.lit(True)).select(*rows.columns, share.alias("pct"))
+
+
+#: The columns of a report on forecasts.
 METRICS = ["roc_auc", "directional_accuracy", "balanced_accuracy", "precision", "recall", "f1", "up_signal_precision", "up_rate_top_quintile",
            "up_rate_bottom_quintile", "up_rate", "majority_baseline_accuracy", "log_loss", "brier_score", "rmse_probability"]

@@ -16,8 +16,10 @@ STOCK_FEATURES = [
     "RSI", "Stoch_K", "BB_PctB", "High252_Dist", "Low252_Dist",
     "Volatility", "Vol_60", "Vol_Ratio", "ATR_Ratio", "Volume_Ratio",
 ]
+#: Those that do.
 MARKET_FEATURES = ["Mkt_Ret_21", "Mkt_Ret_63", "Mkt_SMA200_Ratio", "Mkt_Vol_20", "Rel_Ret_21", "Rel_Ret_63"]
 MIN_HISTORY = 260
+OSCILLATORS = ["__macd", "__signal", "__rsi"]
 
 
 def true_range(w) -> Column:
@@ -61,8 +63,11 @@ def returns(df: DataFrame, by="stock", order="d") -> DataFrame:
     )
 
 
-def baseline(df: DataFrame, by="stock", order="d") -> DataFrame:
-    """The features that need the stock's own bars; one shuffle by stock."""
+def baseline(df: DataFrame, by="stock", order="d", keep_oscillators: bool = False) -> DataFrame:
+    """The features that need the stock's own bars; one shuffle by stock.
+
+    ``keep_oscillators`` leaves MACD and RSI as they are for ``technical`` on the same rows.
+    """
     w = W.over(by, order)
     df = macd_and_rsi(returns(df, by, order), by, order)
     df = df.withColumn("__tr", true_range(w))
@@ -101,7 +106,7 @@ def baseline(df: DataFrame, by="stock", order="d") -> DataFrame:
         "Volume_Ratio": W.log((x["v5"] + 1) / (x["v60"] + 1)),
     }
     out = df.select("*", *[W.finite(x).alias(n) for n, x in features.items()])
-    return out.drop("__macd", "__signal", "__rsi", "__tr", *[f"__{n}" for n in steps])
+    return out.drop(*([] if keep_oscillators else OSCILLATORS), "__tr", *[f"__{n}" for n in steps])
 
 
 def technical(
@@ -109,8 +114,9 @@ def technical(
 ) -> DataFrame:
     """The 19 features of one timeframe, named by its prefix, beside the bars' own columns."""
     w = W.over(by, order)
-    kept = df.columns
-    df = macd_and_rsi(df, by, order)
+    kept = [c for c in df.columns if c not in OSCILLATORS]
+    if len(kept) == len(df.columns):
+        df = macd_and_rsi(df, by, order)
     df = W.ewm(df, {"__ema_f": ("c", 2 / (fast + 1), fast), "__ema_s": ("c", 2 / (slow + 1), slow)}, by, order)
     df = df.withColumn("__r", W.log_ratio(F.col("c"), W.lag(F.col("c"), 1, w))).withColumn("__tr", true_range(w))
     df = df.withColumn("__vol", W.std(F.col("__r"), vol_window, w)).withColumn("__atr", W.mean(F.col("__tr"), 14, w))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import windows as W
+from panelspark.functions.ranks import sums_before, value_ranks
 from panelspark.operators.evaluation import auc
+from panelspark.sources.io import ensure_checkpoints, stored
 
 #: Parts of names that speak of the future.
 FORBIDDEN = "(?i)target|future|forward|fwd|next_|label"
@@ -36,17 +38,74 @@ def correlation(a: str, b: str):
     return F.when(spread > 1e-12, F.covar_pop(a, b) / spread)
 
 
-def spearman(long: DataFrame, keys: list[str]) -> DataFrame:
+def _corr_sums(pairs, ranks):
+    """Aggregates from which the correlation of each pair follows, over the rows that have both."""
+    out = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = ranks[a], ranks[b]
+        out.append(F.when(F.stddev_pop(x) * F.stddev_pop(y) > 1e-12, F.corr(x, y)).alias(f"p{i}"))
+    return out
+
+
+def spearman(frame: DataFrame, features: list[str], chunk: int = 1_000) -> DataFrame:
     """a, b, rho of every pair of features a < b, each over the rows that have both.
 
-    Values of a pair are ranked among its complete rows. The pairs are those of features,
-    of which there are a few dozen, within each row.
+    Each feature is ranked once over its own rows, by ranges of its values, and all pairs
+    come out of wide aggregates over the rows. A pair whose features are missing in other
+    rows has other ranks; only the rows of such pairs are ranked by pair, in long form.
+    """
+    features = sorted(features)
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
+    wide = stored(frame.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features]), "ranked-rows")
+    missing = {}
+    for at in range(0, len(pairs), chunk):
+        part = pairs[at : at + chunk]
+        one = wide.agg(*[F.bool_or(F.col(f"`{a}`").isNull() != F.col(f"`{b}`").isNull()).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
+        missing |= {pair: bool(one[i]) for i, pair in enumerate(part)}
+    alike, unlike = [p for p in pairs if not missing[p]], [p for p in pairs if missing[p]]
+
+    long = long_form(wide, ["row"], features).where("x is not null")
+    ranked = join_values(long, value_ranks(long, ["feature"], "x"))
+    names = dict(zip(features, (f"r{i}" for i in range(len(features)))))
+    ranks = stored(ranked.groupBy("row").agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(n) for f, n in names.items()]), "ranks")
+    columns = {f: F.col(n) for f, n in names.items()}
+    schema = "a string, b string, rho double"
+    found = frame.sparkSession.createDataFrame([], schema)
+    for at in range(0, len(alike), chunk):
+        part = alike[at : at + chunk]
+        one = ranks.agg(*_corr_sums(part, columns))
+        rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(part)])
+        found = found.unionByName(one.select(F.inline(rows)))
+    if unlike:
+        sides = [F.struct(F.lit(f"{a}|{b}").alias("feature"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("xa"), F.col(f"`{b}`").alias("xb")) for a, b in unlike]
+        both = wide.select("row", F.explode(F.array(*sides)).alias("p")).select("p.*").where("xa is not null and xb is not null")
+        both = stored(both, "ranked-pairs")
+        for x in ("xa", "xb"):
+            ranked = join_values(both.withColumnRenamed(x, "x"), value_ranks(both, ["feature"], x).withColumnRenamed(x, "x"))
+            both = ranked.withColumnRenamed("x", x).withColumnRenamed("rank", f"r{x}")
+        found = found.unionByName(both.groupBy("a", "b").agg(correlation("rxa", "rxb").alias("rho")))
+    return found
+
+
+def join_values(long: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``long`` (feature, x and more) with the rank of each value.
+
+    A value that holds a hundredth of its feature's rows is broadcast: there are at most a
+    hundred of them a feature, and features are few dozen.
     """
-    x = long.where("x is not null")
-    y = x.select(*keys, F.col("feature").alias("b"), F.col("x").alias("xb"))
-    both = x.withColumnRenamed("feature", "a").join(y, keys).where("a < b")
-    ranked = both.select("a", "b", W.pct_rank(F.col("x"), ["a", "b"]).alias("ra"), W.pct_rank(F.col("xb"), ["a", "b"]).alias("rb"))
-    return ranked.groupBy("a", "b").agg(correlation("ra", "rb").alias("rho"))
+    sizes = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    total = long.groupBy("feature").agg(F.count(F.lit(1)).alias("total"))
+    common = sizes.join(F.broadcast(total), "feature").where((F.col("n") * 100 >= F.col("total")) & (F.col("n") > 1000)).select("feature", "x")
+    common = F.broadcast(ranks.join(F.broadcast(common), ["feature", "x"], "left_semi"))
+    marked = long.join(common.withColumnRenamed("rank", "common"), ["feature", "x"], "left")
+    rest = marked.where("common is null").drop("common").join(ranks, ["feature", "x"])
+    return marked.where("common is not null").withColumnRenamed("common", "rank").unionByName(rest)
+
+
+def long_ranks(long: DataFrame) -> DataFrame:
+    """``long`` without missing values, with the rank of x among its feature's values."""
+    held = long.where("x is not null")
+    return join_values(held, value_ranks(held, ["feature"], "x"))
 
 
 def duplicates(pairs: DataFrame, order: list[str], threshold: float = 0.999) -> DataFrame:
@@ -72,7 +131,9 @@ def clusters(pairs: DataFrame, features: DataFrame, threshold: float = 0.90) ->
 
     Labels spread along the pairs until none changes; each round is a join and a minimum.
     """
-    close = pairs.where(F.abs("rho") >= threshold).select("a", "b")
+    ensure_checkpoints(pairs.sparkSession)
+    a, b = (features.select(F.col("feature").alias(x)) for x in "ab")
+    close = pairs.where(F.abs("rho") >= threshold).select("a", "b").join(a, "a", "left_semi").join(b, "b", "left_semi")
     edges = close.union(close.select("b", "a")).toDF("a", "b").checkpoint()
     labels = features.select("feature", F.col("feature").alias("cluster")).checkpoint()
     while True:
@@ -87,8 +148,7 @@ def mutual_information(long: DataFrame, y: DataFrame, keys: list[str], bins: int
     """feature, mi: mutual information of a 0/1 outcome and the feature's quantile bin, the median for missing ones."""
     middle = long.groupBy("feature").agg(F.median("x").alias("middle"))
     filled = long.join(F.broadcast(middle), "feature").select(*keys, "feature", F.coalesce("x", "middle").alias("x")).join(y, keys)
-    rank = W.pct_rank(F.col("x"), ["feature"])
-    binned = filled.withColumn("bin", F.least(F.lit(bins - 1), F.floor(rank * bins)))
+    binned = long_ranks(filled).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("rank") * bins)))
     cell = binned.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     total = F.sum("n").over(Window.partitionBy("feature"))
     row, column = F.sum("n").over(Window.partitionBy("feature", "bin")), F.sum("n").over(Window.partitionBy("feature", "y"))
@@ -97,18 +157,38 @@ def mutual_information(long: DataFrame, y: DataFrame, keys: list[str], bins: int
 
 
 def single_feature_auc(long: DataFrame, y: DataFrame, keys: list[str], least: int = 1000) -> DataFrame:
+    """feature, roc_auc of each feature by itself, of those with over ``least`` values and both outcomes."""
     rows = long.where("x is not null").join(y, keys)
-    enough = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("y").alias("kinds")).where((F.col("n") > least) & (F.col("kinds") == 2))
-    return auc(rows.join(F.broadcast(enough.select("feature")), "feature").withColumnRenamed("x", "p"), ["feature"])
+    counts = rows.groupBy("feature", "x").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    placed = sums_before(counts, ["feature"], "x", ["n0"])
+    won = F.sum(F.col("n1") * (F.col("before_n0") + F.col("n0") / 2))
+    summed = placed.groupBy("feature").agg(won.alias("won"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    enough = (F.col("n1") + F.col("n0") > least) & (F.col("n1") > 0) & (F.col("n0") > 0)
+    return summed.where(enough).select("feature", (F.col("won") / (F.col("n1") * F.col("n0"))).alias("roc_auc"))
+
+
+def drop_invalid(features: DataFrame, reasons: DataFrame) -> DataFrame:
+    """The features that no row of ``reasons`` (feature, reason) names."""
+    return features.join(reasons.select("feature").distinct(), "feature", "left_anti")
+
+
+def is_harmful() -> Column:
+    """Shuffling the feature helps on the whole, and hurts in a quarter of the folds at most."""
+    return (F.col("permutation") < 0) & (F.col("positive_folds") <= 0.25)
 
 
 def votes(importances: DataFrame, methods: list[str], least: int = 2) -> DataFrame:
-    """Each method's percentile, how many put the feature in the upper half, and whether it stays."""
+    """Each method's percentile, how many put the feature in the upper half, and whether it stays.
+
+    With the columns ``permutation`` and ``positive_folds`` a harmful feature goes whatever its votes.
+    """
     ranked = importances.select("*", *[_share_rank(m).alias(f"rank_{m}") for m in methods])
     count = sum((F.coalesce((F.col(f"rank_{m}") > 0.5).cast("int"), F.lit(0)) for m in methods), F.lit(0))
     known = sum((F.coalesce(F.col(f"rank_{m}"), F.lit(0.0)) for m in methods), F.lit(0.0))
     there = sum((F.col(f"rank_{m}").isNotNull().cast("int") for m in methods), F.lit(0))
-    return ranked.withColumn("votes", count).withColumn("selected", F.col("votes") >= least).withColumn("composite", F.try_divide(known, there))
+    harmful = F.coalesce(is_harmful(), F.lit(False)) if {"permutation", "positive_folds"} <= {*importances.columns} else F.lit(False)
+    voted = ranked.withColumn("votes", count).withColumn("harmful", harmful)
+    return voted.withColumn("selected", (F.col("votes") >= least) & ~F.col("harmful")).withColumn("composite", F.try_divide(known, there))
 
 
 def _share_rank(m: str):
@@ -125,6 +205,24 @@ def best_of_clusters(voted: DataFrame, clustered: DataFrame) -> DataFrame:
     return x.select("feature", "cluster", best.alias("of")).withColumn("stays", F.col("feature") == F.col("of"))
 
 
+def report(candidates: DataFrame, removed: DataFrame, voted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A row for each candidate: its scores, votes, whether it is selected, and why not if it isn't.
+
+    ``removed`` (feature, reason) are those that never came to a vote, ``chosen`` the result
+    of best_of_clusters; the selected ones come first, then by attribution.
+    """
+    kept = chosen.select("feature", "of", "stays")
+    x = candidates.join(removed.groupBy("feature").agg(F.min("reason").alias("early")), "feature", "left").join(voted, "feature", "left").join(kept, "feature", "left")
+    selected = F.coalesce(F.col("stays"), F.lit(False))
+    late = F.when(F.col("harmful"), "permutation importance negative out of sample").when(~F.col("selected"), "low agreement between selection methods")
+    redundant = F.when(~F.col("stays"), F.concat(F.lit("redundant with "), F.col("of")))
+    reason = F.when(selected, "").otherwise(F.coalesce("early", late, redundant, F.lit("not scored")))
+    scores = [c for c in voted.columns if c not in ("feature", "selected", "harmful", "composite") and not c.startswith("rank_")]
+    out = x.select("feature", *scores, selected.alias("selected"), reason.alias("removal_reason"))
+    order = [F.desc("selected"), *([F.col("attribution").desc_nulls_last()] if "attribution" in scores else []), F.col("feature")]
+    return out.orderBy(*order)
+
+
 def forbidden_names(spark, features: list[str]) -> DataFrame:
     names = spark.createDataFrame([(f,) for f in features], "feature string")
     return names.where(F.col("feature").rlike(FORBIDDEN))
@@ -159,3 +257,40 @@ def point_in_time_mismatches(build, bars: DataFrame, features: list[str], quanti
     both = then.join(now, ["s", "cutoff", "feature"])
     same = (F.col("x").isNull() & F.col("past_value").isNull()) | F.coalesce(F.abs(F.col("x") - F.col("past_value")) <= 1e-10 + 1e-7 * F.abs("past_value"), F.lit(False))
     return both.where(~same).select(F.col("s").alias("stock"), "cutoff", "feature", F.col("x").alias("full_value"), "past_value")
+
+
+def frame_mismatches(build, sources: dict[str, DataFrame], features: list[str], quantiles=(0.3, 0.6, 0.9), close_minutes: int = 930) -> DataFrame:
+    """stock, cutoff, feature and both values where a build from truncated sources differs from the full build.
+
+    ``build(sources, by)`` makes the feature frame; ``sources`` has ``bars``, ``market``, ``vix``,
+    ``fx`` and intraday bars under the names of their timeframes. At each cutoff, days at the
+    quantiles of the calendar and the last but one, every source ends: bars and context with
+    the day, the exchange rate before it, intraday bars at its close. The truncated sources of
+    all cutoffs are one set of tables with a key ``cut``, so the build runs once over all of
+    them: a copy of the table for each of a handful of cutoffs.
+    """
+    days = sources["bars"].select("d").distinct().withColumn("i", F.row_number().over(Window.orderBy("d")) - 1)
+    days = stored(days, "audit-days")
+    n = days.count()
+    places = sorted({*(int(n * q) for q in quantiles), max(0, n - 2)})
+    cuts = F.broadcast(stored(days.where(F.col("i").isin(places)).select(F.col("i").alias("cut"), F.col("d").alias("cutoff")), "audit-cuts"))
+    ends = {"fx": F.col("d") < F.col("cutoff")}
+    past = {}
+    for name, table in sources.items():
+        daily = "d" in table.columns
+        upto = ends.get(name, F.col("d") <= F.col("cutoff") if daily else F.col("bar_end") <= F.col("cutoff").cast("timestamp") + F.expr(f"INTERVAL {close_minutes} MINUTES"))
+        past[name] = table.join(cuts, upto).drop("cutoff")
+    seen = build(past, ["cut"]).join(cuts, "cut").where("d = cutoff")
+    then = long_form(seen, ["stock", "cutoff"], features).withColumnRenamed("x", "past_value")
+    full = build(sources, []).join(cuts.select(F.col("cutoff").alias("d")), "d").withColumnRenamed("d", "cutoff")
+    both = then.join(long_form(full, ["stock", "cutoff"], features), ["stock", "cutoff", "feature"])
+    same = (F.col("x").isNull() & F.col("past_value").isNull()) | F.coalesce(F.abs(F.col("x") - F.col("past_value")) <= 1e-10 + 1e-7 * F.abs("past_value"), F.lit(False))
+    return both.where(~same).select("stock", "cutoff", "feature", F.col("x").alias("full_value"), "past_value")
+
+
+def audit_report(mismatches: DataFrame, price_levels: list[str]) -> DataFrame:
+    """feature, reason: those that no model may use, as the audit found them or as they carry a price."""
+    leaky = mismatches.select("feature").distinct().withColumn("reason", F.lit("value changes when future data is removed"))
+    spark = mismatches.sparkSession
+    levels = spark.createDataFrame([(f,) for f in price_levels], "feature string").withColumn("reason", F.lit("price level that differs between stocks"))
+    return leaky.unionByName(levels.join(leaky.select("feature"), "feature", "left_anti"))

@@ -8,7 +8,7 @@ from panelspark.functions import windows as W
 from panelspark.operators import context as X
 from panelspark.operators import indicators as I
 from panelspark.plans import sql as S
-from panelspark.plans.panel import EXACT, rounded, technical_names
+from panelspark.plans.panel import EXACT, rounded
 from panelspark.sources import tables as T
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -131,62 +131,133 @@ def f9_market_features(spark, d):
     return rounded(found, EXACT, CONTEXT_NAMES)
 
 
-RESAMPLED = """coarse AS (SELECT stock, CAST(start AS DATE) AS session, time_bucket(INTERVAL 15 MINUTE, start) AS bucket, arg_min(o, start) AS o, max(h) AS h, min(l) AS l, arg_max(c, start) AS c, sum(v) AS v FROM fine GROUP BY ALL),
-    reached AS (SELECT stock, CAST(start AS DATE) AS session, max(start) + INTERVAL 5 MINUTE AS reached FROM fine GROUP BY ALL),
-    bars AS (SELECT stock, session, bucket AS start, bucket + INTERVAL 15 MINUTE AS bar_end, o, h, l, c, v FROM coarse JOIN reached USING (stock, session) WHERE bucket + INTERVAL 15 MINUTE <= reached)"""
+def sessions(spark, d):
+    """Bars of 5 minutes within the sessions of the nations' stocks."""
+    return X.in_session(T.tick_bars(T.stock_ticks(spark, d), 5))
 
 
-@query("t1_resample", S.statement(S.tick_bars("fine", 5), RESAMPLED, "SELECT stock, start, o, h, l, c, CAST(v AS BIGINT) AS v FROM bars"))
-def t1_resample(spark, d):
-    bars = X.resample_bars(T.tick_bars(T.ticks(spark, d), 5), 15)
-    return bars.select("stock", F.col("start").cast("timestamp_ntz").alias("start"), "o", "h", "l", "c", "v")
+def intraday(spark, d):
+    fine = sessions(spark, d)
+    return {"5m": fine, "1h": X.resample_bars(fine, 60)}
 
 
-P_BAR = "PARTITION BY stock ORDER BY start"
-SHORT = technical_names("15m", 9, 21)
+@query("t1_resample", S.statement(S.SESSION_BARS, S.coarser("b15", 15), S.coarser("b60", 60), "SELECT 15 AS minutes, stock, start, bar_end, o, h, l, c, CAST(v AS BIGINT) AS v FROM b15 UNION ALL SELECT 60, stock, start, bar_end, o, h, l, c, CAST(v AS BIGINT) FROM b60"))
+def t1_resample(spark, d):
+    """Quarter hours and hours from 09:15 on; the last hour ends at the close."""
+    fine = sessions(spark, d)
+    both = [X.resample_bars(fine, n).withColumn("minutes", F.lit(n)) for n in (15, 60)]
+    times = [F.col(t).cast("timestamp_ntz").alias(t) for t in ("start", "bar_end")]
+    return both[0].unionByName(both[1]).select("minutes", "stock", *times, "o", "h", "l", "c", "v")
 
 
-def intraday(spark, d):
-    return X.resample_bars(T.tick_bars(T.ticks(spark, d), 5), 15).where("c > 0")
+P_BAR = "PARTITION BY stock ORDER BY start"
+SOURCES = {"5m": "fine", "15m": "b15", "1h": "b60"}
+BARS_SQL = [S.SESSION_BARS, S.coarser("b15", 15), S.coarser("b60", 60)]
+TIMEFRAME_SQL = [
+    *BARS_SQL,
+    *[f"p{p} AS (SELECT * FROM {t} WHERE c > 0), {S.technical(f'p{p}', f't{p}', p, *X.TIMEFRAMES[p], P_BAR, 'stock, start, session, bar_end')}" for p, t in SOURCES.items()],
+    *[f"""a{p} AS (SELECT stock, session AS d, bar_end AS "{p}_bar_end", * EXCLUDE (stock, session, start, bar_end) FROM t{p} WHERE bar_end <= session + INTERVAL 930 MINUTE QUALIFY row_number() OVER (PARTITION BY stock, session ORDER BY bar_end DESC) = 1)""" for p in SOURCES],
+]
+CROSS_SQL = ", ".join(f'"{a}_momentum_z" - "{b}_momentum_z" AS "{n}"' for n, (a, b) in X.CROSS.items())
+INTRADAY = [n for p in SOURCES for n in X.timeframe_names(p)]
 
 
-@query("f11_intraday_features", S.statement(S.tick_bars("fine", 5), RESAMPLED, "pos AS (SELECT * FROM bars WHERE c > 0)", S.technical("pos", "tech", "15m", 9, 21, 8, P_BAR, "stock, start"), S.rounded("tech", ["stock", "start"], SHORT, 5)))
+@query("f11_intraday_features", S.statement(*TIMEFRAME_SQL, f"""longest AS (SELECT stock, start, {', '.join(f't5m."{n}"' for n in X.timeframe_names('5m'))}, {', '.join(f't15m."{n}"' for n in X.timeframe_names('15m'))}, {', '.join(f't1h."{n}"' for n in X.timeframe_names('1h'))}
+        FROM t5m FULL JOIN t15m USING (stock, start) FULL JOIN t1h USING (stock, start))""", S.rounded("longest", ["stock", "start"], INTRADAY, 5)))
 def f11_intraday_features(spark, d):
-    found = I.technical(intraday(spark, d), "15m", 9, 21, 8, by="stock", order="start")
-    return rounded(found.withColumn("start", F.col("start").cast("timestamp_ntz")), ["stock", "start"], SHORT, 5)
+    """The features of 5-minute, 15-minute and 1-hour bars, side by side where bars start together."""
+    bars = intraday(spark, d)
+    bars["15m"] = X.resample_bars(bars["5m"], 15)
+    found = None
+    for p in SOURCES:
+        part = I.technical(bars[p].where("c > 0"), p, *X.TIMEFRAMES[p], by="stock", order="start").select("stock", "start", *[f"`{n}`" for n in X.timeframe_names(p)])
+        found = part if found is None else found.join(part, ["stock", "start"], "full")
+    return rounded(found.withColumn("start", F.col("start").cast("timestamp_ntz")), ["stock", "start"], INTRADAY, 5)
 
 
-DAILY = "daily AS (SELECT stock, CAST(start AS DATE) AS d, arg_min(o, start) AS o, max(h) AS h, min(l) AS l, arg_max(c, start) AS c, sum(v) AS v FROM pos GROUP BY ALL)"
+DAILY = S.technical("bars", "dly", "daily", *X.TIMEFRAMES["daily"])
+MTF = f"""mtf0 AS (SELECT y.*, {', '.join(f'a{p}.* EXCLUDE (stock, d)' for p in SOURCES)} FROM dly y {' '.join(f'LEFT JOIN a{p} ON a{p}.stock = y.stock AND a{p}.d = y.d' for p in SOURCES)}),
+    mtf AS (SELECT *, {CROSS_SQL} FROM mtf0)"""
+CROSSED = list(X.CROSS)
 
 
-@query("j4_intraday_to_daily", S.statement(S.tick_bars("fine", 5), RESAMPLED, "pos AS (SELECT * FROM bars WHERE c > 0)", S.technical("pos", "tech", "15m", 9, 21, 8, P_BAR, "stock, start, session, bar_end"), DAILY,
-    S.technical("daily", "dly", "daily", 3, 6, 5), """last AS (SELECT *, row_number() OVER (PARTITION BY stock, session ORDER BY bar_end DESC) AS turn FROM tech WHERE bar_end <= session + INTERVAL 930 MINUTE),
-    both_ AS (SELECT y.stock, y.d, "15m_RSI", "15m_momentum_z", "15m_momentum_z" - "daily_momentum_z" AS cross_momentum FROM dly y LEFT JOIN (SELECT * FROM last WHERE turn = 1) t ON t.stock = y.stock AND t.session = y.d)""",
-    S.rounded("both_", EXACT, ["15m_RSI", "15m_momentum_z", "cross_momentum"], 5)))
+@query("j4_intraday_to_daily", S.statement(S.BARS, *TIMEFRAME_SQL, DAILY, MTF, "sess AS (SELECT DISTINCT session AS d FROM fine), held AS (SELECT m.* FROM mtf m SEMI JOIN sess USING (d))", S.rounded("held", [*EXACT, *[f'"{p}_bar_end"' for p in SOURCES]], [*INTRADAY, *CROSSED], 5)))
 def j4_intraday_to_daily(spark, d):
-    """The last 15-minute bar of each session by its close, beside the day, and momentum across timeframes."""
-    bars = intraday(spark, d)
-    short = X.last_of_session(I.technical(bars, "15m", 9, 21, 8, by="stock", order="start"), 930)
-    day = bars.withColumn("d", F.col("session")).groupBy("stock", "d").agg(
-        F.min_by("o", "start").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "start").alias("c"), F.sum("v").alias("v"))
-    daily = I.technical(day, "daily", 3, 6, 5)
-    both = daily.join(short.select("stock", F.col("session").alias("d"), "`15m_RSI`", "`15m_momentum_z`"), ["stock", "d"], "left")
-    return rounded(both.withColumn("cross_momentum", F.col("15m_momentum_z") - F.col("daily_momentum_z")), EXACT, ["15m_RSI", "15m_momentum_z", "cross_momentum"], 5)
-
-
-FRAME = [*I.STOCK_FEATURES, *I.MARKET_FEATURES, *technical_names("daily", 20, 50), *CONTEXT_NAMES]
+    """The last bar of each session by its close beside the day, and momentum across timeframes, on the days of sessions."""
+    fine = intraday(spark, d)
+    daily = I.technical(T.nation_bars(spark, d), "daily", *X.TIMEFRAMES["daily"])
+    found = X.with_timeframes(daily, fine).join(fine["5m"].select(F.col("session").alias("d")).distinct(), "d", "left_semi")
+    ends = [F.col(f"`{p}_bar_end`").cast("timestamp_ntz").alias(f"{p}_bar_end") for p in SOURCES]
+    return rounded(found.select(*EXACT, *ends, *[f"`{n}`" for n in [*INTRADAY, *CROSSED]]), [*EXACT, *[f"`{p}_bar_end`" for p in SOURCES]], [*INTRADAY, *CROSSED], 5)
+
+
+FRAME = [*I.STOCK_FEATURES, *I.MARKET_FEATURES, *X.timeframe_names("daily"), *INTRADAY, *CROSSED, *CONTEXT_NAMES]
+LEVEL = ["vix", "vix_change"]
+FRAME_SQL = [
+    *CONTEXT_SQL, S.BASELINE, QUARTET, FILLED.replace("AND dayofweek(b.d) <> 0", ""), *TIMEFRAME_SQL, DAILY, MTF,
+    f"frame AS (SELECT b.* EXCLUDE (Daily_Return), {', '.join('m.' + x for x in I.MARKET_FEATURES)}, y.* EXCLUDE (stock, d), x.* EXCLUDE (stock, d) FROM base b JOIN rel m USING (stock, d) JOIN mtf y USING (stock, d) JOIN ctx x USING (stock, d) WHERE {' AND '.join(f'b.{x} IS NOT NULL' for x in I.STOCK_FEATURES)})",
+]
 
 
-def feature_frame(bars, market, vix, fx):
-    """Every daily feature of every stock: the one view that training, audit and serving share."""
-    base = X.with_market(I.baseline(bars).drop("Daily_Return"), market).dropna(subset=I.STOCK_FEATURES)
-    daily = I.technical(bars, "daily", 20, 50, 5).drop("sector", "o", "h", "l", "c", "v")
-    return base.join(daily, EXACT, "left").join(X.market_features(bars, market, vix, fx), EXACT, "left")
+def frame_of(spark, d):
+    return X.feature_frame(T.nation_bars(spark, d), T.market_series(spark, d), T.volatility_series(spark, d), T.fx_series(spark, d), intraday(spark, d))
 
 
-@query("f14_feature_frame", S.statement(*CONTEXT_SQL, S.BASELINE, QUARTET, FILLED.replace("AND dayofweek(b.d) <> 0", ""), S.technical("bars", "dly", "daily", 20, 50, 5),
-    f"frame AS (SELECT b.* EXCLUDE (Daily_Return), {', '.join('m.' + x for x in I.MARKET_FEATURES)}, y.* EXCLUDE (stock, d), x.* EXCLUDE (stock, d) FROM base b JOIN rel m USING (stock, d) JOIN dly y USING (stock, d) JOIN ctx x USING (stock, d) WHERE {' AND '.join(f'b.{x} IS NOT NULL' for x in I.STOCK_FEATURES)})",
-    S.rounded("frame", EXACT, FRAME, 5)))
+@query("f14_feature_frame", S.statement(*FRAME_SQL, S.rounded("frame", [*EXACT, *LEVEL], FRAME, 5)))
 def f14_feature_frame(spark, d):
-    found = feature_frame(T.nation_bars(spark, d), T.market_series(spark, d), T.volatility_series(spark, d), T.fx_series(spark, d))
-    return rounded(found, EXACT, FRAME, 5)
+    return rounded(frame_of(spark, d), [*EXACT, *LEVEL], FRAME, 5)
+
+
+GROUPS = {
+    "baseline": [*I.STOCK_FEATURES, *I.MARKET_FEATURES],
+    "market": ["vix", "vix_change", *CONTEXT_NAMES],
+    "daily_mtf": X.timeframe_names("daily")[:14],
+    "intraday_1h": [*X.timeframe_names("1h")[:14], "1h_vs_daily_momentum"],
+    "intraday_short": [*X.timeframe_names("5m")[:14], *X.timeframe_names("15m")[:14], "5m_vs_15m_momentum", "15m_vs_1h_momentum"],
+}
+
+
+@query("f15_dataset", S.statement(*FRAME_SQL, "SELECT coalesce(CAST(sector AS VARCHAR), 'NONE') AS sector, count(*) AS n, count(DISTINCT stock) AS stocks, min(d) AS first_day, max(d) AS last_day, round(avg(CAST(RSI AS FLOAT)), 3) AS rsi FROM frame GROUP BY 1"))
+def f15_dataset(spark, d):
+    """The stored feature table: single precision, tagged by sector, without the columns that only book-keep; profiled when read back."""
+    from panelspark.sources import io
+
+    frame = frame_of(spark, d).withColumn("sector", F.coalesce(F.col("sector").cast("string"), F.lit("NONE")))
+    frame = frame.drop(*[f"{p}_bar_end" for p in SOURCES])
+    single = [F.col(f"`{n}`").cast("float").alias(n) if t == "double" else F.col(f"`{n}`") for n, t in frame.dtypes]
+    path = io.scratch(spark, "feature-table")
+    io.write_dataset(frame.select(*single), path, "sector")
+    stored = io.read_dataset(spark, path)
+    return stored.groupBy(F.col("sector").cast("string").alias("sector")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("stock").alias("stocks"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.round(F.avg("RSI"), 3).alias("rsi"))
+
+
+OFFICIAL = "official AS (SELECT 0 AS sector, 'market' AS \"index\", d, c FROM market UNION ALL SELECT 3, 'fx', d, c FROM fx)"
+
+
+def official_sectors(spark, d):
+    """sector, index, d, c of the two regions whose index stands in for their peers."""
+    market, fx = T.market_series(spark, d), T.fx_series(spark, d)
+    named = lambda x, sector, name: x.select(F.lit(sector).alias("sector"), F.lit(name).alias("index"), "d", "c")
+    return named(market, 0, "market").unionByName(named(fx, 3, "fx"))
+
+
+@query("p4_sector_source", S.statement(S.BARS, S.MARKET, S.FX, SECTOR, OFFICIAL, """members AS (SELECT DISTINCT stock, sector FROM bars),
+    series AS (SELECT stock, m.sector, d, ln(c) AS c, 'index:' || "index" AS source FROM members m JOIN official o USING (sector) UNION ALL SELECT stock, sector, d, ln(c), 'peers:' || sector FROM level WHERE c IS NOT NULL AND sector NOT IN (SELECT sector FROM official))""",
+    S.rounded("series", ["stock", "sector", "d", "source"], ["c"])))
+def p4_sector_source(spark, d):
+    """Two regions have an official index here, the others the level of each stock's peers."""
+    found = X.sector_series(T.nation_bars(spark, d), official_sectors(spark, d)).withColumn("c", F.ln("c"))
+    return rounded(found, ["stock", "sector", "d", "source"], ["c"])
+
+
+@query("x19_intraday_alignment", S.statement(S.SESSION_BARS, """ends AS (SELECT stock, session, max(start) + INTERVAL 5 MINUTE AS bar_end FROM every5 GROUP BY ALL)""",
+    "SELECT '5m' AS timeframe, count(*) FILTER (WHERE bar_end > session + INTERVAL 930 MINUTE) AS bars_after_close, count(*) FILTER (WHERE CAST(bar_end AS DATE) <> session) AS bars_from_other_session FROM ends UNION ALL SELECT '15m', 0, 0 UNION ALL SELECT '1h', 0, 0"))
+def x19_intraday_alignment(spark, d):
+    """A frame that took the last 5-minute bar of the day, not of the session: what the check finds."""
+    late = T.tick_bars(T.stock_ticks(spark, d), 5).groupBy("stock", F.col("session").alias("d")).agg(F.max("bar_end").alias("5m_bar_end"))
+    fine = sessions(spark, d)
+    for p, n in (("15m", 15), ("1h", 60)):
+        last = X.last_of_session(X.resample_bars(fine, n)).select("stock", F.col("session").alias("d"), F.col("bar_end").alias(f"{p}_bar_end"))
+        late = late.join(last, EXACT, "left")
+    return X.misaligned_bars(late)

@@ -25,9 +25,9 @@ def query(name, oracle=None):
     return add
 
 
-def scored(spark, d):
+def scored(spark, d, horizon: int = 5):
     """stock, d, y, p of all labelled rows."""
-    bars = I.add_labels(T.nation_bars(spark, d), {"Weekly": 5})
+    bars = I.add_labels(T.nation_bars(spark, d), {"Weekly": horizon})
     bars = bars.withColumn("r", W.log_ratio(F.col("c"), W.lag(F.col("c"), 21, W.over()))).where("r IS NOT NULL AND Target_Weekly IS NOT NULL")
     return bars.select("stock", "d", F.col("Target_Weekly").alias("y"), W.pct_rank(F.col("r"), ["d"]).alias("p"))
 
@@ -116,13 +116,10 @@ def m12_direction(spark, d):
     back = Window.partitionBy("stock").orderBy(F.desc("d"))
     rows = x.withColumn("back", F.row_number().over(back))
     reference = rows.where("back = 1").join(F.broadcast(x.agg(F.max("d").alias("latest"))), F.lit(True)).where(F.datediff("latest", "d") <= 10)
-    reference = reference.select(F.col("p").alias("q"))
-    near = F.abs(F.col("q") - F.col("p")) <= 1e-4 + 1e-5 * F.abs("p")
-    part = F.when(near, 0.5).when(F.col("q") < F.col("p"), 1.0).otherwise(0.0)
-    met = rows.where("back <= 3").join(F.broadcast(reference), F.lit(True))
-    pct = met.groupBy("stock", "d").agg((F.sum(part) / F.count(F.lit(1)) * 100).alias("pct"))
     exact = F.round("pct", 9)
-    return pct.select("stock", "d", F.round("pct", 6).alias("pct"), F.when(exact >= 60, "UP").when(exact <= 40, "DOWN").otherwise("NEUTRAL").alias("direction"))
+    direction = F.when(exact >= 60, "UP").when(exact <= 40, "DOWN").otherwise("NEUTRAL")
+    ranked = E.mid_ranks(rows.where("back <= 3").select("stock", "d", "p"), reference.select("p"))
+    return ranked.select("stock", "d", F.round("pct", 6).alias("pct"), direction.alias("direction"))
 
 
 def backtest_sql(sizing: str = "equal") -> list[str]:
@@ -131,7 +128,11 @@ def backtest_sql(sizing: str = "equal") -> list[str]:
     if sizing == "inverse_vol":
         inv = "CASE WHEN chosen AND vol > 0 THEN 1 / vol END"
         weight = f"CASE WHEN sum({inv}) OVER (PARTITION BY period) > 0 THEN coalesce(({inv}) / sum({inv}) OVER (PARTITION BY period), 0) ELSE {weight} END"
-        join = f" LEFT JOIN (SELECT stock, d, {S.roll('stddev_samp', 'r', 20)} AS vol FROM (SELECT *, {S.log_ratio('c', 1)} AS r FROM bars)) USING (stock, d)"
+        days = "(SELECT d, row_number() OVER (ORDER BY d) AS day FROM (SELECT DISTINCT d FROM bars))"
+        follows = f"CASE WHEN day - lag(day) OVER ({S.P}) = 1 THEN {S.log_ratio('c', 1)} END"
+        near = "OVER (PARTITION BY stock ORDER BY day RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)"
+        vol = f"CASE WHEN count(r) {near} = 20 THEN stddev_samp(r) {near} END"
+        join = f" LEFT JOIN (SELECT stock, d, {vol} AS vol FROM (SELECT stock, d, day, {follows} AS r FROM bars JOIN {days} USING (d))) USING (stock, d)"
     return [S.BARS, SCORED, f"""fill AS (SELECT stock, d, lead(o) OVER ({S.P}) AS fill FROM bars),
     cal AS (SELECT d, lead(d) OVER (ORDER BY d) AS next, row_number() OVER (ORDER BY d) - 1 AS period FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT d FROM scored)) WHERE i % 5 = 0),
     t0 AS (SELECT x.stock, x.d, c.next, period, p, f.fill AS entry, g.fill AS exit, count(*) OVER (PARTITION BY period) AS tradable FROM scored x JOIN cal c USING (d) JOIN fill f ON f.stock = x.stock AND f.d = x.d JOIN fill g ON g.stock = x.stock AND g.d = c.next WHERE f.fill IS NOT NULL AND g.fill IS NOT NULL),
@@ -207,6 +208,61 @@ VOLUME_SCORED = SCORED.replace(f"{S.log_ratio('c', 21)} AS r", f"CASE WHEN {S.lo
 CURVE_SQL = "SELECT d, round(ln(growth), 6) AS strategy, round(ln(benchmark_growth), 6) AS benchmark FROM curve"
 
 
+@query("b3_notes", S.statement(*backtest_sql(), "few AS (SELECT 'first 4 periods' AS run, count(*) AS periods FROM curve WHERE step <= 4 UNION ALL SELECT 'whole', count(*) FROM curve)", "SELECT run, 'only ' || periods || ' periods: indicative only' AS note FROM few WHERE periods < 6 UNION ALL SELECT 'one day', 'not enough rebalance days for a backtest'"))
+def b3_notes(spark, d):
+    """What a backtest says of itself: none on the whole table, few periods, or one day only."""
+    config = B.Config()
+    x = scored(spark, d)
+    _, curve = curve_of(spark, d, config)
+    one = x.join(F.broadcast(x.agg(F.min("d").alias("d"))), "d")
+    whole = B.notes(curve, x, config).withColumn("run", F.lit("whole"))
+    few = B.notes(curve.where("step <= 4"), x, config).withColumn("run", F.lit("first 4 periods"))
+    single = B.notes(curve.where("step < 0"), one, config).withColumn("run", F.lit("one day"))
+    return whole.unionByName(few).unionByName(single).select("run", "note")
+
+
+def at_horizon(h: int) -> list[str]:
+    """BASE for another horizon of labels and embargo."""
+    return [S.BARS, SCORED.replace("lead(c, 5)", f"lead(c, {h})"), FOLDS.replace("test_start - 5", f"test_start - {h}").replace("first - 5", f"first - {h}")]
+
+
+INSIGHT = ["roc_auc", "balanced_accuracy", "up_rate_top_quintile", "up_rate_bottom_quintile", "up_rate", "n"]
+
+
+@query("q9_model_insight", " UNION ALL ".join("SELECT * FROM (" + S.statement(*at_horizon(h), METRIC_SQL, "span AS (SELECT min(d) AS first_day, max(d) AS last_day FROM roles WHERE fold = -1 AND role = 'evaluate')", f"SELECT {h} AS horizon, {', '.join(f'round(CAST({m} AS DOUBLE), 6) + 0.0 AS {m}' for m in INSIGHT)}, first_day, last_day FROM e, span WHERE fold = -1") + ")" for h in (5, 21)))
+def q9_model_insight(spark, d):
+    """Test metrics and test period of each horizon."""
+    out = None
+    for h in (5, 21):
+        x = scored(spark, d, h)
+        rows = E.fold_roles(x, E.fold_bounds(x, h)).where("role = 'evaluate' and fold = -1")
+        found = rounded(E.evaluate(rows, ["fold"]).withColumn("horizon", F.lit(h)), ["horizon"], INSIGHT)
+        found = found.join(rows.agg(F.min("d").alias("first_day"), F.max("d").alias("last_day")), F.lit(True))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+CARD_AUC = """k AS (SELECT p, sum(y) AS n1, sum(1 - y) AS n0 FROM roles WHERE fold = -1 AND role = 'evaluate' GROUP BY 1), w AS (SELECT *, coalesce(sum(n0) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k),
+    a AS (SELECT sum(n1 * (below + n0 / 2)) / (sum(n1) * sum(n0)) AS auc FROM w)"""
+
+
+@query("q3_forecast_card", S.statement(*BASE, REFERENCE, CARD_AUC, """x AS (SELECT stock, d, p FROM l WHERE back = 1),
+    r AS (SELECT stock, d, p, 100 * (SELECT (sum(CASE WHEN abs(ref.p - x.p) <= 1e-4 + 1e-5 * abs(x.p) THEN 0.5 WHEN ref.p < x.p THEN 1.0 ELSE 0 END)) / count(*) FROM ref) AS pct FROM x)""",
+    "SELECT stock, d, round(p * 100, 2) AS up_probability, round(pct, 1) AS percentile, CASE WHEN round(pct, 9) >= 60 THEN 'UP' WHEN round(pct, 9) <= 40 THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, round(auc, 4) AS test_auc FROM r, a"))
+def q3_forecast_card(spark, d):
+    """Each stock's latest forecast: direction, probability, rank among all, and what the test block says of the model."""
+    from pyspark.sql import Window
+
+    x = scored(spark, d)
+    last = x.withColumn("back", F.row_number().over(Window.partitionBy("stock").orderBy(F.desc("d")))).where("back = 1").select("stock", "d", "p")
+    reference = last.join(F.broadcast(x.agg(F.max("d").alias("latest"))), F.lit(True)).where(F.datediff("latest", "d") <= 10).select("p")
+    tested = E.auc(E.fold_roles(x, E.fold_bounds(x, 5)).where("fold = -1 and role = 'evaluate'"), ["fold"]).select(F.round("roc_auc", 4).alias("test_auc"))
+    exact = F.round("pct", 9)
+    direction = F.when(exact >= 60, "UP").when(exact <= 40, "DOWN").otherwise("NEUTRAL")
+    ranked = E.mid_ranks(last, reference).join(F.broadcast(tested), F.lit(True))
+    return ranked.select("stock", "d", F.round(F.col("p") * 100, 2).alias("up_probability"), F.round("pct", 1).alias("percentile"), direction.alias("direction"), "test_auc")
+
+
 @query("b18_two_strategies", f"SELECT a.d, a.strategy, a.benchmark, b.strategy AS baseline FROM ({S.statement(*backtest_sql(), CURVE_SQL)}) a LEFT JOIN ({S.statement(*[x if x != SCORED else VOLUME_SCORED for x in backtest_sql()], CURVE_SQL)}) b USING (d)")
 def b18_two_strategies(spark, d):
     """Log growth of the score's strategy, the benchmark, and a strategy that follows volume."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,17 @@ def t3_event_bars(spark, d):
     return rounded(T.tick_bars(T.ticks(spark, d), 5).withColumn("start", F.col("start").cast("timestamp_ntz")), ["stock", "start", "v"], ["o", "h", "l", "c"])
 
 
-@query("s1_read_bars", S.statement(S.BARS, "picked AS (SELECT * FROM bars WHERE stock IN (1, 3, 7) AND d >= DATE '1996-01-01')", S.rounded("picked", EXACT + OHLCV, [])))
+@query("s1_read_bars", S.statement(S.BARS, "picked AS (SELECT * FROM bars WHERE stock IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) AND d >= (SELECT max(d) FROM bars) - INTERVAL 1826 DAY)", S.rounded("picked", EXACT + OHLCV, [])))
 def s1_read_bars(spark, d):
-    bars = T.nation_bars(spark, d).where(F.col("stock").isin(1, 3, 7) & (F.col("d") >= F.lit("1996-01-01").cast("date")))
-    return bars.select(*EXACT, *OHLCV)
+    """Stored bars of the stocks in a universe table, over the last five years: both filters reach the scan."""
+    from panelspark.sources import io
+
+    path = io.scratch(spark, "bars")
+    io.write_dataset(T.nation_bars(spark, d), path, "sector")
+    symbols = [r[0] for r in T.read_table(spark, d, "supplier").where("s_acctbal > 5000").select("s_nationkey").distinct().collect()]  # of nations
+    last = spark.read.parquet(path).agg(F.max("d")).first()[0]
+    since = last and last - timedelta(days=1826)
+    return T.read_bars(spark, path, symbols, since).select(*EXACT, *OHLCV)
 
 
 @query("s3_intraday_history", S.statement(S.tick_bars("bars", 60), "recent AS (SELECT * FROM bars WHERE start >= (SELECT max(start) FROM bars) - INTERVAL 7 DAY)", S.rounded("recent", ["stock", "start", "v"], ["o", "h", "l", "c"])))

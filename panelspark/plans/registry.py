@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.plans import context, evaluation, panel, selection, serving
+from panelspark.plans import context, evaluation, learning, panel, selection, serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (panel, context, evaluation, selection, serving):
+for module in (panel, context, evaluation, selection, serving, learning):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -34,11 +34,11 @@ def labelled(spark, d):
     return bars.select(*EXACT, F.col("Target_Weekly").alias("y"), *rounded, (r5 * 2).alias("Twin"), F.lit(1.0).alias("Flat"), F.when(F.col("stock") < 3, r5).alias("Sparse"))
 
 
-SAMPLE = f"""smp AS (SELECT stock, d, y, {', '.join(f'round({f}, 6) AS {f}' for f in USED)}, round(Ret_5, 6) * 2 AS Twin, 1.0::DOUBLE AS Flat, CASE WHEN stock < 3 THEN round(Ret_5, 6) END AS Sparse
+ROWS = f"""smp AS (SELECT stock, d, y, {', '.join(f'round({f}, 6) AS {f}' for f in USED)}, round(Ret_5, 6) * 2 AS Twin, 1.0::DOUBLE AS Flat, CASE WHEN stock < 3 THEN round(Ret_5, 6) END AS Sparse
     FROM (SELECT *, CASE WHEN lead(c, 5) OVER ({S.P}) IS NOT NULL THEN CASE WHEN lead(c, 5) OVER ({S.P}) > c * 1.005 THEN 1.0::DOUBLE ELSE 0.0 END END AS y FROM base)
-    WHERE y IS NOT NULL AND (stock * 7919 + date_diff('day', DATE '1970-01-01', d) * 104729 + 42) % 10 = 0),
+    WHERE y IS NOT NULL),
     long AS ({' UNION ALL '.join(f"SELECT stock, d, y, '{f}' AS feature, {f} AS x FROM smp" for f in [*USED, *EXTRA])})"""
-BASE = [S.BARS, S.BASELINE, SAMPLE]
+BASE = [S.BARS, S.BASELINE, ROWS]
 
 
 def long(spark, d):
@@ -61,28 +61,35 @@ PAIRS = f"""pair AS (SELECT a.feature AS a, b.feature AS b, a.x AS xa, b.x AS xb
 
 @query("x4_spearman", S.statement(*BASE, PAIRS, "SELECT a, b, round(rho, 6) + 0.0 AS rho FROM rho"))
 def x4_spearman(spark, d):
-    pairs = X.spearman(long(spark, d).drop("y"), EXACT)
+    pairs = X.spearman(labelled(spark, d), [*USED, *EXTRA])
     return pairs.select("a", "b", (F.round(F.col("rho"), 6) + F.lit(0.0)).alias("rho"))
 
 
 @query("x4_target_correlation", S.statement(*BASE, f"r AS (SELECT feature, {S.pct_rank('x', 'feature')} AS rx, {S.pct_rank('y', 'feature')} AS ry FROM long WHERE x IS NOT NULL)", "SELECT feature, round(CASE WHEN count(DISTINCT rx) > 1 THEN corr(rx, ry) END, 6) + 0.0 AS rho FROM r GROUP BY 1"))
 def x4_target_correlation(spark, d):
-    x = long(spark, d).where("x is not null").select("feature", W.pct_rank(F.col("x"), ["feature"]).alias("rx"), W.pct_rank(F.col("y"), ["feature"]).alias("ry"))
-    return x.groupBy("feature").agg((F.round(X.correlation("rx", "ry"), 6) + F.lit(0.0)).alias("rho"))
+    x = long(spark, d).where("x is not null")
+    of_y = X.value_ranks(x, ["feature"], "y").withColumnRenamed("rank", "ry")  # two values a feature
+    ranked = X.long_ranks(x).withColumnRenamed("rank", "rx").join(F.broadcast(of_y), ["feature", "y"])
+    return ranked.groupBy("feature").agg((F.round(X.correlation("rx", "ry"), 6) + F.lit(0.0)).alias("rho"))
 
 
-@query("x5_duplicates", S.statement(*BASE, PAIRS, "SELECT b AS feature, a AS \"of\" FROM rho WHERE abs(rho) >= 0.999 AND a = 'Ret_5' UNION ALL SELECT a, b FROM rho WHERE abs(rho) >= 0.999 AND b = 'Ret_5'"))
+PLACES = ", ".join(f"('{f}', {i})" for i, f in enumerate([*USED, *EXTRA]))
+
+
+@query("x5_duplicates", S.statement(*BASE, PAIRS, f"""place(feature, i) AS (VALUES {PLACES}),
+    close AS (SELECT x.i AS i, y.i AS j FROM rho JOIN place x ON x.feature = a JOIN place y ON y.feature = b WHERE abs(rho) >= 0.999 UNION ALL SELECT y.i, x.i FROM rho JOIN place x ON x.feature = a JOIN place y ON y.feature = b WHERE abs(rho) >= 0.999)""",
+    """walk AS (WITH RECURSIVE w(step, kept) AS (SELECT 0, CAST([] AS BIGINT[]) UNION ALL SELECT step + 1, CASE WHEN EXISTS (SELECT 1 FROM close c WHERE c.j = step AND list_contains(kept, c.i)) THEN kept ELSE list_append(kept, step) END FROM w WHERE step < (SELECT count(*) FROM place)) SELECT kept FROM w ORDER BY step DESC LIMIT 1)""",
+    """SELECT p.feature, (SELECT q.feature FROM place q JOIN close c ON c.i = q.i WHERE c.j = p.i AND q.i < p.i AND list_contains(kept, q.i) ORDER BY q.i LIMIT 1) AS "of" FROM place p, walk WHERE NOT list_contains(kept, p.i)"""))
 def x5_duplicates(spark, d):
-    return X.duplicates(X.spearman(long(spark, d).drop("y"), EXACT), [*USED, *EXTRA])
+    return X.duplicates(X.spearman(labelled(spark, d), [*USED, *EXTRA]), [*USED, *EXTRA])
 
 
-@query("x6_clusters")
+@query("x6_clusters", S.statement(*BASE, PAIRS, "edge AS (SELECT a, b FROM rho WHERE abs(rho) >= 0.9 UNION SELECT b, a FROM rho WHERE abs(rho) >= 0.9)",
+    "reach AS (WITH RECURSIVE r(feature, to_) AS (SELECT feature, feature FROM (SELECT DISTINCT feature FROM long) UNION SELECT r.feature, e.b FROM r JOIN edge e ON e.a = r.to_) SELECT * FROM r)",
+    "SELECT feature, min(to_) AS cluster FROM reach GROUP BY 1"))
 def x6_clusters(spark, d):
-    from panelspark.sources.io import ensure_checkpoints
-
-    ensure_checkpoints(spark)
-    x = long(spark, d).drop("y")
-    return X.clusters(X.spearman(x, EXACT), x.select("feature").distinct())
+    names = spark.createDataFrame([(f,) for f in [*USED, *EXTRA]], "feature string")
+    return X.clusters(X.spearman(labelled(spark, d), [*USED, *EXTRA]), names)
 
 
 @query("x7_mutual_information", S.statement(*BASE, f"""f AS (SELECT feature, y, coalesce(x, median(x) OVER (PARTITION BY feature)) AS x FROM long), b AS (SELECT feature, y, least(9, floor(({S.pct_rank('x', 'feature')}) * 10)) AS bin FROM f),
@@ -122,10 +129,54 @@ def x17_target_identity(spark, d):
     return X.equal_to_targets(labelled(spark, d).withColumn("y_copy", F.col("y")), ["Ret_5", "y_copy"], ["y"])
 
 
+def audit_sources(spark, d):
+    from panelspark.plans.context import intraday
+
+    context = {"market": T.market_series(spark, d), "vix": T.volatility_series(spark, d), "fx": T.fx_series(spark, d)}
+    return {"bars": T.nation_bars(spark, d)} | context | intraday(spark, d)
+
+
+def whole_frame(sources, by):
+    from panelspark.operators import context as C
+
+    fine = {p: sources[p] for p in ("5m", "1h")}
+    return C.feature_frame(sources["bars"], sources["market"], sources["vix"], sources["fx"], fine, by)
+
+
 @query("x18_point_in_time", "SELECT 0 AS stock, DATE '2000-01-01' AS cutoff, '' AS feature, 0.0::DOUBLE AS full_value, 0.0::DOUBLE AS past_value WHERE false")
 def x18_point_in_time(spark, d):
-    """No feature of the stock's own bars differs when only the past is there: an empty result."""
-    return X.point_in_time_mismatches(I.baseline, T.nation_bars(spark, d), I.STOCK_FEATURES)
+    """No feature of the whole frame differs when every source ends at the cutoff: an empty result."""
+    from panelspark.plans.context import FRAME, LEVEL
+
+    return X.frame_mismatches(whole_frame, audit_sources(spark, d), [*LEVEL, *FRAME])
+
+
+@query("x18_late_bar", S.statement(S.BARS, S.SESSION_BARS, """days AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM bars)),
+    cuts AS (SELECT d FROM days WHERE i IN (floor(n * 0.3::DOUBLE), floor(n * 0.6::DOUBLE), floor(n * 0.9::DOUBLE), n - 2)),
+    day AS (SELECT stock, session AS d, arg_max(c, start) AS x, arg_max(c, start) FILTER (WHERE start + INTERVAL 5 MINUTE <= session + INTERVAL 930 MINUTE) AS past FROM every5 GROUP BY ALL)""",
+    "SELECT b.stock, b.d AS cutoff, 'last_close' AS feature, x AS full_value, past AS past_value FROM bars b JOIN cuts USING (d) JOIN day USING (stock, d) WHERE past IS NULL OR abs(x - past) > 1e-10 + 1e-7 * abs(past)"))
+def x18_late_bar(spark, d):
+    """A feature that takes the day's last bar, even one after the close, is found wherever there is such a bar."""
+    def late(sources, by):
+        last = sources["5m"].groupBy(*by, "stock", F.col("session").alias("d")).agg(F.max_by("c", "start").alias("last_close"))
+        return sources["bars"].select(*by, "stock", "d").join(last, [*by, "stock", "d"], "left")
+
+    sources = {"bars": T.nation_bars(spark, d), "5m": T.tick_bars(T.stock_ticks(spark, d), 5)}
+    return X.frame_mismatches(late, sources, ["last_close"])
+
+
+LEVELS = [f"{p}_{n}" for p, (a, b) in (("5m", (9, 21)), ("15m", (9, 21)), ("1h", (9, 21)), ("daily", (20, 50))) for n in ("MACD", "MACD_signal", "ATR", f"EMA_{a}", f"EMA_{b}")]
+
+
+@query("x20_audit_report", S.statement(S.BARS, f"levels(feature) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for n in LEVELS)}), days AS (SELECT count(DISTINCT d) AS n FROM bars)",
+    "SELECT feature, 'price level that differs between stocks' AS reason FROM levels UNION ALL SELECT 'next_close', 'value changes when future data is removed' FROM days WHERE n > 1"))
+def x20_audit_report(spark, d):
+    """What the audit keeps from every model: price levels, and a planted column that looks one row ahead."""
+    def build(sources, by):
+        return sources["bars"].withColumn("next_close", F.lead("c").over(W.over([*by, "stock"]))).withColumn("same_close", F.col("c"))
+
+    found = X.frame_mismatches(build, {"bars": T.nation_bars(spark, d)}, ["next_close", "same_close"])
+    return X.audit_report(found, LEVELS)
 
 
 @query("x18_peeking_feature", S.statement(S.BARS, """n AS (SELECT stock, d, row_number() OVER (PARTITION BY stock ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY stock) AS n FROM bars)""",

@@ -23,6 +23,22 @@ TICK_BARS = """{name} AS (
            count(*) AS v FROM events GROUP BY ALL)"""
 
 
+#: Ticks of the nations' stocks within the sessions, in bars of 5 minutes, and coarser bars of them.
+SESSION_BARS = """moved AS (SELECT CAST(user_id % (SELECT count(*) FROM nation) AS INTEGER) AS stock, value, event_id,
+        CAST(ts AS TIMESTAMP) + to_days(CAST(date_diff('day', (SELECT max(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem)) AS INTEGER)) AS ts FROM events),
+    every5 AS (SELECT stock, CAST(ts AS DATE) AS session, time_bucket(INTERVAL 5 MINUTE, ts) AS start, arg_min(value, row(ts, event_id)) AS o, max(value) AS h, min(value) AS l, arg_max(value, row(ts, event_id)) AS c, count(*) AS v FROM moved GROUP BY ALL),
+    fine AS (SELECT *, start + INTERVAL 5 MINUTE AS bar_end FROM every5 WHERE start >= session + INTERVAL 555 MINUTE AND start < session + INTERVAL 930 MINUTE),
+    reached AS (SELECT stock, session, max(bar_end) AS reached FROM fine GROUP BY ALL)"""
+
+
+def coarser(name: str, minutes: int) -> str:
+    """Bars of ``minutes`` from 09:15 on, cut at 15:30, that the session's finer bars reach the end of."""
+    return f"""{name}_b AS (SELECT stock, session, session + INTERVAL 555 MINUTE + to_minutes(CAST(floor(date_diff('minute', session + INTERVAL 555 MINUTE, start) / {minutes}.0) * {minutes} AS INTEGER)) AS bucket, * EXCLUDE (stock, session) FROM fine),
+    {name}_g AS (SELECT stock, session, bucket AS start, arg_min(o, start) AS o, max(h) AS h, min(l) AS l, arg_max(c, start) AS c, sum(v) AS v FROM {name}_b GROUP BY stock, session, bucket),
+    {name}_e AS (SELECT *, least(start + INTERVAL {minutes} MINUTE, session + INTERVAL 930 MINUTE) AS bar_end FROM {name}_g),
+    {name} AS (SELECT e.* FROM {name}_e e JOIN reached r USING (stock, session) WHERE bar_end <= reached)"""
+
+
 def tick_bars(name: str, minutes: int) -> str:
     return TICK_BARS.format(name=name, s=minutes * 60)
 

@@ -11,10 +11,12 @@ from pyspark.sql.types import StructType
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names; a folder of our own only in a local session without one."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
@@ -24,6 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The table, written once to the shared folder and read back; cuts its lineage."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def write_dataset(frame: DataFrame, path: str, partition: str) -> None:
     frame.write.partitionBy(partition).parquet(path)
 
@@ -46,6 +55,32 @@ def read_report(spark: SparkSession, path: str, schema: StructType, kind: str =
     return spark.read.csv(path, header=True, schema=schema) if kind == "csv" else spark.read.json(path, schema=schema)
 
 
+#: The columns of the stored reports.
+METRIC_NAMES = ["roc_auc", "directional_accuracy", "balanced_accuracy", "precision", "recall", "f1", "up_signal_precision", "up_rate_top_quintile",
+                "up_rate_bottom_quintile", "up_rate", "majority_baseline_accuracy", "log_loss", "brier_score", "rmse_probability", "n"]
+
+
+def _metric_columns(prefix: str) -> str:
+    return ", ".join(f"{prefix}_{n} {'long' if n == 'n' else 'double'}" for n in METRIC_NAMES)
+
+
+REPORTS = {
+    "experiments": f"experiment string, model string, config string, iterations int, n_features int, cv_auc double, cv_fold_aucs string, {_metric_columns('val')}, {_metric_columns('test')}",
+    "feature_selection": "feature string, correlation_score double, mutual_information double, model_importance_gain double, model_importance_split double, permutation_importance double, permutation_positive_folds double, shap_importance double, shap_mean_signed double, votes int, selected boolean, removal_reason string",
+    "correlation": "a string, b string, rho double",
+    "ablation": f"variant string, n_features int, cv_auc double, cv_fold_aucs string, {_metric_columns('test')}",
+    "equity_curve": "d date, equity double, positions long, turnover double, cost double, period_return double, benchmark_equity double",
+    "trades": "entry_date date, exit_date date, stock string, weight double, gross_return double, net_return double, cost double",
+    "predictions": "d date, stock string, y int, p double",
+    "audit": "feature string, reason string",
+}
+
+
+def read_named_report(spark: SparkSession, folder: str, name: str, kind: str = "csv") -> DataFrame:
+    """One of REPORTS with its own columns and types; an empty table where it hasn't been written."""
+    return read_report(spark, f"{folder}/{name}", StructType.fromDDL(REPORTS[name]), kind)
+
+
 def merge_metrics(old: DataFrame, new: DataFrame, key: str = "horizon") -> DataFrame:
     """New rows replace the old ones of the same key, others stay."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

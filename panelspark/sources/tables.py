@@ -45,7 +45,8 @@ def nation_bars(spark: SparkSession, folder: str) -> DataFrame:
     """stock (nation), sector (region), d, o, h, l, c, v."""
     supplier = read_table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("stock"))
     nation = read_table(spark, folder, "nation").select("n_nationkey", F.col("n_regionkey").alias("sector"))
-    rows = shipments(spark, folder).join(F.broadcast(supplier.join(nation, F.col("stock") == F.col("n_nationkey"))), F.col("l_suppkey") == F.col("s_suppkey"))
+    # suppliers grow with the data: broadcast only below the session's own threshold, which Catalyst checks
+    rows = shipments(spark, folder).join(supplier.join(F.broadcast(nation), F.col("stock") == F.col("n_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
     return ohlcv(rows, ["stock", "sector", "d"], F.col("price"), F.col("quantity"), F.col("k"))
 
 
@@ -75,6 +76,20 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stock_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks of the nations' stocks: each user trades one, and the sessions end with the last shipping day."""
+    events = read_table(spark, folder, "events")
+    nations = read_table(spark, folder, "nation").agg(F.count(F.lit(1)).alias("stocks"))
+    shift = events.agg(F.max(F.to_date("ts")).alias("a")).join(read_table(spark, folder, "lineitem").agg(F.max(F.to_date("l_shipdate")).alias("b")), F.lit(True))
+    rows = events.join(F.broadcast(nations), F.lit(True)).join(F.broadcast(shift.select(F.datediff("b", "a").alias("days"))), F.lit(True))  # a row each
+    return rows.select(
+        (F.col("user_id") % F.col("stocks")).cast("int").alias("stock"),
+        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("days") * F.lit(86_400_000_000)).alias("ts"),
+        F.col("value").alias("price"),
+        F.col("event_id").alias("tick"),
+    )
+
+
 def tick_bars(rows: DataFrame, minutes: int = 5) -> DataFrame:
     """Ticks as bars: stock, start, bar_end, session, o, h, l, c, v (the number of ticks)."""
     length = minutes * 60
