@@ -19,6 +19,7 @@ from panelspark.llm.shared import map_batches, text_or_empty
 from panelspark.llm.tokens import (
     KEPT_LENGTH,
     Recent,
+    blanks_white_space,
     byte_characters,
     cut_before_spaces,
     little_endian,
@@ -103,12 +104,15 @@ class Vocabulary:
         self.added = {x["content"]: x["id"] for x in config.get("added_tokens", [])}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
         normal = config.get("normalizer") or {}
-        self.steps = [x["type"] for x in normal.get("normalizers", [normal] if normal else [])]
-        if not {*self.steps} <= {"NFC", "Replace", "Lowercase"}:
+        steps = normal.get("normalizers", [normal] if normal else [])
+        if not all(x["type"] in ("NFC", "Lowercase") or blanks_white_space(x) for x in steps):
             raise ValueError(f"{path}: a normaliser that isn't understood")
+        self.steps = [x["type"] for x in steps]
         pre = config["pre_tokenizer"]
         split = next((x for x in pre.get("pretokenizers", []) if x["type"] == "Split"), None)
-        self.drops_space = split is not None
+        self.drops_space = split is not None and bool(split.get("invert")) and split.get("behavior") == "Removed"
+        if "Replace" in self.steps and not self.drops_space:
+            raise ValueError(f"{path}: blanks that the pattern keeps aren't understood")
         self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL_PATTERN)
         self.cut = words if self.drops_space else cut_before_spaces
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None

@@ -73,6 +73,11 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def blanks_white_space(step: dict) -> bool:
+    """The normaliser makes one blank of a run of white space, which changes nothing where the pattern drops it."""
+    return step["type"] == "Replace" and step.get("pattern") == {"Regex": "\\s+"} and step.get("content") == " "
+
+
 def splitter(config: dict):
     """How texts may be cut before this vocabulary encodes them; None if not at all."""
     normalizer, pre = config.get("normalizer"), config.get("pre_tokenizer") or {}
@@ -80,7 +85,8 @@ def splitter(config: dict):
         return cut_before_spaces
     steps = pre.get("pretokenizers") or []
     drops_space = steps and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
-    if drops_space and normalizer and {x["type"] for x in normalizer.get("normalizers", [])} == {"NFC", "Replace", "Lowercase"}:
+    given = normalizer.get("normalizers", []) if normalizer else []
+    if drops_space and {x["type"] for x in given} == {"NFC", "Replace", "Lowercase"} and all(x["type"] != "Replace" or blanks_white_space(x) for x in given):
         return words
     return None
 
