@@ -26,17 +26,38 @@ ORDERS = (3, 4, 5)
 BUCKET_BITS = 20
 LEAST_DOCUMENTS = 3
 PENALTY = 1e-5
-_BLOCK = 2_000_000
+_BLOCK = 500_000
 
 
-def ngram_buckets(texts: list[str]):
-    """For each order: the hashed n-grams of all texts, and the text that each belongs to."""
+def _runs(texts: list[str]):
+    """The texts in lower case between blanks, in runs of about _BLOCK characters, with the index of each.
+
+    A longer text is cut into several runs, which overlap so that no n-gram is lost.
+    """
+    parts, owners, size = [], [], 0
+    for i, t in enumerate(texts):
+        padded = f" {t.lower()} "
+        for at in range(0, len(padded), _BLOCK):
+            part = padded[at : at + _BLOCK + max(ORDERS) - 1]
+            if parts and size + len(part) > _BLOCK:
+                yield parts, owners
+                parts, owners, size = [], [], 0
+            parts.append(part)
+            owners.append(i)
+            size += len(part)
+    if parts:
+        yield parts, owners
+
+
+def ngram_buckets(parts: list[str], owners: list[int]):
+    """For each order: the hashed n-grams of all parts, and the text that each belongs to."""
     import numpy as np
 
-    lower = [f" {t.lower()} " for t in texts]
-    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
     codes[(codes >= 9) & (codes <= 13)] = 32
-    owner = np.repeat(np.arange(len(lower), dtype=np.int32), [len(t) for t in lower])
+    lengths = [len(t) for t in parts]
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
+    owner = np.array(owners, np.int32)[part]
     mixed = codes * np.uint32(0x9E3779B1)
     mixed ^= mixed >> np.uint32(15)
     for n in ORDERS:
@@ -47,17 +68,24 @@ def ngram_buckets(texts: list[str]):
         for i in range(n):
             h = (h ^ mixed[i : i + end]) * np.uint32(0x85EBCA77)
             h ^= h >> np.uint32(13)
-        inside = owner[:end] == owner[n - 1 :]
+        inside = part[:end] == part[n - 1 :]
         yield (h * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BUCKET_BITS))[inside].astype(np.int32), owner[:end][inside]
 
 
-def _distinct(texts: list[str]):
-    """(text, bucket) of the distinct n-grams of every text."""
+def _distinct(texts: list[str], among=None):
+    """(text, bucket) of the distinct n-grams of every text; with ``among``, (text, slot) of those with a slot there."""
     import numpy as np
 
-    pairs = [o.astype(np.int64) << BUCKET_BITS | b for b, o in ngram_buckets(texts)]
-    both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    return both >> BUCKET_BITS, (both & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
+    found = np.zeros(0, np.int64)
+    for parts, owners in _runs(texts):
+        pairs = [found]
+        for bucket, owner in ngram_buckets(parts, owners):
+            if among is not None:
+                bucket = among[bucket]
+                owner, bucket = owner[bucket >= 0], bucket[bucket >= 0]
+            pairs.append(owner.astype(np.int64) << BUCKET_BITS | bucket)
+        found = np.unique(np.concatenate(pairs))
+    return found >> BUCKET_BITS, (found & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
 
 
 @dataclass
@@ -77,13 +105,7 @@ class ToxicityModel:
         if slot is None:
             slot = self._slot = np.full(1 << BUCKET_BITS, -1, np.int32)
             slot[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
-        hits = []
-        for buckets, owner in ngram_buckets(texts):
-            s = slot[buckets]
-            met = s >= 0
-            hits.append(owner[met].astype(np.int64) << 32 | s[met])
-        both = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-        text, s = both >> 32, both & 0xFFFFFFFF
+        text, s = _distinct(texts, slot)
         total = np.bincount(text, self.weights[s], len(texts))
         length = np.sqrt(np.bincount(text, self.squares[s], len(texts)))
         z = total / np.maximum(length, 1e-9) + self.intercept
@@ -220,17 +242,13 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     """The input's rows and columns without the rows whose text scores ``threshold`` or more."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
+        from panelspark.llm.bytehash import byte_runs
+
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            keep, at, size = np.ones(len(texts), bool), 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size > _BLOCK or i == len(texts) - 1:
-                    keep[at : i + 1] = model.scores([t or "" for t in texts[at : i + 1]]) < threshold
-                    at, size = i + 1, 0
-            yield batch.filter(pa.array(keep))
+            for i, j in byte_runs(batch.column(text_col), _BLOCK):
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(model.scores([t or "" for t in part.column(text_col).to_pylist()]) < threshold))
 
     return map_batches(docs, run, docs.schema)
