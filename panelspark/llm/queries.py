@@ -111,4 +111,33 @@ ORACLE_SQL: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM d
     """,
+    # every pair that shares a shingle, not only those that meet in a bucket
+    "op4_near_dedup": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS shingle FROM places),
+        sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        meets AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM meets JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(doc_id, met) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.met),
+        least AS (SELECT doc_id, min(met) AS component_id FROM reach GROUP BY 1)
+        SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept FROM least l LEFT JOIN sizes USING (doc_id)
+    """,
+    "op7_suffix_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 400) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM d)),
+        twice AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+        hit AS (SELECT doc_id, p FROM w SEMI JOIN twice USING (x)),
+        starts AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM hit),
+        runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM starts),
+        spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY 1, 2),
+        gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT d.doc_id, coalesce(max(s.b), 0), any_value(len(h) // 2) FROM d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id),
+        kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * g.a + 1 AS BIGINT), CAST(2 * (g.b - g.a) AS BIGINT)), '' ORDER BY g.a) AS h FROM gaps g JOIN d USING (doc_id) GROUP BY 1),
+        counts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+        SELECT doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+        FROM d JOIN kept k USING (doc_id) LEFT JOIN counts USING (doc_id)
+    """,
 }
