@@ -328,16 +328,35 @@ def test_held_out_accuracy(spark, query, column, least):
 
 
 def test_pipeline_stages(spark):
+    """Each stage against brute force on what the one before kept."""
+    import math
+
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
+    from panelspark.llm.shared import table
+    from panelspark.llm.suffix_repeats import whole_characters, without
+    from panelspark.llm.tokens import vocabulary_path
+    from panelspark.llm.toxicity import fit_toxicity
+    from test_models import _buckets
 
     folder = "/root/testdata/sf0.001"
-    source = docs = spark.read.parquet(f"{folder}/documents.parquet")
+    source = docs = table(spark, folder, "documents")
+    model = fit_toxicity(docs, table(spark, folder, "labels"))
+    weight, square = dict(zip(model.buckets.tolist(), model.weights)), dict(zip(model.buckets.tolist(), model.squares))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, folder)
         assert after.columns == source.columns, name
         before = {r.doc_id: r.text for r in docs.collect()}
         kept = {r.doc_id: r.text for r in after.collect()}
-        assert kept.keys() <= before.keys()
+        if name == "toxicity":
+            want = {}
+            for i, t in before.items():
+                met = _buckets(t) & weight.keys()
+                z = sum(weight[b] for b in met) / max(1e-9, math.sqrt(sum(square[b] for b in met))) + model.intercept
+                if z < 0:
+                    want[i] = t
+            assert kept == want and 0 < len(want) < len(before)
         if name == "exact_dedup":
             best = {t: i for i, t in sorted(before.items())}
             assert kept == {i: t for t, i in best.items()}
@@ -345,6 +364,44 @@ def test_pipeline_stages(spark):
             component = _components(list(before.items()), 5)
             assert kept == {i: t for i, t in before.items() if component[i] == i}
         if name == "suffix_repeats":
+            data = {i: t.encode() for i, t in before.items()}
+            seen = Counter(hash(b[p : p + 200]) for b in data.values() for p in range(len(b) - 199))
+            for i, b in data.items():
+                gone = np.zeros(len(b) + 1, int)
+                for p in range(len(b) - 199):
+                    if seen[hash(b[p : p + 200])] > 1:
+                        gone[p : p + 200] = 1
+                edges = np.flatnonzero(np.diff(np.r_[0, gone]))
+                spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+                assert kept[i] == without(b, whole_characters(b, spans)).decode()
             assert kept.keys() == before.keys()
         docs = after
-    assert corpus_pipeline.run(spark, folder).count() > 0
+    library = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    want, room = Counter(), defaultdict(list)
+    for i, t in kept.items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 2048):
+            part = np.array(ids[at : at + 2048], "<u4").tobytes()
+            want[i, at, len(part) // 4, zlib.crc32(part), len(ids)] += 1
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces) == want
+    for r in pieces:
+        room[r.sequence_id].append((r.offset, r.length))
+    for places in room.values():
+        ends = [0, *(o + n for o, n in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_near_dedup", "op7_suffix_repeats"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from panelspark.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    got = QUERIES[name](spark, folder)
+    found = con.execute(ORACLE_SQL[name])
+    order = [[c[0] for c in found.description].index(n) for n in got.columns]
+    assert Counter(tuple(r[i] for i in order) for r in found.fetchall()) == Counter(map(tuple, got.collect()))
