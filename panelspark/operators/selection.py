@@ -32,21 +32,12 @@ def near_constant(long: DataFrame, most: float = 0.99) -> DataFrame:
     return top.where((F.col("values") <= 1) | (F.col("top_share") > most))
 
 
-def correlation(a: str, b: str):
+def correlation(a, b):
     """Pearson's correlation, NULL where a side doesn't vary."""
     spread = F.stddev_pop(a) * F.stddev_pop(b)
     return F.when(spread > 1e-12, F.covar_pop(a, b) / spread)
 
 
-def _corr_sums(pairs, ranks):
-    """Aggregates from which the correlation of each pair follows, over the rows that have both."""
-    out = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = ranks[a], ranks[b]
-        out.append(F.when(F.stddev_pop(x) * F.stddev_pop(y) > 1e-12, F.corr(x, y)).alias(f"p{i}"))
-    return out
-
-
 def spearman(frame: DataFrame, features: list[str], chunk: int = 1_000) -> DataFrame:
     """a, b, rho of every pair of features a < b, each over the rows that have both.
 
@@ -73,7 +64,7 @@ def spearman(frame: DataFrame, features: list[str], chunk: int = 1_000) -> DataF
     found = frame.sparkSession.createDataFrame([], schema)
     for at in range(0, len(alike), chunk):
         part = alike[at : at + chunk]
-        one = ranks.agg(*_corr_sums(part, columns))
+        one = ranks.agg(*[correlation(columns[a], columns[b]).alias(f"p{i}") for i, (a, b) in enumerate(part)])
         rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(part)])
         found = found.unionByName(one.select(F.inline(rows)))
     if unlike:
@@ -91,7 +82,7 @@ def join_values(long: DataFrame, ranks: DataFrame) -> DataFrame:
     """``long`` (feature, x and more) with the rank of each value.
 
     A value that holds a hundredth of its feature's rows is broadcast: there are at most a
-    hundred of them a feature, and features are few dozen.
+    hundred of them for each feature, or pair of features where pairs are ranked.
     """
     sizes = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
     total = long.groupBy("feature").agg(F.count(F.lit(1)).alias("total"))

@@ -10,6 +10,7 @@ from panelspark.operators import indicators as I
 from panelspark.plans import sql as S
 from panelspark.plans.panel import EXACT, rounded
 from panelspark.sources import tables as T
+from panelspark.sources.io import stored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -127,7 +128,8 @@ CONTEXT_SQL = [
 
 @query("f9_market_features", S.statement(*CONTEXT_SQL, S.rounded("ctx", EXACT, CONTEXT_NAMES)))
 def f9_market_features(spark, d):
-    found = X.market_features(T.nation_bars(spark, d), T.market_series(spark, d), T.volatility_series(spark, d), T.fx_series(spark, d))
+    bars = stored(T.nation_bars(spark, d), "daily-bars")
+    found = X.market_features(bars, T.market_series(spark, d), T.volatility_series(spark, d), T.fx_series(spark, d))
     return rounded(found, EXACT, CONTEXT_NAMES)
 
 
@@ -137,7 +139,8 @@ def sessions(spark, d):
 
 
 def intraday(spark, d):
-    fine = sessions(spark, d)
+    """5-minute bars, made of the ticks once, and hourly ones of them."""
+    fine = stored(sessions(spark, d), "session-bars")
     return {"5m": fine, "1h": X.resample_bars(fine, 60)}
 
 
@@ -200,7 +203,8 @@ FRAME_SQL = [
 
 
 def frame_of(spark, d):
-    return X.feature_frame(T.nation_bars(spark, d), T.market_series(spark, d), T.volatility_series(spark, d), T.fx_series(spark, d), intraday(spark, d))
+    bars = stored(T.nation_bars(spark, d), "daily-bars")  # far fewer rows than line items, read by several branches
+    return X.feature_frame(bars, T.market_series(spark, d), T.volatility_series(spark, d), T.fx_series(spark, d), intraday(spark, d))
 
 
 @query("f14_feature_frame", S.statement(*FRAME_SQL, S.rounded("frame", [*EXACT, *LEVEL], FRAME, 5)))

@@ -133,7 +133,8 @@ def audit_sources(spark, d):
     from panelspark.plans.context import intraday
 
     context = {"market": T.market_series(spark, d), "vix": T.volatility_series(spark, d), "fx": T.fx_series(spark, d)}
-    return {"bars": T.nation_bars(spark, d)} | context | intraday(spark, d)
+    fixed = {n: X.stored(t, f"audit-{n}") for n, t in ({"bars": T.nation_bars(spark, d)} | context).items()}
+    return fixed | intraday(spark, d)
 
 
 def whole_frame(sources, by):

@@ -40,7 +40,9 @@ def test_first_rsi_is_at_the_fifteenth_close(spark):
     assert got[:14] == [None] * 14 and got[14] is not None
 
 
-def test_ewm_over_many_blocks(spark):
+@pytest.mark.parametrize("longest", [100, 4096])
+def test_ewm_over_many_blocks(spark, monkeypatch, longest):
+    monkeypatch.setattr(W, "EWM_LONGEST", longest)
     values = [math.sin(i) * 10 + 50 + i % 7 for i in range(1500)]
     rows = [(k, DAY + dt.timedelta(days=i), None if i < k else v) for k in (0, 3) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "stock int, d date, c double")
@@ -210,3 +212,138 @@ def test_pivot_has_every_region(spark):
     got = QUERIES["a2_pivot_panel"](spark, folder)
     assert got.columns == ["d", "s0", "s1", "s2", "s3", "s4"]
     assert {(r.d, n): r[n] for r in got.collect() for n in got.columns[1:] if r[n] is not None} == {k: c for k, (_, c) in last.items()}
+
+
+def test_ranks_by_ranges_of_values(spark):
+    from panelspark.functions.ranks import value_ranks
+    from panelspark.operators.evaluation import mid_ranks
+
+    values = [("a", 1.0), ("a", 1.0), ("a", 5.0), ("a", None), ("b", 2.0), ("b", -1.0), ("b", 2.0), ("b", 2.0)]
+    got = value_ranks(spark.createDataFrame(values, "feature string, x double"), ["feature"], "x").collect()
+    assert {(r.feature, r.x): round(r["rank"], 9) for r in got} == {("a", 1.0): 0.5, ("a", 5.0): 1.0, ("b", -1.0): 0.25, ("b", 2.0): 0.75}
+    reference = spark.createDataFrame([(0.1,), (0.2,), (0.20005,), (0.9,)], "p double")
+    rows = spark.createDataFrame([(1, 0.2), (2, 0.95), (3, 0.0), (4, 0.2)], "stock int, p double")
+    assert {r.stock: r.pct for r in mid_ranks(rows, reference).collect()} == {1: 50.0, 2: 100.0, 3: 0.0, 4: 50.0}
+
+
+def test_spearman_with_missing_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (80, 4)).astype(float)
+    x[:, 3] = 1.0
+    rows = [(i, *[None if k == 1 and i % 3 == 0 else float(v) for k, v in enumerate(r)]) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "i int, a double, b double, c double, e double")
+
+    def rank(v):
+        return np.array([(v < y).sum() + ((v == y).sum() + 1) / 2 for y in v])
+
+    want = {}
+    for m, a in enumerate("abc"):
+        for n, b in list(enumerate("abc"))[m + 1 :]:
+            both = [(r[m + 1], r[n + 1]) for r in rows if r[m + 1] is not None and r[n + 1] is not None]
+            want[a, b] = np.corrcoef(*[rank(np.array(v)) for v in zip(*both)])[0, 1]
+    got = {(r.a, r.b): r.rho for r in S.spearman(frame, ["a", "b", "c", "e"]).collect()}
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items()) and all(got[k, "e"] is None for k in "abc")
+
+
+def test_volatility_on_the_calendar_of_all_stocks(spark):
+    import statistics
+
+    days = [DAY + dt.timedelta(days=i) for i in range(30)]
+    close = {(s, d): 10.0 + (i * (s + 3)) % 7 for s in (1, 2) for i, d in enumerate(days) if not (s == 2 and i == 5)}
+    prices = spark.createDataFrame([(s, d, c) for (s, d), c in close.items()], "stock int, d date, c double")
+    got = {(r.stock, r.d): r.vol for r in B.calendar_volatility(prices).collect()}
+    for (s, d), vol in got.items():
+        i = days.index(d)
+        near = [(close.get((s, days[j - 1])), close.get((s, days[j]))) for j in range(i - 19, i + 1) if j > 0]
+        whole = len(near) == 20 and all(a is not None and b is not None for a, b in near)
+        assert (vol is not None) == whole
+        if whole:
+            assert abs(vol - statistics.stdev(math.log(b / a) for a, b in near)) < 1e-12
+
+
+def test_votes_harm_and_redundancy(spark):
+    scores = [("a", 0.9, 0.9, 0.9, 0.1, 1.0), ("b", 0.8, 0.8, 0.8, 0.2, 1.0), ("c", 0.7, 0.7, 0.7, -0.1, 0.25), ("d", 0.1, 0.1, 0.1, 0.0, 0.5), ("f", 0.2, 0.2, 0.2, 0.05, 0.5)]
+    scores = spark.createDataFrame(scores, "feature string, mi double, gain double, attribution double, permutation double, positive_folds double")
+    voted = S.votes(scores, ["mi", "gain", "permutation", "attribution"])
+    assert {r.feature: (r.votes, r.harmful, r.selected) for r in voted.collect()} == {
+        "a": (4, False, True), "b": (4, False, True), "c": (3, True, False), "d": (0, False, False), "f": (1, False, False)}
+    pairs = spark.createDataFrame([("a", "b", -0.95), ("a", "d", 0.99)], "a string, b string, rho double")
+    chosen = S.best_of_clusters(voted, S.clusters(pairs, voted.where("selected").select("feature")))
+    assert {(r.feature, r.of, r.stays) for r in chosen.collect()} == {("a", "a", True), ("b", "a", False)}
+    names = spark.createDataFrame([(x,) for x in "abcdfg"], "feature string")
+    invalid = spark.createDataFrame([("g", "price level")], "feature string, reason string")
+    assert column(S.drop_invalid(names, invalid), "feature", "feature") == [*"abcdf"]
+    got = S.report(names, invalid, voted, chosen).collect()
+    assert [r.feature for r in got if r.selected] == ["a"]
+    assert {r.feature: r.removal_reason for r in got} == {
+        "a": "", "b": "redundant with a", "c": "permutation importance negative out of sample", "d": "low agreement between selection methods",
+        "f": "low agreement between selection methods", "g": "price level"}
+
+
+def test_choice_of_models(spark):
+    from panelspark.operators import models as M
+
+    days = [DAY + dt.timedelta(days=i) for i in range(8)]
+    rows = [(s, d, float((s + i) % 2), (s * 3 + i * 5) % 11 / 11, i // 4) for s in range(6) for i, d in enumerate(days)]
+    oof = spark.createDataFrame(rows, "stock int, d date, label double, p double, fold int")
+    test = oof.drop("fold")
+    result = lambda name, family, aucs, frame=oof: M.Result(name, family, "x", 1, ["f"], aucs, frame, test)
+    a, b, c = result("a", "plain", [0.5, 0.6]), result("b", "sampled", [0.6, 0.6]), result("c", "sampled", [0.7, 0.5])
+    ensemble = M.ensemble_of([a, b, c])
+    assert ensemble.parts == (a, b) and len(ensemble.fold_aucs) == 2  # the first of equals
+    assert M.choose([a, b, c], None) is b and M.choose([a, b], M.Result("e", "ensemble", None, None, [], [0.6, 0.6], None, test)) is b
+    assert M.choose([a, b], M.Result("e", "ensemble", None, None, [], [0.7, 0.6], None, test)).name == "e"
+    assert M.ensemble_of([a]) is None
+    table = {r.experiment: r for r in M.comparison(spark, [a, b, ensemble], b).collect()}
+    assert table["b"].chosen and not table["a"].chosen and table["a"].val_roc_auc is not None and table[ensemble.name].val_roc_auc is None
+
+
+def test_stored_bars_reports_and_alignment(spark, tmp_path):
+    from panelspark.sources import io
+    from panelspark.sources import tables as T
+
+    path = str(tmp_path / "bars")
+    bars(spark, [1.0, 2.0, 3.0]).unionByName(bars(spark, [4.0, 5.0, 6.0], 7)).write.parquet(path)
+    read = T.read_bars(spark, path, [7], DAY + dt.timedelta(days=1))
+    assert column(read, "c") == [5.0, 6.0]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(stock,7)" in plan.replace(" ", "") and "GreaterThanOrEqual(d" in plan
+    io.write_report(spark.createDataFrame([("x", "y")], "feature string, reason string"), str(tmp_path / "audit"), "json")
+    assert io.read_named_report(spark, str(tmp_path), "audit", "json").collect()[0].asDict() == {"feature": "x", "reason": "y"}
+    assert all(io.read_named_report(spark, str(tmp_path / "none"), n).count() == 0 for n in io.REPORTS)
+    at = lambda day, h, m=0: dt.datetime(2020, 1, day, h, m)
+    frame = spark.createDataFrame([(DAY, at(1, 15, 30), at(1, 15, 35), None), (DAY, at(2, 9), None, at(1, 12))], "d date, `5m_bar_end` timestamp, `15m_bar_end` timestamp, `1h_bar_end` timestamp")
+    assert {r.timeframe: (r.bars_after_close, r.bars_from_other_session) for r in X.misaligned_bars(frame).collect()} == {"5m": (1, 1), "15m": (1, 0), "1h": (0, 0)}
+
+
+def test_a_stream_drops_what_it_has_seen(spark, tmp_path):
+    from panelspark.streaming import bars as ST
+
+    t = dt.datetime(2024, 1, 1, 10)
+    rows = [(1, t, 1.0), (1, t, 2.0), (2, t, 3.0), (1, t + dt.timedelta(minutes=5), 4.0)]
+    spark.createDataFrame(rows, "stock int, start timestamp, c double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("stock int, start timestamp, c double").parquet(str(tmp_path / "in"))
+    ST.run_available(ST.deduplicated(source), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.stock, r.start) for r in got) == sorted({(s, x) for s, x, _ in rows})
+
+
+def test_a_leak_in_any_source_is_found(spark):
+    """A frame whose market features look one day ahead, and one whose day takes bars after the close."""
+    days = [DAY + dt.timedelta(days=i) for i in range(40)]
+    own = spark.createDataFrame([(s, d, 10.0 + (i * (s + 2)) % 9) for s in (1, 2) for i, d in enumerate(days)], "stock int, d date, c double")
+    market = own.where("stock = 1").select("d", "c")
+    fine = spark.createDataFrame([(1, d, dt.datetime.combine(d, dt.time(h, 0)), float(h)) for d in days for h in (12, 17)], "stock int, session date, bar_end timestamp, c double")
+
+    def build(sources, by, ahead=0, close=930):
+        w = W.Window.partitionBy(*by).orderBy("d")
+        context = sources["market"].select(*by, "d", (F.lead("c", ahead).over(w) if ahead else F.col("c")).alias("m"))
+        last = sources["5m"].where(F.col("bar_end") <= F.col("session").cast("timestamp") + F.expr(f"INTERVAL {close} MINUTES"))
+        last = last.groupBy(*by, "stock", F.col("session").alias("d")).agg(F.max_by("c", "bar_end").alias("x"))
+        return sources["bars"].join(context, [*by, "d"], "left").join(last, [*by, "stock", "d"], "left")
+
+    sources = {"bars": own, "market": market, "5m": fine}
+    found = lambda **k: {(r.stock, r.feature) for r in S.frame_mismatches(lambda a, b: build(a, b, **k), sources, ["c", "m", "x"]).collect()}
+    assert found() == set() and found(ahead=1) == {(1, "m"), (2, "m")} and found(close=1440) == {(1, "x")}
