@@ -47,13 +47,9 @@ def exact_duplicates(
     light = materialise(keyed.select("doc_id", "digest", *identity), "dedup-digests")
 
     hot = hot_keys(light, ["digest"], hot_share)
-    if hot is None:
-        salted = keyed.withColumn("hot", F.lit(False)).withColumn("salt", F.lit(0))
-    else:
-        salted = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
-        salted = salted.withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn(
-            "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-        )
+    is_hot = F.xxhash64("digest").isin(hot) if hot else F.lit(False)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    salted = keyed.withColumn("hot", is_hot).withColumn("salt", salt)
     best = lambda: [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     salt_winners = materialise(
         salted.groupBy("digest", "hot", "salt", "text")

@@ -90,42 +90,40 @@ def shuffle_partitions(spark: SparkSession) -> int:
 HOT_SHARE, HOT_ROWS = 1000, 200
 
 
-def hot_keys(rows: DataFrame, key: list[str], share: int = HOT_SHARE) -> DataFrame | None:
-    """The keys that hold a ``share``-th of all rows or more, and over HOT_ROWS; None if there are none.
+def hot_keys(rows: DataFrame, key: list[str], share: int = HOT_SHARE) -> list[int]:
+    """Hashes (xxhash64 of the key) of the keys that hold a ``share``-th of all rows or more, and over HOT_ROWS.
 
     They number at most ``share`` by arithmetic.
     """
     total = rows.count()
     if total <= HOT_ROWS:
-        return None
+        return []
     return hot_among(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key, total, share)
 
 
-def hot_among(counts: DataFrame, key: list[str], total: int, share: int = HOT_SHARE) -> DataFrame | None:
+def hot_among(counts: DataFrame, key: list[str], total: int, share: int = HOT_SHARE) -> list[int]:
     """hot_keys of ``total`` rows, of which ``counts`` has ``n`` for each key."""
     if total <= HOT_ROWS:
-        return None
-    hot = materialise(counts.where((F.col("n") > HOT_ROWS) & (F.col("n") * share >= total)).select(*key), "hot-keys")
-    return None if hot.isEmpty() else hot
+        return []
+    hot = counts.where((F.col("n") > HOT_ROWS) & (F.col("n") * share >= total))
+    return [r[0] for r in hot.select(F.xxhash64(*key)).collect()]
 
 
-def join_to_one(rows: DataFrame, one: DataFrame, key: list[str], how: str = "inner", hot: DataFrame | None | str = "find") -> DataFrame:
+def join_to_one(rows: DataFrame, one: DataFrame, key: list[str], how: str = "inner", hot: list[int] | None = None) -> DataFrame:
     """``rows`` with the columns of ``one``, which has a row for each key at most.
 
     Rows of a hot key stay where they are and meet its row by broadcast, which hot_keys
     bounds; only the others are shuffled by the key. ``how``: inner, left or left_semi.
-    ``rows`` is read several times, so it should be cheap to read; the keys given as ``hot``
+    ``rows`` is read several times, so it should be cheap to read; hot keys that are given
     needn't be found again.
     """
-    if isinstance(hot, str):
-        hot = hot_keys(rows, key)
     if hot is None:
+        hot = hot_keys(rows, key)
+    if not hot:
         return rows.join(one, key, how)
-    flag = F.col("met_hot_key").isNotNull()
-    marked = rows.join(F.broadcast(hot.withColumn("met_hot_key", F.lit(True))), key, "left")
-    few = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))
-    near = marked.where(flag).drop("met_hot_key").join(few, key, how)
-    return near.unionByName(marked.where(~flag).drop("met_hot_key").join(one, key, how))
+    is_hot = F.xxhash64(*key).isin(hot)
+    near = rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how)
+    return near.unionByName(rows.where(~is_hot).join(one.where(~is_hot), key, how))
 
 
 _shipped: set[str] = set()

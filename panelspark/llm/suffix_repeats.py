@@ -29,12 +29,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import map_batches, materialise, text_or_empty
+from panelspark.llm.shared import discard, hot_among, join_to_one, map_batches, materialise, text_or_empty, unused_name
 from panelspark.llm.tokens import text_batches
 
 SMALL_GROUP = 64
 BLOCK = 8
-_BLOCK = 1_500_000
+_BLOCK = 500_000
 _PLACE_BITS = 24
 
 
@@ -78,7 +78,7 @@ def _anchor_rows(threshold: int, digit: int):
         import numpy as np
         import pyarrow as pa
 
-        from panelspark.llm.bytehash import string_bytes
+        from panelspark.llm.bytehash import byte_runs, string_bytes
 
         def rows(keys, values, starts, ends, shift):
             found = find_anchors(values, starts, ends, threshold, digit)
@@ -92,9 +92,7 @@ def _anchor_rows(threshold: int, digit: int):
         for batch in batches:
             values, offsets = string_bytes(batch.column("text"))
             keys = batch.column("row").to_numpy()
-            i = 0
-            while i < len(keys):
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _BLOCK, "right")) - 1)
+            for i, j in byte_runs(batch.column("text"), _BLOCK):
                 begin, size = offsets[i], offsets[j] - offsets[i]
                 if size <= 2 * _BLOCK:
                     yield from rows(keys[i:j], values[begin : offsets[j]], offsets[i:j] - begin, offsets[i + 1 : j + 1] - begin, 0)
@@ -102,7 +100,6 @@ def _anchor_rows(threshold: int, digit: int):
                     for at in range(0, size, _BLOCK):
                         part = values[begin + at : min(begin + at + _BLOCK + threshold - 1, offsets[j])]
                         yield from rows(keys[i:j], part, np.array([0]), np.array([len(part)]), at)
-                i = j
 
     return run
 
@@ -230,15 +227,19 @@ def _of_large_groups(large: DataFrame, threshold: int) -> DataFrame:
     """row and ranges of repeated windows among many contexts of one digit: first by blocks, then one by one."""
     schema = "k1 long, block int, core long, whole long, row long, p long, more int, alone boolean, windows array<long>"
     blocks = materialise(map_batches(large, _deal_blocks(threshold), schema), "repeats-blocks")
-    digits = blocks.groupBy("k1", "block", "core").agg(
-        F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")
-    )
-    shared = digits.where("n > 1").select("k1", "block", "core", (F.col("a") == F.col("b")).alias("same"))
-    met = materialise(blocks.join(shared, ["k1", "block", "core"]), "repeats-blocks-met")
+    key = ["k1", "block", "core"]
+    digits = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+    shared = materialise(digits.where("n > 1").select(*key, "n", (F.col("a") == F.col("b")).alias("same")), "repeats-cores")
+    hot = hot_among(shared, key, blocks.count())
+    met = materialise(join_to_one(blocks, shared.drop("n"), key, hot=hot), "repeats-blocks-met")
+    discard(blocks)
     whole = met.where("same and alone").select("row", F.shiftleft("p", 8).bitwiseOR(F.col("more").cast("long")).alias("range"))
     single = met.where("not same").select("k1", "row", "p", "alone", F.posexplode("windows").alias("i", "w"))
-    twice = single.groupBy("k1", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "w")
-    found = single.where("alone").join(twice, ["k1", "w"], "left_semi")
+    twice = single.groupBy("k1", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = materialise(twice, "repeats-windows")
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = hot_among(twice, ["k1", "w"], total)
+    found = join_to_one(single.where("alone"), twice.select("k1", "w"), ["k1", "w"], "left_semi", hot)
     return whole.unionByName(found.select("row", F.shiftleft(F.col("p") + F.col("i"), 8).alias("range")))
 
 
@@ -250,11 +251,14 @@ def repeated_ranges(keyed: DataFrame, threshold: int) -> DataFrame:
     digit = max(8, threshold * 8 // 25)
     if not 2 * digit <= threshold <= 255:
         raise ValueError("the threshold must lie between 16 and 255 bytes")
-    anchors = map_batches(keyed.select("row", "text"), _anchor_rows(threshold, digit), "k1 long, s1 long, row long, span long")
+    fields = "k1 long, s1 long, row long, span long"
+    anchors = materialise(map_batches(keyed.select("row", "text"), _anchor_rows(threshold, digit), fields), "repeats-anchors")
 
     digits = anchors.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.min("s1").alias("a"), F.max("s1").alias("b"))
-    shared = digits.where("n > 1").select("k1", (F.col("a") == F.col("b")).alias("same"))
-    together = materialise(anchors.join(shared, "k1"), "repeats-digits")
+    shared = materialise(digits.where("n > 1").select("k1", "n", (F.col("a") == F.col("b")).alias("same")), "repeats-shared")
+    hot = hot_among(shared, ["k1"], anchors.count())
+    together = materialise(join_to_one(anchors, shared.drop("n"), ["k1"], hot=hot), "repeats-digits")
+    discard(anchors)
 
     as_range = (F.shiftleft(F.shiftright("span", 16), 8) + F.col("span").bitwiseAND(F.lit(255))).alias("range")
     mixed = together.where("not same")
@@ -262,7 +266,9 @@ def repeated_ranges(keyed: DataFrame, threshold: int) -> DataFrame:
         mixed.groupBy("k1", "s1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "span")).alias("first")),
         "repeats-contexts",
     )
-    copies = mixed.join(classes.where("n > 1").select("k1", "s1"), ["k1", "s1"], "left_semi")
+    several = classes.where("n > 1").select("k1", "s1", "n")
+    hot = hot_among(several, ["k1", "s1"], together.count())
+    copies = join_to_one(mixed, several.drop("n"), ["k1", "s1"], "left_semi", hot)
 
     wanted = classes.select("k1", "first.row", F.struct("k1", "first.span", (F.col("n") == 1).alias("alone")).alias("x"))
     lists = wanted.groupBy("row").agg(F.collect_list("x").alias("wanted"))
@@ -270,15 +276,14 @@ def repeated_ranges(keyed: DataFrame, threshold: int) -> DataFrame:
     context = "k1 long, row long, low long, before int, more int, alone boolean, context binary"
     contexts = materialise(map_batches(texts.join(lists, "row"), _contexts(threshold), context), "repeats-bytes")
 
-    sizes = contexts.groupBy("k1").agg(F.count(F.lit(1)).alias("members"))
-    small = contexts.join(sizes.where(F.col("members") <= SMALL_GROUP).select("k1"), "k1", "left_semi")
-    groups = small.groupBy("k1").agg(
+    sizes = materialise(contexts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")), "repeats-sizes")
+    hot = hot_among(sizes, ["k1"], contexts.count())
+    sized = join_to_one(contexts, sizes, ["k1"], hot=hot)
+    groups = sized.where(F.col("n") <= SMALL_GROUP).groupBy("k1").agg(
         F.collect_list(F.struct("row", "low", "before", "more", "alone", "context")).alias("contexts")
     )
     from_small = map_batches(groups.select("contexts"), _compare_small(threshold), "row long, range long")
-
-    large = contexts.join(sizes.where(F.col("members") > SMALL_GROUP).select("k1"), "k1", "left_semi")
-    from_large = _of_large_groups(large, threshold)
+    from_large = _of_large_groups(sized.where(F.col("n") > SMALL_GROUP).drop("n"), threshold)
 
     found = (
         together.where("same").select("row", as_range)
@@ -324,8 +329,13 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str):
-    """A key of rows: those that share it have the same id and text, and so the same repeats."""
-    return F.xxhash64(F.col(id_col), text_or_empty(text_col))
+    """A key of rows: the id where no id repeats or is null, which is looked up first, else a hash of id and text.
+
+    Rows that share the hash are taken to have the same id and text, and so the same repeats.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    odd = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
+    return F.col(id_col).cast("long") if odd.isEmpty() else F.xxhash64(F.col(id_col), text_or_empty(text_col))
 
 
 def find_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,22 +381,26 @@ def drop_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id",
 
     A null text stays null. Every row stays, even where nothing is left of its text.
     """
-    keyed = docs.select("*", _row_key(docs, id_col, text_col).alias("__row"))
-    texts = keyed.select(F.col("__row").alias("row"), text_or_empty(text_col).alias("text"))
-    ranges = materialise(repeated_ranges(texts, threshold), "repeats-ranges").select(F.col("row").alias("__row"), F.col("ranges").alias("__ranges"))
+    row, spans = unused_name(docs, "row_key"), unused_name(docs, "repeated")
+    keyed = docs.withColumn(row, _row_key(docs, id_col, text_col))
+    texts = keyed.select(F.col(row).alias("row"), text_or_empty(text_col).alias("text"))
+    ranges = materialise(repeated_ranges(texts, threshold), "repeats-ranges").select(F.col("row").alias(row), F.col("ranges").alias(spans))
 
     def run(batches):
         import pyarrow as pa
 
+        from panelspark.llm.bytehash import byte_runs
+
         for batch in batches:
-            out = []
-            for text, found in zip(batch.column(text_col).to_pylist(), batch.column("__ranges").to_pylist(), strict=True):
-                if text and found:
-                    data = text.encode("utf-8")
-                    text = without(data, whole_characters(data, covered(found, threshold))).decode("utf-8")
-                out.append(text)
             at = batch.schema.get_field_index(text_col)
-            yield batch.set_column(at, text_col, pa.array(out, pa.string())).drop_columns(["__ranges"])
-
-    joined = keyed.join(ranges, "__row", "left").drop("__row")
+            for i, j in byte_runs(batch.column(at), _BLOCK):
+                part, out = batch.slice(i, j - i), []
+                for text, found in zip(part.column(at).to_pylist(), part.column(spans).to_pylist(), strict=True):
+                    if text and found:
+                        data = text.encode("utf-8")
+                        text = without(data, whole_characters(data, covered(found, threshold))).decode("utf-8")
+                    out.append(text)
+                yield part.set_column(at, text_col, pa.array(out, pa.string())).drop_columns([spans])
+
+    joined = keyed.join(ranges, row, "left").drop(row)
     return map_batches(joined, run, docs.schema)
