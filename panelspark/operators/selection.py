@@ -99,6 +99,14 @@ def long_ranks(long: DataFrame) -> DataFrame:
     return join_values(held, value_ranks(held, ["feature"], "x"))
 
 
+def target_correlation(long: DataFrame) -> DataFrame:
+    """feature, rho: rank correlation of x with the outcome y over the rows that have x."""
+    x = long.where("x is not null")
+    of_y = value_ranks(x, ["feature"], "y").withColumnRenamed("rank", "ry")  # a row for each outcome of a feature
+    ranked = long_ranks(x).withColumnRenamed("rank", "rx").join(F.broadcast(of_y), ["feature", "y"])
+    return ranked.groupBy("feature").agg(correlation("rx", "ry").alias("rho"))
+
+
 def duplicates(pairs: DataFrame, order: list[str], threshold: float = 0.999) -> DataFrame:
     """feature, of: features to drop as copies of an earlier one that stays, in the order of candidates.
 

@@ -144,6 +144,7 @@ def select_features(spark, rows, candidates, bounds, invalid, trees: int = 8, co
     kept = [f for f in kept if f not in reasons]
 
     long = X.long_form(train, ["stock", "d"], kept)
+    related = X.target_correlation(X.long_form(train.withColumnRenamed("label", "y"), ["stock", "d", "y"], kept)).select("feature", F.col("rho").alias("correlation"))
     information = X.mutual_information(long, train.select("stock", "d", F.col("label").alias("y")), ["stock", "d"])
     folds = []
     for k in [r["fold"] for r in bounds.where("fold >= 0").orderBy("fold").collect()]:
@@ -156,7 +157,7 @@ def select_features(spark, rows, candidates, bounds, invalid, trees: int = 8, co
         some = held.orderBy(F.xxhash64("stock", "d"), "stock", "d").limit(200).select("stock", "d", *kept)  # the attribution sample
         part = M.attributions(m, some, held.select(*kept), kept, ["stock", "d"], permutations=2, top=len(kept)).select("feature", "value")
         values = part if values is None else values.unionByName(part)
-    scores = named(kept).join(information, "feature", "left").join(gains, "feature", "left").join(shuffled, "feature", "left").join(M.mean_attributions(values), "feature", "left")
+    scores = named(kept).join(related, "feature", "left").join(information, "feature", "left").join(gains, "feature", "left").join(shuffled, "feature", "left").join(M.mean_attributions(values), "feature", "left")
     voted = stored(X.votes(scores, ["mi", "gain", "permutation", "attribution"]), "selection-votes")
     clustered = X.clusters(pairs, voted.where("selected").select("feature"))
     chosen = X.best_of_clusters(voted, clustered)

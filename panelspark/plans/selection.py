@@ -67,10 +67,7 @@ def x4_spearman(spark, d):
 
 @query("x4_target_correlation", S.statement(*BASE, f"r AS (SELECT feature, {S.pct_rank('x', 'feature')} AS rx, {S.pct_rank('y', 'feature')} AS ry FROM long WHERE x IS NOT NULL)", "SELECT feature, round(CASE WHEN count(DISTINCT rx) > 1 THEN corr(rx, ry) END, 6) + 0.0 AS rho FROM r GROUP BY 1"))
 def x4_target_correlation(spark, d):
-    x = long(spark, d).where("x is not null")
-    of_y = X.value_ranks(x, ["feature"], "y").withColumnRenamed("rank", "ry")  # two values a feature
-    ranked = X.long_ranks(x).withColumnRenamed("rank", "rx").join(F.broadcast(of_y), ["feature", "y"])
-    return ranked.groupBy("feature").agg((F.round(X.correlation("rx", "ry"), 6) + F.lit(0.0)).alias("rho"))
+    return X.target_correlation(long(spark, d)).select("feature", (F.round("rho", 6) + F.lit(0.0)).alias("rho"))
 
 
 PLACES = ", ".join(f"('{f}', {i})" for i, f in enumerate([*USED, *EXTRA]))
