@@ -27,9 +27,10 @@ def sums_before(counts: DataFrame, by: list[str], value: str, sums: list[str]) -
 
 
 def value_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, value, rank: the mean rank of each distinct non-null value, as a share of the group's non-null rows."""
+    """by, value, n, total, rank: of each distinct non-null value its rows, those of its group, and the mean
+    rank of its rows as a share of the group's."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     placed = sums_before(counts, by, value, ["n"])
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("__all"))  # a row for each group
+    sizes = placed.groupBy(*by).agg(F.sum("n").alias("total"))  # a row for each group
     ranked = placed.join(F.broadcast(sizes), by) if by else placed.join(F.broadcast(sizes), F.lit(True))
-    return ranked.select(*by, value, ((F.col("before_n") + (F.col("n") + 1) / 2) / F.col("__all")).alias("rank"))
+    return ranked.select(*by, value, "n", "total", ((F.col("before_n") + (F.col("n") + 1) / 2) / F.col("total")).alias("rank"))

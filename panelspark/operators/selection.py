@@ -38,43 +38,49 @@ def correlation(a, b):
     return F.when(spread > 1e-12, F.covar_pop(a, b) / spread)
 
 
-def spearman(frame: DataFrame, features: list[str], chunk: int = 1_000) -> DataFrame:
+def spearman(frame: DataFrame, features: list[str], chunk: int = 200) -> DataFrame:
     """a, b, rho of every pair of features a < b, each over the rows that have both.
 
-    Each feature is ranked once over its own rows, by ranges of its values, and all pairs
-    come out of wide aggregates over the rows. A pair whose features are missing in other
-    rows has other ranks; only the rows of such pairs are ranked by pair, in long form.
+    Each feature is ranked once over its own rows, by ranges of its values, and all pairs come out
+    of wide aggregates over the rows. Of a pair whose features are missing in different rows, each
+    side without the other's gaps is ranked as a feature of its own, one task a side.
     """
     features = sorted(features)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    wide = stored(frame.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features]), "ranked-rows")
-    missing = {}
-    for at in range(0, len(pairs), chunk):
-        part = pairs[at : at + chunk]
-        one = wide.agg(*[F.bool_or(F.col(f"`{a}`").isNull() != F.col(f"`{b}`").isNull()).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
-        missing |= {pair: bool(one[i]) for i, pair in enumerate(part)}
-    alike, unlike = [p for p in pairs if not missing[p]], [p for p in pairs if missing[p]]
-
-    long = long_form(wide, ["row"], features).where("x is not null")
-    ranked = join_values(long, value_ranks(long, ["feature"], "x"))
-    names = dict(zip(features, (f"r{i}" for i in range(len(features)))))
-    ranks = stored(ranked.groupBy("row").agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(n) for f, n in names.items()]), "ranks")
-    columns = {f: F.col(n) for f, n in names.items()}
-    schema = "a string, b string, rho double"
-    found = frame.sparkSession.createDataFrame([], schema)
-    for at in range(0, len(alike), chunk):
-        part = alike[at : at + chunk]
-        one = ranks.agg(*[correlation(columns[a], columns[b]).alias(f"p{i}") for i, (a, b) in enumerate(part)])
-        rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(part)])
-        found = found.unionByName(one.select(F.inline(rows)))
-    if unlike:
-        sides = [F.struct(F.lit(f"{a}|{b}").alias("feature"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("xa"), F.col(f"`{b}`").alias("xb")) for a, b in unlike]
-        both = wide.select("row", F.explode(F.array(*sides)).alias("p")).select("p.*").where("xa is not null and xb is not null")
-        both = stored(both, "ranked-pairs")
-        for x in ("xa", "xb"):
-            ranked = join_values(both.withColumnRenamed(x, "x"), value_ranks(both, ["feature"], x).withColumnRenamed(x, "x"))
-            both = ranked.withColumnRenamed("x", x).withColumnRenamed("rank", f"r{x}")
-        found = found.unionByName(both.groupBy("a", "b").agg(correlation("rxa", "rxb").alias("rho")))
+    wide = stored(frame.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)]), "ranked-rows")
+    column = {f: F.col(f"f{i}") for i, f in enumerate(features)}
+    unlike = {}
+    for at in range(0, len(pairs), 1000):
+        part = pairs[at : at + 1000]
+        one = wide.agg(*[F.bool_or(column[a].isNull() != column[b].isNull()).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
+        unlike |= {pair: bool(one[i]) for i, pair in enumerate(part)}
+
+    found = frame.sparkSession.createDataFrame([], "a string, b string, rho double")
+    parts = [[p for p in pairs if not unlike[p]]]
+    rest = [p for p in pairs if unlike[p]]
+    parts += [rest[at : at + chunk] for at in range(0, len(rest), chunk)]
+    for part in filter(None, parts):
+        sides = {}  # of each pair the two columns that are ranked
+        given = {}
+        for i, (a, b) in enumerate(part):
+            if unlike[a, b]:
+                given |= {f"x{i}": F.when(column[b].isNotNull(), column[a]), f"y{i}": F.when(column[a].isNotNull(), column[b])}
+                sides[a, b] = (f"x{i}", f"y{i}")
+            else:
+                names = [f"f{features.index(x)}" for x in (a, b)]
+                given |= {n: F.col(n) for n in names}
+                sides[a, b] = tuple(names)
+        long = wide.select("row", *[c.alias(n) for n, c in given.items()]).unpivot(["row"], [*given], "feature", "x").where("x is not null")
+        if any(unlike[p] for p in part):  # the rows that both have: ranked side by side
+            ranked = long.select("row", "feature", W.pct_rank(F.col("x"), ["feature"]).alias("rank"))
+        else:
+            ranked = join_values(long, value_ranks(long, ["feature"], "x"))
+        ranks = stored(ranked.groupBy("row").agg(*[F.max(F.when(F.col("feature") == n, F.col("rank"))).alias(n) for n in given]), "ranks")
+        for at in range(0, len(part), 1000):
+            some = part[at : at + 1000]
+            one = ranks.agg(*[correlation(*map(F.col, sides[p])).alias(f"p{i}") for i, p in enumerate(some)])
+            rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(some)])
+            found = found.unionByName(one.select(F.inline(rows)))
     return found
 
 
@@ -82,27 +88,25 @@ def join_values(long: DataFrame, ranks: DataFrame) -> DataFrame:
     """``long`` (feature, x and more) with the rank of each value.
 
     A value that holds a hundredth of its feature's rows is broadcast: there are at most a
-    hundred of them for each feature, or pair of features where pairs are ranked.
+    hundred of them for each feature, or side of a pair where pairs are ranked.
     """
-    sizes = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    total = long.groupBy("feature").agg(F.count(F.lit(1)).alias("total"))
-    common = sizes.join(F.broadcast(total), "feature").where((F.col("n") * 100 >= F.col("total")) & (F.col("n") > 1000)).select("feature", "x")
-    common = F.broadcast(ranks.join(F.broadcast(common), ["feature", "x"], "left_semi"))
-    marked = long.join(common.withColumnRenamed("rank", "common"), ["feature", "x"], "left")
-    rest = marked.where("common is null").drop("common").join(ranks, ["feature", "x"])
+    often = (F.col("n") * 100 >= F.col("total")) & (F.col("n") > 1000)
+    common = F.broadcast(ranks.where(often).select("feature", "x", F.col("rank").alias("common")))
+    marked = long.join(common, ["feature", "x"], "left")
+    rest = marked.where("common is null").drop("common").join(ranks.where(~often).select("feature", "x", "rank"), ["feature", "x"])
     return marked.where("common is not null").withColumnRenamed("common", "rank").unionByName(rest)
 
 
 def long_ranks(long: DataFrame) -> DataFrame:
     """``long`` without missing values, with the rank of x among its feature's values."""
-    held = long.where("x is not null")
+    held = stored(long.where("x is not null"), "ranked-values")
     return join_values(held, value_ranks(held, ["feature"], "x"))
 
 
 def target_correlation(long: DataFrame) -> DataFrame:
     """feature, rho: rank correlation of x with the outcome y over the rows that have x."""
-    x = long.where("x is not null")
-    of_y = value_ranks(x, ["feature"], "y").withColumnRenamed("rank", "ry")  # a row for each outcome of a feature
+    x = stored(long.where("x is not null"), "correlated-values")
+    of_y = value_ranks(x, ["feature"], "y").select("feature", "y", F.col("rank").alias("ry"))  # a row for each outcome of a feature
     ranked = long_ranks(x).withColumnRenamed("rank", "rx").join(F.broadcast(of_y), ["feature", "y"])
     return ranked.groupBy("feature").agg(correlation("rx", "ry").alias("rho"))
 
