@@ -79,7 +79,11 @@ def byte_runs(column, most: int):
 
 
 class Rolling:
-    """Hashes of substrings from prefix sums modulo 2**64."""
+    """Hashes of substrings from prefix sums modulo 2**64, at every place at once.
+
+    They choose places (equal strings have equal hashes) and never tell strings apart: in this
+    ring different strings of regular build collide whatever the bases are.
+    """
 
     def __init__(self, values: np.ndarray, which: int):
         base = bases(which)
@@ -93,9 +97,6 @@ class Rolling:
         n = len(self.sums) - length
         return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U))
-
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     done = 1
@@ -106,6 +107,55 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+#: Words are hashed modulo the prime 2**61 - 1, in pieces of at most PIECE bytes.
+PRIME = (1 << 61) - 1
+PIECE = 4096
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, of halves of 30 and 31 bits."""
+    low = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced(a1 * b1 * U(2) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31)) + a0 * b0)
+
+
+def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high * 2**32 + low modulo the prime."""
+    high = reduced(high)
+    return reduced(reduced(low) + ((high & U((1 << 29) - 1)) << U(32)) + (high >> U(29)))
+
+
+@functools.lru_cache(maxsize=8)
+def prime_powers(which: int, size: int) -> np.ndarray:
+    """base**0 .. base**(size-1) modulo the prime."""
+    base = int(seeds(1, 77_000 + which)[0]) % PRIME
+    out = np.ones(1, dtype=U)
+    while len(out) < size:
+        out = np.concatenate([out, times(out, np.array([pow(base, len(out), PRIME)], dtype=U))])
+    return out[:size]
+
+
+def polynomials(values: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each run of ``values`` (below 2**10; from its start to the next) the polynomial of ``at``, its places."""
+    power = prime_powers(3, PIECE)
+    first = np.flatnonzero(at % PIECE == 0) if at.max() >= PIECE else starts
+    power = power[at % PIECE if len(first) > len(starts) else at]
+    high, low = np.add.reduceat(values * (power >> U(32)), first), np.add.reduceat(values * (power & U(0xFFFFFFFF)), first)
+    total = joined(high, low)
+    if len(first) == len(starts):
+        return total
+    piece = at[first] // PIECE
+    total = times(total, prime_powers(4, 1 << int(piece.max()).bit_length())[piece])
+    of = np.searchsorted(first, starts)
+    return joined(np.add.reduceat(total >> U(32), of), np.add.reduceat(total & U(0xFFFFFFFF), of))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+``, A-Z as a-z, of every text; the number of words in each."""
     if not len(data):
@@ -122,6 +172,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     lengths = np.diff(np.append(starts, len(data)))
     at = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], lengths)
     used = data[starts[0] :]
-    value = byte_values(3)[LOWER[used]] * power_table(bases(3), int(lengths.max()))[at]
+    value = LOWER[used].astype(U) + U(1)
     value[SPACES[used]] = 0
-    return mix(np.add.reduceat(value, starts - starts[0])), per_text
+    return mix(polynomials(value, at, starts - starts[0])), per_text
+
+
+def word_sequences(data: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+    """Of every text its words, A-Z as a-z, between single blanks: equal bytes where the words are equal."""
+    inside = ~SPACES[data]
+    stays = inside.copy()
+    stays[1:] |= inside[:-1]  # the first white space after a word
+    starts = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(data))]
+    stays[starts] = inside[starts]
+    places = np.r_[0, np.cumsum(stays)][offsets]
+    kept = np.where(inside, LOWER[data], np.uint8(32))[stays]
+    ends = places[1:].copy()
+    filled = ends > places[:-1]
+    ends[filled] -= kept[ends[filled] - 1] == 32
+    view = memoryview(kept)
+    return [view[a:b] for a, b in zip(places[:-1].tolist(), ends.tolist(), strict=True)]

@@ -10,9 +10,11 @@ independent.
 *Banding.* With 160 bins in 32 bands of 5, a pair of similarity 0.8 misses every band with
 a chance of (1 - 0.8^5)^32, about 3 in a million; higher similarities with less.
 
-*Verification.* Documents with equal sets are one class; its smallest id stands for it. In
-every bucket the smallest member leads and is compared in full with all others: a row for
-each member.
+*Verification.* Documents with equal word sequences (told by a cryptographic digest of all
+their words) are one class; its smallest id stands for it. In every bucket the smallest
+member leads and is compared in full with all others: a row for each member. Links are
+confirmed on the words of both texts, numbered by a dictionary of the pair; hashes of words
+choose sketches and candidates only.
 
 *What no leader connects.* Members of buckets that still hold several components form groups
 (members that buckets connect). All pairs of a group are decided by an exact prefix join on
@@ -104,20 +106,20 @@ def _blocks(batches):
 
 def _sketch_rows(words: int):
     def run(batches):
+        from hashlib import blake2b
+
         import numpy as np
         import pyarrow as pa
 
-        from panelspark.llm.bytehash import U, mix
+        from panelspark.llm.bytehash import U, mix, word_sequences
 
         for batch, i, j, values, offsets in _blocks(batches):
             elements, counts = shingle_sets(values, offsets, words)
             full = counts > 0
-            starts = (np.cumsum(counts) - counts)[full]
-            a, b = np.zeros(len(counts), U), np.zeros(len(counts), U)
+            digests = b"".join(blake2b(x, digest_size=16).digest() for x in word_sequences(values, offsets))
+            digests = np.frombuffer(digests, "<i8").reshape(-1, 2)
             bands = [None] * len(counts)
             if full.any():
-                a[full] = np.add.reduceat(mix(elements), starts)
-                b[full] = np.add.reduceat(mix(elements ^ U(0xA5A5A5A5A5A5A5A5)), starts)
                 rows = sketches(elements, counts[full])
                 keys = rows[:, 0::BAND].copy()
                 for r in range(1, BAND):
@@ -128,8 +130,8 @@ def _sketch_rows(words: int):
                 [
                     batch.column("doc_id").slice(i, j - i),
                     pa.array(counts),
-                    pa.array(a.view(np.int64)),
-                    pa.array(b.view(np.int64)),
+                    pa.array(digests[:, 0].copy()),
+                    pa.array(digests[:, 1].copy()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n_shingles", "sig1", "sig2", "bands"],
@@ -152,25 +154,58 @@ def _set_rows(words: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def linked(a: bytes, b: bytes, words: int, percent: int) -> bool:
+    """Whether the shingle sets of two texts are similar enough, by their words and no hash."""
+    import numpy as np
+
+    numbers: dict[bytes, int] = {}
+    x, y = (np.array([numbers.setdefault(w, len(numbers)) for w in t.lower().split()], np.int64) for t in (a, b))
+    if min(len(x), len(y)) < words:  # a short text's one element is its whole sequence
+        return len(x) == len(y) > 0 and bool((x == y).all())
+    known = most = max(len(numbers), 2)
+    u, v = x, y
+    for i in range(1, words):
+        if most > (1 << 62) // known:  # number the shingles so far
+            found, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+            u, v, most = place[: len(u)], place[len(u) :], len(found)
+        u, v = u[: len(x) - i] * known + x[i:], v[: len(y) - i] * known + y[i:]
+        most *= known
+    u, v = np.unique(u), np.unique(v)
+    same = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * same >= percent * (len(u) + len(v) - same)
+
+
+def _confirm(words: int, percent: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a", "b")]
+            texts = [batch.column(c) for c in ("of_a", "of_b")]
+            kept = [i for i in range(batch.num_rows) if linked(*(t[i].as_py() for t in texts), words, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in kept], pa.int64()) for c in columns], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``texts`` has rep and text."""
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     total = pairs.count()
     hot = counts.where((F.col("n") > HOT_PAIRS) & (F.col("n") * 1000 >= total)).select("a", F.lit(True).alias("hot"))
     salted = pairs.join(F.broadcast(hot), "a", "left").withColumn(
         "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0))
     )
+    data = F.col("text").cast("binary")
     first = (
-        sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))
+        texts.select(F.col("rep").alias("a"), data.alias("of_a"))
         .join(F.broadcast(hot), "a", "left")
         .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
         .drop("hot")
     )
-    second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
+    second = texts.select(F.col("rep").alias("b"), data.alias("of_b"))
     both = salted.drop("hot").join(first, ["a", "salt"]).join(second, "b")
-    same = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    union = F.size("of_a") + F.size("of_b") - same
-    return both.where(same * 100 >= union * percent).select("a", "b").distinct()
+    return map_batches(both.select("a", "b", "of_a", "of_b"), _confirm(words, percent), "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -358,12 +393,11 @@ def near_duplicates(
     discard(dealt)
 
     needed = buckets.select("rep").distinct()
-    texts = base.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep")
-    sets = materialise(map_batches(texts, _set_rows(words), "rep long, shingles array<long>"), "near-sets")
+    texts = materialise(base.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep"), "near-texts")
 
     met = buckets.where("lead <> rep").where(F.least("lead_n", "n") * 100 >= F.greatest("lead_n", "n") * percent)
     pairs = materialise(met.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    edges = materialise(_verified(pairs, sets, percent), "near-links")
+    edges = materialise(_verified(pairs, texts, words, percent), "near-links")
     # an id of several classes ties them together, whether or not it represents one
     repeated = of.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y")
     repeated = materialise(repeated.select("doc_id"), "near-repeated-ids")
@@ -379,9 +413,10 @@ def near_duplicates(
     mixed = known.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     open_ = materialise(join_to_one(known.drop("component"), mixed.select("band", "h"), ["band", "h"], "left_semi"), "near-mixed")
     if not open_.isEmpty():
-        own = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
-        pairs = materialise(_unmet_pairs(open_, materialise(own, "near-open-sets"), components, percent), "near-pairs")
-        new = materialise(_verified(pairs, sets, percent), "near-links")
+        own = texts.join(open_.select("rep").distinct(), "rep", "left_semi")
+        own = materialise(map_batches(own, _set_rows(words), "rep long, shingles array<long>"), "near-open-sets")
+        pairs = materialise(_unmet_pairs(open_, own, components, percent), "near-pairs")
+        new = materialise(_verified(pairs, texts, words, percent), "near-links")
         # only the components that a new link joins change
         of_a = components.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
         of_b = components.select(F.col("node").alias("b"), F.col("component").alias("c_b"))

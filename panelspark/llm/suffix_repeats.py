@@ -16,16 +16,22 @@ their windows are repeated and leave, too.
 one of them stands for all from here on.
 
 *Pass 3*, the windows of the contexts that differ: those found twice are repeated. The
-contexts of one digit, up to ``SMALL_GROUP``, are compared in one row; those of larger
-groups are dealt out, first in blocks of windows, which leave if what all their windows
-share is found once, or if all that share it are equal, then window by window.
-
-Digits and contexts are compared by two independent 64-bit hashes (of the digit and of the
-context), windows of small groups byte by byte. Matches never cross texts.
+contexts of one digit, up to ``SMALL_GROUP``, are compared in one row. Those of larger groups
+meet the commonest context of their digit first, byte by byte: the windows that equal its own
+are repeated and leave. The others are dealt out, first in blocks of windows, which leave if
+what all their windows share is found once, or if all that share it are equal, then window
+by window.
+
+Digits, contexts and windows that are dealt out are told apart by cryptographic digests of
+their bytes: 16 bytes for digit and context, 16 for digit and window. Windows of small groups
+and of a digit's commonest context are compared byte by byte. A polynomial hash chooses the
+anchors and nothing else. Matches never cross texts.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +44,19 @@ _BLOCK = 500_000
 _PLACE_BITS = 24
 
 
-def _signed(x):
+def digest(data) -> bytes:
+    """Eight bytes of a cryptographic digest."""
+    return blake2b(data, digest_size=8).digest()
+
+
+def _longs(digests: list[bytes]):
     import numpy as np
 
-    return x.view(np.int64)
+    return np.frombuffer(b"".join(digests), "<i8")
 
 
 def find_anchors(values, starts, ends, threshold: int, digit: int):
-    """(digit hash, context hash, text, first window, anchor, last window) of each run of windows.
+    """(digit, context, text, first window, anchor, last window) of each run of windows, digit and context digested.
 
     Texts lie in ``values``, each between its start and end; text is an index of ``starts``.
     """
@@ -56,8 +67,7 @@ def find_anchors(values, starts, ends, threshold: int, digit: int):
     n_windows = len(values) - threshold + 1
     if n_windows <= 0:
         return None
-    first, second = Rolling(values, 1), Rolling(values, 2)
-    hashes = first.every(digit)
+    hashes = Rolling(values, 1).every(digit)
     place = U((1 << _PLACE_BITS) - 1)
     ranked = (hashes & ~place) | np.arange(len(hashes), dtype=U)
     anchors = (sliding_minimum(ranked, threshold - digit + 1) & place).astype(np.int64)
@@ -70,7 +80,11 @@ def find_anchors(values, starts, ends, threshold: int, digit: int):
     change = np.flatnonzero((anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])) + 1
     begin, end = np.r_[0, change], np.r_[change - 1, len(text) - 1]
     low, high, at = window[begin], window[end], anchor[begin]
-    return hashes[at], second.spans(low, high + threshold), text[begin], low, at, high
+    data = values.tobytes()
+    digits = _longs([digest(data[a : a + digit]) for a in at.tolist()])
+    # where the anchor lies in its context counts, too
+    contexts = _longs([digest(b"%d %s" % (c - a, data[a:b])) for a, b, c in zip(low.tolist(), (high + threshold).tolist(), at.tolist(), strict=True)])
+    return digits, contexts, text[begin], low, at, high
 
 
 def _anchor_rows(threshold: int, digit: int):
@@ -86,7 +100,7 @@ def _anchor_rows(threshold: int, digit: int):
                 k1, s1, text, low, at, high = found
                 span = (low - starts[text] + shift) << 16 | (at - low) << 8 | (high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (_signed(k1), _signed(s1), keys[text], span)], names=["k1", "s1", "row", "span"]
+                    [pa.array(x) for x in (k1, s1, keys[text], span)], names=["k1", "s1", "row", "span"]
                 )
 
         for batch in batches:
@@ -115,7 +129,7 @@ def _contexts(threshold: int):
             for row, wanted, text in zip(keys, lists, texts, strict=True):
                 for x in wanted:
                     low, before, more = x["span"] >> 16, x["span"] >> 8 & 255, x["span"] & 255
-                    rows.append((x["k1"], row, low, before, more, x["alone"], text[low : low + more + threshold]))
+                    rows.append((x["k1"], row, low, before, more, x["copies"], x["copies"] == 1, text[low : low + more + threshold]))
                     size += more + threshold
                 if size > 4_000_000:
                     yield _context_batch(pa, rows)
@@ -127,8 +141,8 @@ def _contexts(threshold: int):
 
 
 def _context_batch(pa, rows):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-    names = ["k1", "row", "low", "before", "more", "alone", "context"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+    names = ["k1", "row", "low", "before", "more", "copies", "alone", "context"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
@@ -174,73 +188,92 @@ def _compare_small(threshold: int):
     return run
 
 
-def _deal_blocks(threshold: int):
-    """The windows of each context in blocks of equal anchor offsets, with what all windows of
-    the full block share (core), what those of the context span together (union), and each one's hash."""
+def _equal_windows(context: bytes, before: int, central: bytes, central_before: int, threshold: int) -> list[tuple[int, int]]:
+    """(first, last) offsets from the anchor, counted back, of runs of windows equal in both contexts.
+
+    Byte by byte: a window is equal if it reaches over no place where the contexts differ.
+    """
+    import numpy as np
+
+    start = -min(before, central_before)
+    size = min(len(context) - before, len(central) - central_before) - start
+    if size < threshold:
+        return []
+    a = np.frombuffer(context, np.uint8)[before + start :][:size]
+    b = np.frombuffer(central, np.uint8)[central_before + start :][:size]
+    edges = np.r_[-1, np.flatnonzero(a != b), size]
+    found = np.flatnonzero(np.diff(edges) > threshold)
+    return [(-start - int(edges[i]) - 1, -start - int(edges[i + 1]) + threshold) for i in found]
+
+
+def _meet_centre(threshold: int):
+    """Of contexts with the commonest one of their digit: windows that equal its own, and the rest in blocks of
+    equal anchor offsets, with what all windows of a block share (core), what they span together (whole), and the
+    digest of each one."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        from panelspark.llm.bytehash import Rolling, U, mix, string_bytes
-
+        names = ["k1", "block", "core", "whole", "row", "p", "more", "alone", "windows"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+        long = lambda data: int.from_bytes(digest(data), "little", signed=True)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_000):
-                part = batch.slice(at, 4_000)
-                values, offsets = string_bytes(part.column("context"))
-                rolling = Rolling(values, 2)
-                before = part.column("before").to_numpy().astype(np.int64)
-                more = part.column("more").to_numpy() + 1
-                owner = np.repeat(np.arange(len(more)), more)
-                inside = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more)
-                block = (before[owner] - inside) // BLOCK
-                change = np.flatnonzero((block[1:] != block[:-1]) | (owner[1:] != owner[:-1])) + 1
-                first, last = np.r_[0, change], np.r_[change - 1, len(owner) - 1]
-                own, blk = owner[first], block[first]
-                start = offsets[own]
-                core = start + before[own] - BLOCK * blk
-                i, j = inside[first], inside[last]
-                union = rolling.spans(start + i, start + j + threshold)
-                union = mix(union + ((before[own] - i) << 16 | (before[own] - j)).astype(U))
-                windows = rolling.spans(offsets[owner] + inside, offsets[owner] + inside + threshold)
-                hashes = pa.ListArray.from_arrays(
-                    pa.array(np.r_[first, len(owner)].astype(np.int32)), pa.array(_signed(windows))
-                )
-                columns = [
-                    pa.array(part.column("k1").to_numpy()[own]),
-                    pa.array(blk.astype(np.int32)),
-                    pa.array(_signed(rolling.spans(core, core - BLOCK + 1 + threshold))),
-                    pa.array(_signed(union)),
-                    pa.array(part.column("row").to_numpy()[own]),
-                    pa.array(part.column("low").to_numpy()[own] + i),
-                    pa.array((j - i).astype(np.int32)),
-                    pa.array(part.column("alone").to_numpy(zero_copy_only=False)[own]),
-                    hashes,
-                ]
-                names = ["k1", "block", "core", "whole", "row", "p", "more", "alone", "windows"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for at in range(0, batch.num_rows, 1_000):
+                out: list[list] = [[] for _ in names]
+
+                def add(*values, out=out):
+                    for column, v in zip(out, values, strict=True):
+                        column.append(v)
+
+                for x in batch.slice(at, 1_000).to_pylist():
+                    k1, row, low, before, context, alone = (x[c] for c in ("k1", "row", "low", "before", "context", "alone"))
+                    last = before - x["more"]  # the last window's anchor offset
+                    if (row, low) == (x["c_row"], x["c_low"]):
+                        continue
+                    equal = _equal_windows(context, before, x["c_context"], x["c_before"], threshold)
+                    open_ = set(range(last, before + 1))
+                    for first, final in equal:
+                        open_.difference_update(range(final, first + 1))
+                        if alone:
+                            add(k1, None, None, None, row, low + before - first, first - final, True, None)
+                        if x["c_alone"]:  # its window is found twice, too
+                            add(k1, None, None, None, x["c_row"], x["c_low"] + x["c_before"] - first, first - final, True, None)
+                    for block in range(last // BLOCK, before // BLOCK + 1):
+                        offsets = [o for o in range(block * BLOCK + BLOCK - 1, block * BLOCK - 1, -1) if o in open_]
+                        if offsets:
+                            core = context[before - block * BLOCK :][: threshold - BLOCK + 1]
+                            a, b = before - offsets[0], before - offsets[-1]
+                            windows = [long(context[before - o :][:threshold]) if o in open_ else None for o in range(offsets[0], offsets[-1] - 1, -1)]
+                            whole = long(b"%d %d %d " % (offsets[0], offsets[-1], len(offsets)) + context[a : b + threshold])
+                            add(k1, block, long(core), whole, row, low + a, b - a, alone, windows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
-def _of_large_groups(large: DataFrame, threshold: int) -> DataFrame:
-    """row and ranges of repeated windows among many contexts of one digit: first by blocks, then one by one."""
+def _of_large_groups(large: DataFrame, threshold: int, hot: list[int]) -> DataFrame:
+    """row and ranges of repeated windows among many contexts of one digit: against the commonest, by blocks, one by one."""
+    centre = F.max_by(F.struct("row", "low", "before", "alone", "context"), F.struct("copies", F.length("context"), "row", "low"))
+    centres = large.groupBy("k1").agg(centre.alias("c"))
+    centres = materialise(centres.select("k1", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("row", "low", "before", "alone", "context")]), "repeats-centres")
     schema = "k1 long, block int, core long, whole long, row long, p long, more int, alone boolean, windows array<long>"
-    blocks = materialise(map_batches(large, _deal_blocks(threshold), schema), "repeats-blocks")
+    blocks = materialise(map_batches(join_to_one(large, centres, ["k1"], hot=hot), _meet_centre(threshold), schema), "repeats-blocks")
+    as_range = F.shiftleft("p", 8).bitwiseOR(F.col("more").cast("long")).alias("range")
+    central = blocks.where("block is null").select("row", as_range).distinct()
+    blocks = blocks.where("block is not null")
     key = ["k1", "block", "core"]
     digits = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
     shared = materialise(digits.where("n > 1").select(*key, "n", (F.col("a") == F.col("b")).alias("same")), "repeats-cores")
     hot = hot_among(shared, key, blocks.count())
     met = materialise(join_to_one(blocks, shared.drop("n"), key, hot=hot), "repeats-blocks-met")
-    discard(blocks)
-    whole = met.where("same and alone").select("row", F.shiftleft("p", 8).bitwiseOR(F.col("more").cast("long")).alias("range"))
-    single = met.where("not same").select("k1", "row", "p", "alone", F.posexplode("windows").alias("i", "w"))
+    whole = met.where("same and alone").select("row", as_range)  # windows missing between are repeated: the centre has them
+    single = met.where("not same").select("k1", "row", "p", "alone", F.posexplode("windows").alias("i", "w")).where("w is not null")
     twice = single.groupBy("k1", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     twice = materialise(twice, "repeats-windows")
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = hot_among(twice, ["k1", "w"], total)
     found = join_to_one(single.where("alone"), twice.select("k1", "w"), ["k1", "w"], "left_semi", hot)
-    return whole.unionByName(found.select("row", F.shiftleft(F.col("p") + F.col("i"), 8).alias("range")))
+    return central.unionByName(whole).unionByName(found.select("row", F.shiftleft(F.col("p") + F.col("i"), 8).alias("range")))
 
 
 def repeated_ranges(keyed: DataFrame, threshold: int) -> DataFrame:
@@ -270,10 +303,10 @@ def repeated_ranges(keyed: DataFrame, threshold: int) -> DataFrame:
     hot = hot_among(several, ["k1", "s1"], together.count())
     copies = join_to_one(mixed, several.drop("n"), ["k1", "s1"], "left_semi", hot)
 
-    wanted = classes.select("k1", "first.row", F.struct("k1", "first.span", (F.col("n") == 1).alias("alone")).alias("x"))
+    wanted = classes.select("k1", "first.row", F.struct("k1", "first.span", F.col("n").alias("copies")).alias("x"))
     lists = wanted.groupBy("row").agg(F.collect_list("x").alias("wanted"))
     texts = keyed.select("row", F.col("text").cast("binary").alias("text"))
-    context = "k1 long, row long, low long, before int, more int, alone boolean, context binary"
+    context = "k1 long, row long, low long, before int, more int, copies long, alone boolean, context binary"
     contexts = materialise(map_batches(texts.join(lists, "row"), _contexts(threshold), context), "repeats-bytes")
 
     sizes = materialise(contexts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")), "repeats-sizes")
@@ -283,7 +316,7 @@ def repeated_ranges(keyed: DataFrame, threshold: int) -> DataFrame:
         F.collect_list(F.struct("row", "low", "before", "more", "alone", "context")).alias("contexts")
     )
     from_small = map_batches(groups.select("contexts"), _compare_small(threshold), "row long, range long")
-    from_large = _of_large_groups(sized.where(F.col("n") > SMALL_GROUP).drop("n"), threshold)
+    from_large = _of_large_groups(sized.where(F.col("n") > SMALL_GROUP).drop("n"), threshold, hot)
 
     found = (
         together.where("same").select("row", as_range)

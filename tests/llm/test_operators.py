@@ -405,3 +405,62 @@ def test_query_equals_its_sql(spark, name):
     found = con.execute(ORACLE_SQL[name])
     order = [[c[0] for c in found.description].index(n) for n in got.columns]
     assert Counter(tuple(r[i] for i in order) for r in found.fetchall()) == Counter(map(tuple, got.collect()))
+
+
+def _thue_morse(length: int, letters: str = "ab") -> str:
+    """Words on which sums of byte values times powers modulo 2**64 agree with those of the complement."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(length))
+
+
+@pytest.mark.parametrize("length", [64, 256, 1024, 4096, 16384])
+def test_words_of_regular_build_are_told_apart(spark, length):
+    from panelspark.llm.bytehash import word_hashes
+    from panelspark.llm.near_dedup import near_duplicates
+
+    x, y = _thue_morse(length), _thue_morse(length, "ba")
+    data = f"{x} {y} {x}".encode()
+    found, _ = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert found[0] == found[2] != found[1]
+    table = [(1, x), (2, y), (3, x.upper() + "\n"), (4, f"{x} {y} " * 4), (5, f"{y} {x} " * 4)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), words=4).collect()}
+    assert got == _components(table, 4) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
+def test_contexts_of_regular_build_repeat_nothing(spark):
+    from panelspark.llm import suffix_repeats as s
+
+    x, y, middle = _thue_morse(128), _thue_morse(128, "ba"), "".join(chr(33 + (i * 37) % 90) for i in range(64))
+    table = [(1, x + middle + y), (2, y + middle + x), (3, x + middle + x), (4, y + middle + y)]
+    _check_repeats(s, spark.createDataFrame(table, "doc_id long, text string"), table, 200)
+
+
+def test_contexts_that_leave_a_common_passage_anywhere(spark, monkeypatch):
+    """Copies of one passage with a changed byte here and there, some alike: one group, met by its commonest context."""
+    from panelspark.llm import suffix_repeats as s
+
+    monkeypatch.setattr(s, "SMALL_GROUP", 3)
+    r = random.Random(8)
+    passage = [chr(97 + r.randrange(20)) for _ in range(260)]
+    table = []
+    for i in range(160):
+        copy = passage[:]
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            copy[r.choice([5, 90, 91, 100, 180, r.randrange(260)])] = r.choice("XYZ")
+        table.append((i, "".join(r.choice("mno") for _ in range(r.randrange(30))) + "".join(copy[: r.randrange(120, 261)]) + "".join(r.choice("mno") for _ in range(9))))
+    _check_repeats(s, spark.createDataFrame(table, "doc_id long, text string"), table)
+
+
+def test_word_polynomials_in_plain_python():
+    from panelspark.llm import bytehash as b
+
+    r = random.Random(3)
+    words = [bytes(r.randrange(33, 255) for _ in range(n)) for n in (1, 2, 7, 4095, 4096, 4097, 9000, 20_000)]
+    data = b"  ".join(words) + b"\n"
+    values = np.frombuffer(data, np.uint8)
+    found, count = b.word_hashes(values, np.array([0, len(data)]))
+    inner, outer = (int(b.seeds(1, 77_000 + i)[0]) % b.PRIME for i in (3, 4))
+    for w, h in zip(words, found, strict=True):
+        total = sum((c + 1) * pow(inner, i % 4096, b.PRIME) * pow(outer, i // 4096, b.PRIME) for i, c in enumerate(w.lower())) % b.PRIME
+        assert b.mix(np.array([total], np.uint64))[0] == h
+    sequences = b.word_sequences(values, np.array([0, 2, 2, len(data)]))
+    assert [bytes(s) for s in sequences] == [b" ".join(data[a:e].lower().split()) for a, e in ((0, 2), (2, 2), (2, len(data)))]
