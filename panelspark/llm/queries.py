@@ -88,6 +88,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.languages import fit_languages, identify_languages, learned_from
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fit_languages(docs))
+    return found.select("doc_id", (~learned_from(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_shards": op9_token_shards,
     "op10_sharding": op10_sharding,
+    "op11_languages": op11_languages,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,4 +163,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
         FROM d JOIN kept k USING (doc_id) LEFT JOIN counts USING (doc_id)
     """,
+    "op12_collocations": """
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM places, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
+        c AS (SELECT lang, phrase, k AS size, f AS a FROM f WHERE k >= 2 AND f >= 100),
+        cuts AS (SELECT *, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS s FROM c),
+        parts AS (SELECT lang, phrase, size, a, k, array_to_string(s[: k], ' ') AS x, array_to_string(s[k + 1 :], ' ') AS y FROM cuts),
+        scored AS (SELECT p.lang, p.phrase, p.size, p.a, p.k, x.f AS l, y.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+            FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.x JOIN f y ON y.lang = p.lang AND y.phrase = p.y JOIN n ON n.lang = p.lang),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS turn FROM scored) WHERE turn = 1),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = b.lang AND y.size > b.size AND y.a >= b.a AND contains(' ' || y.phrase || ' ', ' ' || b.phrase || ' '))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+    """,
 }
