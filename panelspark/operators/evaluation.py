@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import windows as W
 from panelspark.functions.ranks import sums_before
+from panelspark.sources.io import stored
 
 
 def date_index(rows: DataFrame) -> DataFrame:
@@ -48,10 +49,10 @@ def split_integrity(rows: DataFrame, bounds: DataFrame, embargo: int) -> DataFra
 
 
 def auc(rows: DataFrame, by: list[str], p: str = "p", y: str = "y") -> DataFrame:
-    """ROC AUC of each group, ties counted half: from the counts at each distinct score."""
-    counts = rows.groupBy(*by, p).agg(F.sum(y).alias("n1"), F.sum(1 - F.col(y)).alias("n0"))
-    below = F.coalesce(F.sum("n0").over(Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    summed = counts.withColumn("won", F.col("n1") * (below + F.col("n0") / 2)).groupBy(*by)
+    """ROC AUC of each group, ties counted half: from the counts at each distinct score, summed by ranges of scores."""
+    counts = rows.groupBy(*by, p).agg(F.sum(y).cast("double").alias("n1"), F.sum(1 - F.col(y)).cast("double").alias("n0"))
+    placed = sums_before(counts, by, p, ["n0"])
+    summed = placed.withColumn("won", F.col("n1") * (F.col("before_n0") + F.col("n0") / 2)).groupBy(*by)
     return summed.agg(F.try_divide(F.sum("won"), F.sum("n1") * F.sum("n0")).alias("roc_auc"))
 
 
@@ -93,6 +94,8 @@ def mid_ranks(rows: DataFrame, reference: DataFrame, near: float = 1e-4, relativ
     Both tables are put in one order of p: running counts of the reference up to the lower and up
     to the upper edge of each row's tolerance give the two numbers. No row meets every reference row.
     """
+    names = rows.columns
+    rows = stored(rows.select("*", F.monotonically_increasing_id().alias("__row")), "ranked-forecasts")  # a row that repeats stays two
     width = near + relative * F.abs("p")
     edge = lambda value, kind: rows.select(*rows.columns, value.alias("__at"), F.lit(kind).alias("__kind"))
     # at equal places the lower edge comes before reference values, the upper one after them
@@ -108,7 +111,7 @@ def mid_ranks(rows: DataFrame, reference: DataFrame, near: float = 1e-4, relativ
         F.max(F.when(F.col("__kind") == 0, F.col("before___n"))).alias("__below"), F.max(F.when(F.col("__kind") == 2, F.col("before___n"))).alias("__upto")
     )
     share = (F.col("__below") + F.col("__upto")) / 2 / F.col("__total") * 100
-    return both.join(F.broadcast(total), F.lit(True)).select(*rows.columns, share.alias("pct"))
+    return both.join(F.broadcast(total), F.lit(True)).select(*names, share.alias("pct"))
 
 
 #: The columns of a report on forecasts.

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.evaluation import auc, evaluate, fold_roles
+from panelspark.operators.filling import MedianFill
 from panelspark.sources.io import stored
 
 
@@ -31,33 +32,29 @@ FAMILIES = {
 }
 
 
-def prepared(rows: DataFrame, features: list[str]) -> DataFrame:
-    """A column beside each feature that says where it is missing."""
-    return rows.select("*", *[F.col(f"`{f}`").isNull().cast("double").alias(f"{f}_missing") for f in features])
-
-
 def fit(rows: DataFrame, features: list[str], config: dict, trees: int, label: str = "label", family: str = "sampled") -> PipelineModel:
-    """Medians of the training rows for missing values, then boosted trees of a family."""
-    filled = [f"{f}_filled" for f in features]
+    """Medians of the training rows for missing values, then boosted trees of a family.
+
+    A feature that no training row has is constant and says only that it is missing.
+    """
+    fill = MedianFill(inputCols=features)
     steps = [
-        Imputer(strategy="median", inputCols=features, outputCols=filled),
-        VectorAssembler(inputCols=filled + [f"{f}_missing" for f in features], outputCol="features"),
+        fill,
+        VectorAssembler(inputCols=fill.outputs(), outputCol="features"),
         GBTClassifier(labelCol=label, stepSize=0.03, maxIter=trees, seed=42, **FAMILIES[family]["sampling"], **config),
     ]
-    return Pipeline(stages=steps).fit(prepared(rows, features))
+    return Pipeline(stages=steps).fit(rows)
 
 
 def score(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
-    kept = rows.columns
-    scored = model.transform(prepared(rows, features))
-    return scored.select(*kept, vector_to_array("probability")[1].alias("p"))
+    return model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias("p"))
 
 
 def staged_scores(model: PipelineModel, rows: DataFrame, features: list[str], trees: list[int]) -> DataFrame:
     """The rows with p_<i>, the forecast of the first i trees, for each i: one fit, several lengths."""
     *before, boosted = model.stages
     kept = rows.columns
-    x = PipelineModel(before).transform(prepared(rows, features))
+    x = PipelineModel(before).transform(rows)
     weights = boosted.treeWeights
     for i, tree in enumerate(boosted.trees[: max(trees)]):
         tree.setPredictionCol(f"__t{i}").setFeaturesCol("features")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import windows as W
-from panelspark.functions.ranks import sums_before, value_ranks
+from panelspark.functions.ranks import medians, sums_before, value_ranks
 from panelspark.operators.evaluation import auc
 from panelspark.sources.io import ensure_checkpoints, stored
 
@@ -38,49 +38,63 @@ def correlation(a, b):
     return F.when(spread > 1e-12, F.covar_pop(a, b) / spread)
 
 
-def spearman(frame: DataFrame, features: list[str], chunk: int = 200) -> DataFrame:
-    """a, b, rho of every pair of features a < b, each over the rows that have both.
+def gap_classes(wide: DataFrame, features: list[str]) -> dict[str, int]:
+    """Of each feature (a column f<place> of ``wide``) the class of those that are missing in the same rows.
 
-    Each feature is ranked once over its own rows, by ranges of its values, and all pairs come out
-    of wide aggregates over the rows. Of a pair whose features are missing in different rows, each
-    side without the other's gaps is ranked as a feature of its own, one task a side.
+    Features whose gaps have one sum of row hashes may share them, which is checked on the rows.
+    """
+    column = {f: F.col(f"f{i}") for i, f in enumerate(features)}
+    gap = lambda f: F.sum(F.when(column[f].isNull(), F.xxhash64("row").cast("decimal(20,0)")))
+    sums = wide.agg(*[gap(f).alias(f"f{i}") for i, f in enumerate(features)]).first()
+    alike: dict = {}
+    for f, total in zip(features, sums, strict=True):
+        alike.setdefault(total, []).append(f)
+    pairs = [(fs[0], f) for fs in alike.values() for f in fs[1:]]
+    unlike = wide.agg(*[F.bool_or(column[a].isNull() != column[b].isNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
+    same = {b: a for (a, b), differs in zip(pairs, unlike, strict=True) if not differs}
+    firsts = [f for f in features if f not in same]
+    return {f: firsts.index(same.get(f, f)) for f in features}
+
+
+def spearman(frame: DataFrame, features: list[str], chunk: int = 1000) -> DataFrame:
+    """a, b, rho of every pair of features a < b, each over the rows that have both; null where there
+    are none or a side doesn't vary.
+
+    Beside every value stands a mask: which other features, told apart by where they are missing,
+    its row has. Each feature is ordered once, by ranges of its values; running sums of the
+    masks are the ranks of a value among the rows that any other feature has. A row then
+    carries for each feature one rank a class of gaps, and all pairs come out of wide aggregates.
     """
     features = sorted(features)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    wide = stored(frame.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)]), "ranked-rows")
-    column = {f: F.col(f"f{i}") for i, f in enumerate(features)}
-    unlike = {}
-    for at in range(0, len(pairs), 1000):
-        part = pairs[at : at + 1000]
-        one = wide.agg(*[F.bool_or(column[a].isNull() != column[b].isNull()).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
-        unlike |= {pair: bool(one[i]) for i, pair in enumerate(part)}
-
     found = frame.sparkSession.createDataFrame([], "a string, b string, rho double")
-    parts = [[p for p in pairs if not unlike[p]]]
-    rest = [p for p in pairs if unlike[p]]
-    parts += [rest[at : at + chunk] for at in range(0, len(rest), chunk)]
-    for part in filter(None, parts):
-        sides = {}  # of each pair the two columns that are ranked
-        given = {}
-        for i, (a, b) in enumerate(part):
-            if unlike[a, b]:
-                given |= {f"x{i}": F.when(column[b].isNotNull(), column[a]), f"y{i}": F.when(column[a].isNotNull(), column[b])}
-                sides[a, b] = (f"x{i}", f"y{i}")
-            else:
-                names = [f"f{features.index(x)}" for x in (a, b)]
-                given |= {n: F.col(n) for n in names}
-                sides[a, b] = tuple(names)
-        long = wide.select("row", *[c.alias(n) for n, c in given.items()]).unpivot(["row"], [*given], "feature", "x").where("x is not null")
-        if any(unlike[p] for p in part):  # the rows that both have: ranked side by side
-            ranked = long.select("row", "feature", W.pct_rank(F.col("x"), ["feature"]).alias("rank"))
-        else:
-            ranked = join_values(long, value_ranks(long, ["feature"], "x"))
-        ranks = stored(ranked.groupBy("row").agg(*[F.max(F.when(F.col("feature") == n, F.col("rank"))).alias(n) for n in given]), "ranks")
-        for at in range(0, len(part), 1000):
-            some = part[at : at + 1000]
-            one = ranks.agg(*[correlation(*map(F.col, sides[p])).alias(f"p{i}") for i, p in enumerate(some)])
-            rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(some)])
-            found = found.unionByName(one.select(F.inline(rows)))
+    if not pairs:
+        return found
+    columns = [F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f"f{i}") for i, f in enumerate(features)]
+    wide = stored(frame.select(F.monotonically_increasing_id().alias("row"), *columns), "ranked-rows")
+    of = gap_classes(wide, features)
+    classes = max(of.values()) + 1
+    first = [next(i for i, f in enumerate(features) if of[f] == k) for k in range(classes)]
+    masked = wide.select("row", *[F.col(f"f{i}").isNotNull().cast("long").alias(f"m{k}") for k, i in enumerate(first)], *[f"f{i}" for i in range(len(features))])
+    masks = [f"m{k}" for k in range(classes)]
+    long = masked.unpivot(["row", *masks], [f"f{i}" for i in range(len(features))], "feature", "x").where("x is not null")
+    counts = long.groupBy("feature", "x").agg(*[F.sum(m).alias(m) for m in masks], F.count(F.lit(1)).alias("n"))
+    placed = sums_before(counts, ["feature"], "x", masks)
+    rank = F.array(*[F.col(f"before_{m}") + (F.col(m) + 1) / 2 for m in masks])
+    sizes = placed.groupBy("feature").agg(F.sum("n").alias("total"))  # a row for each feature
+    ranked = join_values(long.select("row", "feature", "x"), placed.select("feature", "x", "n", rank.alias("rank")).join(F.broadcast(sizes), "feature"))
+    ranks = stored(ranked.groupBy("row").agg(*[F.max(F.when(F.col("feature") == f"f{i}", F.col("rank"))).alias(f"f{i}") for i in range(len(features))]), "ranks")
+
+    place = {f: i for i, f in enumerate(features)}
+    for at in range(0, len(pairs), chunk):
+        some = pairs[at : at + chunk]
+        values = []
+        for i, (a, b) in enumerate(some):
+            x, y = F.col(f"f{place[a]}"), F.col(f"f{place[b]}")
+            values.append(correlation(F.when(y.isNotNull(), x[of[b]]), F.when(x.isNotNull(), y[of[a]])).alias(f"p{i}"))
+        one = ranks.agg(*values)
+        rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(some)])
+        found = found.unionByName(one.select(F.inline(rows)))
     return found
 
 
@@ -107,7 +121,8 @@ def target_correlation(long: DataFrame) -> DataFrame:
     """feature, rho: rank correlation of x with the outcome y over the rows that have x."""
     x = stored(long.where("x is not null"), "correlated-values")
     of_y = value_ranks(x, ["feature"], "y").select("feature", "y", F.col("rank").alias("ry"))  # a row for each outcome of a feature
-    ranked = long_ranks(x).withColumnRenamed("rank", "rx").join(F.broadcast(of_y), ["feature", "y"])
+    # y is an outcome with few values; where it is continuous Spark joins as the sizes ask for
+    ranked = long_ranks(x).withColumnRenamed("rank", "rx").join(of_y, ["feature", "y"])
     return ranked.groupBy("feature").agg(correlation("rx", "ry").alias("rho"))
 
 
@@ -148,15 +163,16 @@ def clusters(pairs: DataFrame, features: DataFrame, threshold: float = 0.90) ->
 
 
 def mutual_information(long: DataFrame, y: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    """feature, mi: mutual information of a 0/1 outcome and the feature's quantile bin, the median for missing ones."""
-    middle = long.groupBy("feature").agg(F.median("x").alias("middle"))
+    """feature, mi: mutual information of a 0/1 outcome and the feature's quantile bin, the median for missing
+    ones; null for a feature without any value."""
+    middle = medians(long, ["feature"], "x").select("feature", "middle")  # a row for each feature
     filled = long.join(F.broadcast(middle), "feature").select(*keys, "feature", F.coalesce("x", "middle").alias("x")).join(y, keys)
     binned = long_ranks(filled).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("rank") * bins)))
     cell = binned.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     total = F.sum("n").over(Window.partitionBy("feature"))
     row, column = F.sum("n").over(Window.partitionBy("feature", "bin")), F.sum("n").over(Window.partitionBy("feature", "y"))
     part = cell.select("feature", (F.col("n") / total * F.ln(F.col("n") * total / (row * column))).alias("part"))
-    return part.groupBy("feature").agg(F.sum("part").alias("mi"))
+    return middle.select("feature").join(part.groupBy("feature").agg(F.sum("part").alias("mi")), "feature", "left")
 
 
 def single_feature_auc(long: DataFrame, y: DataFrame, keys: list[str], least: int = 1000) -> DataFrame:
@@ -217,8 +233,8 @@ def report(candidates: DataFrame, removed: DataFrame, voted: DataFrame, chosen:
     kept = chosen.select("feature", "of", "stays")
     x = candidates.join(removed.groupBy("feature").agg(F.min("reason").alias("early")), "feature", "left").join(voted, "feature", "left").join(kept, "feature", "left")
     selected = F.coalesce(F.col("stays"), F.lit(False))
-    late = F.when(F.col("harmful"), "permutation importance negative out of sample").when(~F.col("selected"), "low agreement between selection methods")
-    redundant = F.when(~F.col("stays"), F.concat(F.lit("redundant with "), F.col("of")))
+    late = F.when(F.col("harmful"), "shuffling it improves held-out forecasts").when(~F.col("selected"), "too few methods rank it high")
+    redundant = F.when(~F.col("stays"), F.concat(F.lit("follows "), F.col("of")))
     reason = F.when(selected, "").otherwise(F.coalesce("early", late, redundant, F.lit("not scored")))
     scores = [c for c in voted.columns if c not in ("feature", "selected", "harmful", "composite") and not c.startswith("rank_")]
     out = x.select("feature", *scores, selected.alias("selected"), reason.alias("removal_reason"))
@@ -262,8 +278,9 @@ def point_in_time_mismatches(build, bars: DataFrame, features: list[str], quanti
     return both.where(~same).select(F.col("s").alias("stock"), "cutoff", "feature", F.col("x").alias("full_value"), "past_value")
 
 
-def frame_mismatches(build, sources: dict[str, DataFrame], features: list[str], quantiles=(0.3, 0.6, 0.9), close_minutes: int = 930) -> DataFrame:
-    """stock, cutoff, feature and both values where a build from truncated sources differs from the full build.
+def frame_comparison(build, sources: dict[str, DataFrame], features: list[str], quantiles=(0.3, 0.6, 0.9), close_minutes: int = 930) -> DataFrame:
+    """stock, cutoff, feature, both values, and whether both builds have the row and agree: a build from truncated
+    sources beside the full build.
 
     ``build(sources, by)`` makes the feature frame; ``sources`` has ``bars``, ``market``, ``vix``,
     ``fx`` and intraday bars under the names of their timeframes. At each cutoff, days at the
@@ -286,14 +303,29 @@ def frame_mismatches(build, sources: dict[str, DataFrame], features: list[str],
     seen = build(past, ["cut"]).join(cuts, "cut").where("d = cutoff")
     then = long_form(seen, ["stock", "cutoff"], features).withColumnRenamed("x", "past_value")
     full = build(sources, []).join(cuts.select(F.col("cutoff").alias("d")), "d").withColumnRenamed("d", "cutoff")
-    both = then.join(long_form(full, ["stock", "cutoff"], features), ["stock", "cutoff", "feature"])
-    same = (F.col("x").isNull() & F.col("past_value").isNull()) | F.coalesce(F.abs(F.col("x") - F.col("past_value")) <= 1e-10 + 1e-7 * F.abs("past_value"), F.lit(False))
-    return both.where(~same).select("stock", "cutoff", "feature", F.col("x").alias("full_value"), "past_value")
+    both = then.withColumn("in_past", F.lit(True)).join(long_form(full, ["stock", "cutoff"], features).withColumn("in_full", F.lit(True)), ["stock", "cutoff", "feature"], "full")
+    near = F.abs(F.col("x") - F.col("past_value")) <= 1e-10 + 1e-7 * F.abs("past_value")
+    same = (F.col("x").isNull() & F.col("past_value").isNull()) | F.coalesce(near, F.lit(False))
+    there = F.col("in_past").isNotNull() & F.col("in_full").isNotNull()
+    return both.select("stock", "cutoff", "feature", F.col("x").alias("full_value"), "past_value", there.alias("compared"), (there & same).alias("same"))
+
+
+def frame_mismatches(build, sources: dict[str, DataFrame], features: list[str], quantiles=(0.3, 0.6, 0.9), close_minutes: int = 930) -> DataFrame:
+    """stock, cutoff, feature and both values where the builds differ, rows that one of them alone has included."""
+    return frame_comparison(build, sources, features, quantiles, close_minutes).where("not same").drop("compared", "same")
+
+
+def audit_counts(compared: DataFrame) -> DataFrame:
+    """cutoff, feature, compared, differing, one_sided: what a comparison of builds covered and found; without
+    rows nothing was audited."""
+    count = lambda c: F.count_if(c)
+    return compared.groupBy("cutoff", "feature").agg(
+        count(F.col("compared")).alias("compared"), count(F.col("compared") & ~F.col("same")).alias("differing"), count(~F.col("compared")).alias("one_sided"))
 
 
 def audit_report(mismatches: DataFrame, price_levels: list[str]) -> DataFrame:
     """feature, reason: those that no model may use, as the audit found them or as they carry a price."""
-    leaky = mismatches.select("feature").distinct().withColumn("reason", F.lit("value changes when future data is removed"))
+    leaky = mismatches.select("feature").distinct().withColumn("reason", F.lit("differs once later rows are cut off"))
     spark = mismatches.sparkSession
     levels = spark.createDataFrame([(f,) for f in price_levels], "feature string").withColumn("reason", F.lit("price level that differs between stocks"))
     return leaky.unionByName(levels.join(leaky.select("feature"), "feature", "left_anti"))

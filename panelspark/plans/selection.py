@@ -59,7 +59,10 @@ PAIRS = f"""pair AS (SELECT a.feature AS a, b.feature AS b, a.x AS xa, b.x AS xb
     ranked AS (SELECT a, b, {S.pct_rank('xa', 'a, b')} AS ra, {S.pct_rank('xb', 'a, b')} AS rb FROM pair), rho AS (SELECT a, b, CASE WHEN count(DISTINCT ra) > 1 AND count(DISTINCT rb) > 1 THEN corr(ra, rb) END AS rho FROM ranked GROUP BY ALL)"""
 
 
-@query("x4_spearman", S.statement(*BASE, PAIRS, "SELECT a, b, round(rho, 6) + 0.0 AS rho FROM rho"))
+NAMES = ", ".join(f"('{f}')" for f in [*USED, *EXTRA])
+
+
+@query("x4_spearman", S.statement(*BASE, PAIRS, f"names(f) AS (VALUES {NAMES})", "SELECT x.f AS a, y.f AS b, round(rho, 6) + 0.0 AS rho FROM names x JOIN names y ON x.f < y.f LEFT JOIN rho ON a = x.f AND b = y.f"))
 def x4_spearman(spark, d):
     pairs = X.spearman(labelled(spark, d), [*USED, *EXTRA])
     return pairs.select("a", "b", (F.round(F.col("rho"), 6) + F.lit(0.0)).alias("rho"))
@@ -89,9 +92,12 @@ def x6_clusters(spark, d):
     return X.clusters(X.spearman(labelled(spark, d), [*USED, *EXTRA]), names)
 
 
-@query("x7_mutual_information", S.statement(*BASE, f"""f AS (SELECT feature, y, coalesce(x, median(x) OVER (PARTITION BY feature)) AS x FROM long), b AS (SELECT feature, y, least(9, floor(({S.pct_rank('x', 'feature')}) * 10)) AS bin FROM f),
-    k AS (SELECT feature, bin, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS total, sum(n) OVER (PARTITION BY feature, bin) AS r, sum(n) OVER (PARTITION BY feature, y) AS c FROM k)""",
-    "SELECT feature, round(sum(n / total * ln(n * total / (r * c))), 6) + 0.0 AS mi FROM t GROUP BY 1"))
+INFORMATION = f"""mf AS (SELECT feature, y, coalesce(x, median(x) OVER (PARTITION BY feature)) AS x FROM long), mb AS (SELECT feature, y, least(9, floor(({S.pct_rank('x', 'feature')}) * 10)) AS bin FROM mf WHERE x IS NOT NULL),
+    mk AS (SELECT feature, bin, y, count(*)::DOUBLE AS n FROM mb GROUP BY ALL), mt AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS total, sum(n) OVER (PARTITION BY feature, bin) AS r, sum(n) OVER (PARTITION BY feature, y) AS c FROM mk),
+    mi AS (SELECT feature, mi FROM (SELECT DISTINCT feature FROM long) LEFT JOIN (SELECT feature, sum(n / total * ln(n * total / (r * c))) AS mi FROM mt GROUP BY 1) USING (feature))"""
+
+
+@query("x7_mutual_information", S.statement(*BASE, INFORMATION, "SELECT feature, round(mi, 6) + 0.0 AS mi FROM mi"))
 def x7_mutual_information(spark, d):
     x = labelled(spark, d)
     found = X.mutual_information(X.long_form(x, EXACT, [*USED, *EXTRA]), x.select(*EXACT, "y"), EXACT)
@@ -109,15 +115,22 @@ def x14_single_feature_auc(spark, d):
     return found.select("feature", F.round("roc_auc", 6).alias("auc"), (F.abs(F.col("roc_auc") - 0.5) > 0.15).alias("suspicious"))
 
 
-@query("x11_votes", S.statement(*BASE, AUCS, "s AS (SELECT feature, stddev_samp(x) / (abs(avg(x)) + 1) AS spread, count(x) AS filled FROM long GROUP BY 1), j AS (SELECT feature, round(abs(auc - 0.5), 9) AS edge, round(spread, 9) AS spread, filled FROM s LEFT JOIN a USING (feature))",
-    f"r AS (SELECT feature, CASE WHEN edge IS NOT NULL THEN {S.pct_rank('edge', '1')} END AS a, {S.pct_rank('spread', '1')} AS b, {S.pct_rank('filled', '1')} AS c FROM j)",
-    "SELECT feature, (coalesce(a > 0.5, false))::INT + (b > 0.5)::INT + (c > 0.5)::INT AS votes, (coalesce(a > 0.5, false))::INT + (b > 0.5)::INT + (c > 0.5)::INT >= 2 AS selected, round((coalesce(a, 0) + b + c) / ((a IS NOT NULL)::INT + 2), 6) AS composite FROM r"))
+TARGET_CORRELATION = f"""tr AS (SELECT feature, {S.pct_rank('x', 'feature')} AS rx, {S.pct_rank('y', 'feature')} AS ry FROM long WHERE x IS NOT NULL), target AS (SELECT feature, CASE WHEN count(DISTINCT rx) > 1 THEN corr(rx, ry) END AS rho FROM tr GROUP BY 1)"""
+METHODS = ["correlation", "mi", "edge"]
+
+
+@query("x11_votes", S.statement(*BASE, AUCS, INFORMATION, TARGET_CORRELATION, "j AS (SELECT feature, round(abs(rho), 9) AS correlation, round(mi, 9) AS mi, round(abs(auc - 0.5), 9) AS edge FROM mi LEFT JOIN target USING (feature) LEFT JOIN a USING (feature))",
+    f"v AS (SELECT feature, {', '.join(f'CASE WHEN {m} IS NOT NULL THEN {S.pct_rank(m, chr(49))} END AS {m}' for m in METHODS)} FROM j)",
+    f"s AS (SELECT feature, {' + '.join(f'(coalesce({m} > 0.5, false))::INT' for m in METHODS)} AS votes, {' + '.join(f'coalesce({m}, 0)' for m in METHODS)} AS known, {' + '.join(f'({m} IS NOT NULL)::INT' for m in METHODS)} AS there FROM v)",
+    "SELECT feature, votes, votes >= 2 AS selected, round(known / nullif(there, 0), 6) AS composite FROM s"))
 def x11_votes(spark, d):
-    x = labelled(spark, d)
-    values = X.long_form(x, EXACT, [*USED, *EXTRA])
-    edge = X.single_feature_auc(values, x.select(*EXACT, "y"), EXACT).select("feature", F.round(F.abs(F.col("roc_auc") - 0.5), 9).alias("edge"))
-    other = values.groupBy("feature").agg(F.round(F.stddev_samp("x") / (F.abs(F.avg("x")) + 1), 9).alias("spread"), F.count("x").alias("filled"))
-    found = X.votes(other.join(edge, "feature", "left"), ["edge", "spread", "filled"])
+    """Votes of three methods: rank correlation with the outcome, mutual information, AUC by itself."""
+    x = X.stored(labelled(spark, d), "voted-rows")
+    values, y = X.long_form(x, EXACT, [*USED, *EXTRA]), x.select(*EXACT, "y")
+    edge = X.single_feature_auc(values, y, EXACT).select("feature", F.round(F.abs(F.col("roc_auc") - 0.5), 9).alias("edge"))
+    related = X.target_correlation(X.long_form(x, [*EXACT, "y"], [*USED, *EXTRA])).select("feature", F.round(F.abs("rho"), 9).alias("correlation"))
+    informed = X.mutual_information(values, y, EXACT).select("feature", F.round("mi", 9).alias("mi"))
+    found = X.votes(informed.join(related, "feature", "left").join(edge, "feature", "left"), METHODS)
     return found.select("feature", "votes", "selected", F.round("composite", 6).alias("composite"))
 
 
@@ -141,12 +154,22 @@ def whole_frame(sources, by):
     return C.feature_frame(sources["bars"], sources["market"], sources["vix"], sources["fx"], fine, by)
 
 
-@query("x18_point_in_time", "SELECT 0 AS stock, DATE '2000-01-01' AS cutoff, '' AS feature, 0.0::DOUBLE AS full_value, 0.0::DOUBLE AS past_value WHERE false")
+def x18_sql() -> str:
+    from panelspark.plans.context import FRAME, FRAME_SQL, LEVEL
+
+    names = ", ".join(f"('{n}')" for n in [*LEVEL, *FRAME])
+    cuts = "cuts AS (SELECT d FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM bars)) WHERE i IN (floor(n * 0.3::DOUBLE), floor(n * 0.6::DOUBLE), floor(n * 0.9::DOUBLE), n - 2))"
+    counted = "held AS (SELECT d AS cutoff, count(*) AS n FROM frame SEMI JOIN cuts USING (d) GROUP BY 1)"
+    return S.statement(*FRAME_SQL, cuts, counted, f"names(feature) AS (VALUES {names})", "SELECT cutoff, feature, n AS compared, 0::BIGINT AS differing, 0::BIGINT AS one_sided FROM held, names")
+
+
+@query("x18_point_in_time", x18_sql())
 def x18_point_in_time(spark, d):
-    """No feature of the whole frame differs when every source ends at the cutoff: an empty result."""
+    """Of every feature of the whole frame at every cutoff: the rows compared, and those that differ where every
+    source ends there."""
     from panelspark.plans.context import FRAME, LEVEL
 
-    return X.frame_mismatches(whole_frame, audit_sources(spark, d), [*LEVEL, *FRAME])
+    return X.audit_counts(X.frame_comparison(whole_frame, audit_sources(spark, d), [*LEVEL, *FRAME]))
 
 
 @query("x18_late_bar", S.statement(S.BARS, S.SESSION_BARS, """days AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM bars)),
@@ -167,7 +190,7 @@ LEVELS = [f"{p}_{n}" for p, (a, b) in (("5m", (9, 21)), ("15m", (9, 21)), ("1h",
 
 
 @query("x20_audit_report", S.statement(S.BARS, f"levels(feature) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for n in LEVELS)}), days AS (SELECT count(DISTINCT d) AS n FROM bars)",
-    "SELECT feature, 'price level that differs between stocks' AS reason FROM levels UNION ALL SELECT 'next_close', 'value changes when future data is removed' FROM days WHERE n > 1"))
+    "SELECT feature, 'price level that differs between stocks' AS reason FROM levels UNION ALL SELECT 'next_close', 'differs once later rows are cut off' FROM days WHERE n > 1"))
 def x20_audit_report(spark, d):
     """What the audit keeps from every model: price levels, and a planted column that looks one row ahead."""
     def build(sources, by):

@@ -186,8 +186,7 @@ def test_selection_reads_all_labelled_rows(spark, name):
     """Against the registered SQL without its filter, which keeps a tenth of the rows."""
     from panelspark.plans.registry import ORACLE_SQL, QUERIES
 
-    # votes: without the stocks of Sparse, as at 0.001, the SQL ranks its missing spread and the query doesn't
-    folder = "/root/testdata/sf0.01" if name == "x11_votes" else "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.001"  # where Sparse has no value at all
     con = duckdb.connect()
     for t in ("lineitem", "supplier", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
@@ -278,8 +277,8 @@ def test_votes_harm_and_redundancy(spark):
     got = S.report(names, invalid, voted, chosen).collect()
     assert [r.feature for r in got if r.selected] == ["a"]
     assert {r.feature: r.removal_reason for r in got} == {
-        "a": "", "b": "redundant with a", "c": "permutation importance negative out of sample", "d": "low agreement between selection methods",
-        "f": "low agreement between selection methods", "g": "price level"}
+        "a": "", "b": "follows a", "c": "shuffling it improves held-out forecasts", "d": "too few methods rank it high",
+        "f": "too few methods rank it high", "g": "price level"}
 
 
 def test_choice_of_models(spark):
