@@ -122,7 +122,31 @@ def m12_direction(spark, d):
     return ranked.select("stock", "d", F.round("pct", 6).alias("pct"), direction.alias("direction"))
 
 
-def backtest_sql(sizing: str = "equal") -> list[str]:
+@query("m12_repeated_rows", S.statement(S.BARS, SCORED, REFERENCE, """x AS (SELECT stock, d, p FROM l WHERE back <= 3), again AS (SELECT * FROM x UNION ALL SELECT * FROM x WHERE stock % 2 = 0),
+    r AS (SELECT stock, d, 100 * (SELECT (sum(CASE WHEN abs(ref.p - again.p) <= 1e-4 + 1e-5 * abs(again.p) THEN 0.5 WHEN ref.p < again.p THEN 1.0 ELSE 0 END)) / count(*) FROM ref) AS pct FROM again)""",
+    "SELECT stock, d, round(pct, 6) AS pct, count(*) AS n FROM r GROUP BY ALL"))
+def m12_repeated_rows(spark, d):
+    """Mid-ranks of rows some of which come twice: as many come out."""
+    from pyspark.sql import Window
+
+    x = scored(spark, d)
+    rows = x.withColumn("back", F.row_number().over(Window.partitionBy("stock").orderBy(F.desc("d"))))
+    reference = rows.where("back = 1").join(F.broadcast(x.agg(F.max("d").alias("latest"))), F.lit(True)).where(F.datediff("latest", "d") <= 10)
+    three = rows.where("back <= 3").select("stock", "d", "p")
+    ranked = E.mid_ranks(three.unionAll(three.where("stock % 2 = 0")), reference.select("p"))
+    return ranked.groupBy("stock", "d", F.round("pct", 6).alias("pct")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def backtest_sql(sizing: str = "equal", every: int = 5, top: float = 0.2, rate: float = 0.0015, execution: str = "next_open", entry: float | None = None, leave: float | None = None, least: int = 3) -> list[str]:
+    """With ``leave`` no period may have fewer than ``least`` stocks to choose: SQL has no fallback there."""
+    fill = f"fill AS (SELECT stock, d, lead(o) OVER ({S.P}) AS fill FROM bars)" if execution == "next_open" else "fill AS (SELECT stock, d, c AS fill FROM bars)"
+    pct = f"({S.pct_rank('p', 'period')}) * 100"
+    picked = f"{pct} >= {entry}" if entry is not None else f"{pct} > {(1 - top) * 100!r}::DOUBLE"
+    chosen = f"t2 AS (SELECT *, CASE WHEN sum(picked::INT) OVER (PARTITION BY period) < {least} THEN best <= {least} ELSE picked END AS chosen FROM t1)"
+    if leave is not None:
+        chosen = f"""h1 AS (SELECT *, dense_rank() OVER (ORDER BY period) AS turn FROM t1), h2 AS (SELECT *, coalesce((turn - lag(turn) OVER (PARTITION BY stock ORDER BY turn) <> 1)::INT, 1) AS starts FROM h1),
+    h3 AS (SELECT *, sum(starts) OVER (PARTITION BY stock ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM h2),
+    t2 AS (SELECT *, coalesce(last_value(CASE WHEN picked THEN true WHEN pct < {leave} THEN false END IGNORE NULLS) OVER (PARTITION BY stock, run ORDER BY turn ROWS UNBOUNDED PRECEDING), false) AS chosen FROM h3)"""
     weight = "CASE WHEN chosen THEN 1.0::DOUBLE / sum(chosen::INT) OVER (PARTITION BY period) ELSE 0 END"
     join = ""
     if sizing == "inverse_vol":
@@ -133,19 +157,19 @@ def backtest_sql(sizing: str = "equal") -> list[str]:
         near = "OVER (PARTITION BY stock ORDER BY day RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)"
         vol = f"CASE WHEN count(r) {near} = 20 THEN stddev_samp(r) {near} END"
         join = f" LEFT JOIN (SELECT stock, d, {vol} AS vol FROM (SELECT stock, d, day, {follows} AS r FROM bars JOIN {days} USING (d))) USING (stock, d)"
-    return [S.BARS, SCORED, f"""fill AS (SELECT stock, d, lead(o) OVER ({S.P}) AS fill FROM bars),
-    cal AS (SELECT d, lead(d) OVER (ORDER BY d) AS next, row_number() OVER (ORDER BY d) - 1 AS period FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT d FROM scored)) WHERE i % 5 = 0),
+    return [S.BARS, SCORED, f"""{fill},
+    cal AS (SELECT d, lead(d) OVER (ORDER BY d) AS next, row_number() OVER (ORDER BY d) - 1 AS period FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT d FROM scored)) WHERE i % {every} = 0),
     t0 AS (SELECT x.stock, x.d, c.next, period, p, f.fill AS entry, g.fill AS exit, count(*) OVER (PARTITION BY period) AS tradable FROM scored x JOIN cal c USING (d) JOIN fill f ON f.stock = x.stock AND f.d = x.d JOIN fill g ON g.stock = x.stock AND g.d = c.next WHERE f.fill IS NOT NULL AND g.fill IS NOT NULL),
-    t1 AS (SELECT *, ({S.pct_rank('p', 'period')}) * 100 > 80 AS picked, row_number() OVER (PARTITION BY period ORDER BY p DESC, stock) AS best FROM t0 WHERE tradable >= 3),
-    t2 AS (SELECT *, CASE WHEN sum(picked::INT) OVER (PARTITION BY period) < 3 THEN best <= 3 ELSE picked END AS chosen FROM t1),
+    t1 AS (SELECT *, {pct} AS pct, {picked} AS picked, row_number() OVER (PARTITION BY period ORDER BY p DESC, stock) AS best FROM t0 WHERE tradable >= {least}),
+    {chosen},
     held AS (SELECT dense_rank() OVER (ORDER BY period) AS step, d, next, stock, p, chosen, {weight} AS weight, exit / entry - 1 AS gross FROM t2{join}),
     drift AS (SELECT step, stock, weight * (1 + gross) / sum(weight * (1 + gross)) OVER (PARTITION BY step) AS drift FROM held WHERE chosen),
     turned AS (SELECT coalesce(a.step, b.step + 1) AS step, sum(abs(coalesce(weight, 0) - coalesce(drift, 0))) AS turnover FROM (SELECT * FROM held WHERE chosen) a FULL JOIN drift b ON b.step + 1 = a.step AND a.stock = b.stock GROUP BY 1),
     per AS (SELECT step, next, sum(weight * gross) AS gross, sum(chosen::INT)::BIGINT AS positions, avg(gross) AS benchmark_return FROM held GROUP BY ALL),
     last_ AS (SELECT *, CASE WHEN step = (SELECT max(step) FROM held) THEN 1.0 ELSE 0.0 END AS out_ FROM per JOIN turned USING (step)),
-    net AS (SELECT step, next AS d, positions, turnover + out_ AS turnover, (turnover + out_) * 0.0015 AS cost, (1 + gross - turnover * 0.0015) * (1 - out_ * 0.0015) - 1 AS period_return, benchmark_return FROM last_),
+    net AS (SELECT step, next AS d, positions, turnover + out_ AS turnover, (turnover + out_) * {rate} AS cost, (1 + gross - turnover * {rate}) * (1 - out_ * {rate}) - 1 AS period_return, benchmark_return FROM last_),
     curve AS (SELECT *, exp(sum(ln(1 + period_return)) OVER (ORDER BY step)) AS growth, exp(sum(ln(1 + benchmark_return)) OVER (ORDER BY step)) AS benchmark_growth FROM net),
-    ledger AS (SELECT d AS entry_date, next AS exit_date, stock, weight, gross AS gross_return, gross - 0.003 AS net_return, weight * 0.003 AS cost FROM held WHERE chosen)"""]
+    ledger AS (SELECT d AS entry_date, next AS exit_date, stock, weight, gross AS gross_return, gross - {2 * rate} AS net_return, weight * {2 * rate} AS cost FROM held WHERE chosen)"""]
 
 
 CURVE = ["turnover", "cost", "period_return", "benchmark_return", "log_equity", "log_benchmark"]
@@ -190,6 +214,47 @@ def b16_metrics(spark, d):
     return rounded(B.metrics(curve, B.trades(held, config), config), ["periods", "number_of_trades"], SUMMARY, 5)
 
 
+SWEPT = {
+    "plain": {}, "every 10": {"every": 10}, "top 40": {"top": 0.4}, "dear": {"rate": 0.004}, "at close": {"execution": "close"},
+    "by volatility": {"sizing": "inverse_vol", "every": 10}, "keeps": {"entry": 80.0, "leave": 50.0, "least": 1}, "keeps longer": {"entry": 70.0, "leave": 40.0, "least": 1, "every": 10, "rate": 0.0005},
+}
+
+
+def swept() -> dict[str, B.Config]:
+    names = {"every": "rebalance"}
+    of = lambda x: {names.get(k, k): v for k, v in x.items() if k != "rate"} | ({"cost_bps": x["rate"] * 10_000, "slippage_bps": 0.0} if "rate" in x else {})
+    return {name: B.Config(**of(x)) for name, x in SWEPT.items()}
+
+
+@query("b19_sweep", " UNION ALL ".join("SELECT * FROM (" + S.statement(*backtest_sql(**x), f"""SELECT '{name}' AS config, count(*) AS periods, sum(positions)::BIGINT AS positions, round(sum(turnover), 5) AS turnover, round(sum(ln(1 + period_return)), 5) + 0.0 AS log_equity,
+    round(sum(ln(1 + benchmark_return)), 5) + 0.0 AS log_benchmark, (SELECT count(*) FROM ledger) AS number_of_trades, round((SELECT sum(cost) FROM ledger), 5) AS total_cost_paid FROM curve""") + ")" for name, x in SWEPT.items()))
+def b19_sweep(spark, d):
+    """Eight settings of a backtest in one plan, two of them with hysteresis."""
+    configs = swept()
+    curve, _, metrics = B.sweep(scored(spark, d), T.nation_bars(spark, d), configs)
+    total = lambda c, n: (F.round(F.sum(c), 5) + F.lit(0.0)).alias(n)
+    sums = curve.groupBy("config").agg(F.count(F.lit(1)).alias("periods"), F.sum("positions").alias("positions"), total("turnover", "turnover"), total(F.log1p("period_return"), "log_equity"), total(F.log1p("benchmark_return"), "log_benchmark"))
+    return sums.join(metrics.select("config", "number_of_trades", F.round("total_cost_paid", 5).alias("total_cost_paid")), "config")
+
+
+@query("b12_total_loss", S.statement(*backtest_sql(), "hit AS (SELECT step, d, CASE WHEN step = 100 THEN -1.0 WHEN step = 120 THEN -1.5 ELSE period_return END AS r FROM curve), w AS (SELECT *, sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER (ORDER BY step) AS logs, max((r <= -1)::INT) OVER (ORDER BY step) AS lost FROM hit)",
+    "SELECT CAST(step AS INTEGER) AS step, d, lost = 1 AS lost, round(CASE WHEN lost = 0 THEN logs END, 6) AS log_equity FROM w"))
+def b12_total_loss(spark, d):
+    """A curve in which a period loses everything, and a later one more than that: nothing comes back."""
+    config = B.Config()
+    _, curve = curve_of(spark, d, config)
+    lost = F.when(F.col("step") == 100, -1.0).when(F.col("step") == 120, -1.5).otherwise(F.col("period_return"))
+    periods = curve.select(F.lit("").alias("config"), "step", "d", lost.alias("period_return"), "benchmark_return", F.lit(config.capital).alias("capital"))
+    return B.with_equity(periods).select("step", "d", (F.col("equity") == 0).alias("lost"), F.round(F.ln(F.nullif(F.col("equity"), F.lit(0.0)) / config.capital), 6).alias("log_equity"))
+
+
+@query("b2_days_without_forecasts", S.statement(S.BARS, SCORED, "kept AS (SELECT DISTINCT d FROM scored WHERE day(d) <> 13), i AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM kept), c AS (SELECT d, lead(d) OVER (ORDER BY d) AS next, row_number() OVER (ORDER BY d) - 1 AS period FROM i WHERE i % 5 = 0)", 'SELECT d, "next", CAST(period AS INTEGER) AS period FROM c WHERE "next" IS NOT NULL'))
+def b2_days_without_forecasts(spark, d):
+    """The rebalance calendar where the forecasts of every 13th of a month are missing."""
+    x = scored(spark, d).withColumn("p", F.when(F.dayofmonth("d") != 13, F.col("p")))
+    return B.calendar(x, 5)
+
+
 HELD = backtest_sql()[2]
 HYSTERESIS = HELD[: HELD.index("t1 AS")] + f"""t1 AS (SELECT *, ({S.pct_rank('p', 'period')}) * 100 AS pct, dense_rank() OVER (ORDER BY period) AS step FROM t0),
     t2 AS (SELECT *, coalesce((step - lag(step) OVER (PARTITION BY stock ORDER BY step) <> 1)::INT, 1) AS starts FROM t1),
@@ -208,7 +273,7 @@ VOLUME_SCORED = SCORED.replace(f"{S.log_ratio('c', 21)} AS r", f"CASE WHEN {S.lo
 CURVE_SQL = "SELECT d, round(ln(growth), 6) AS strategy, round(ln(benchmark_growth), 6) AS benchmark FROM curve"
 
 
-@query("b3_notes", S.statement(*backtest_sql(), "few AS (SELECT 'first 4 periods' AS run, count(*) AS periods FROM curve WHERE step <= 4 UNION ALL SELECT 'whole', count(*) FROM curve)", "SELECT run, 'only ' || periods || ' periods: indicative only' AS note FROM few WHERE periods < 6 UNION ALL SELECT 'one day', 'not enough rebalance days for a backtest'"))
+@query("b3_notes", S.statement(*backtest_sql(), "few AS (SELECT 'first 4 periods' AS run, count(*) AS periods FROM curve WHERE step <= 4 UNION ALL SELECT 'whole', count(*) FROM curve)", "SELECT run, periods || ' periods are few: read with care' AS note FROM few WHERE periods < 6 UNION ALL SELECT 'one day', 'fewer than two rebalance days: no result'"))
 def b3_notes(spark, d):
     """What a backtest says of itself: none on the whole table, few periods, or one day only."""
     config = B.Config()

@@ -298,3 +298,63 @@ def st1_streaming_bars(spark, d):
     path = io.scratch(spark, "stream-bars")
     ST.run_available(ST.streaming_bars(ticks), path, f"{path}-checkpoint")
     return spark.read.parquet(path).select("stock", F.col("start").cast("timestamp_ntz").alias("start"), "o", "h", "l", "c", "v")
+
+
+ARRIVALS = """t AS (SELECT event_type AS stock, CAST(ts AS TIMESTAMP) AS ts, value, event_id, CAST(floor(4 * (row_number() OVER (ORDER BY CAST(ts AS TIMESTAMP), event_id) - 1) / count(*) OVER ()) AS INTEGER) AS b FROM events),
+    arrivals AS (SELECT stock, ts, value, event_id, b + CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS b FROM t UNION ALL SELECT stock, ts, value, event_id, b + 1 FROM t WHERE event_id % 23 = 0 UNION ALL SELECT stock, ts, value, event_id, b FROM t WHERE event_id % 29 = 0 AND event_id % 37 <> 0)"""
+
+
+def arrivals(spark, d):
+    """Ticks and the batch (0 to 4) that each comes in: some a batch late, some once more in the next one or in the same."""
+    placed = T.read_table(spark, d, "events").select(F.col("event_type").alias("stock"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("tick"))
+    order = Window.orderBy("ts", "tick")
+    placed = io.stored(placed.withColumn("n", F.row_number().over(order) - 1).withColumn("b", F.floor(4 * F.col("n") / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).cast("int")).drop("n"), "stream-arrivals")
+    late = placed.withColumn("b", F.col("b") + (F.col("tick") % 37 == 0).cast("int"))
+    again = placed.where("tick % 23 = 0").withColumn("b", F.col("b") + 1)
+    return late.unionByName(again).unionByName(placed.where("tick % 29 = 0 and tick % 37 <> 0"))
+
+
+def fed(spark, table, batches, run):
+    """Write a table's batches one after another to a folder that ``run`` streams from, starting anew from the checkpoint
+    after every second one."""
+    path = io.scratch(spark, "stream-input")
+    for b in range(batches):
+        table.where(F.col("b") == b).drop("b").coalesce(1).write.mode("append").parquet(path)
+        if b % 2 or b == batches - 1:
+            run(path)
+
+
+@query("st2_late_and_repeated_ticks", f"""WITH {ARRIVALS}, c AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS start, max(ts) OVER (PARTITION BY stock ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock FROM arrivals),
+    l AS (SELECT *, coalesce(start + INTERVAL 45 MINUTE <= clock, false) AS late FROM c), ends AS (SELECT stock, max(ts) AS reached FROM arrivals GROUP BY 1),
+    once AS (SELECT stock, start, ts, event_id, value, count(*) - 1 AS again FROM l WHERE NOT late GROUP BY ALL),
+    bars AS (SELECT stock, start, arg_min(value, row(ts, event_id)) AS o, max(value) AS h, min(value) AS l, arg_max(value, row(ts, event_id)) AS c, count(*) AS v, sum(again) AS repeats FROM once GROUP BY ALL)
+    SELECT 'bar' AS kind, stock, start, o, h, l, c, v, CAST(repeats AS BIGINT) AS repeats FROM bars JOIN ends USING (stock) WHERE start + INTERVAL 45 MINUTE <= reached
+    UNION ALL SELECT 'late', stock, start, NULL, NULL, NULL, NULL, count(*), NULL FROM l WHERE late GROUP BY stock, start""")
+def st2_late_and_repeated_ticks(spark, d):
+    """Bars of a stream with late and repeated ticks, fed in five batches over three runs, and the late ticks by their bars."""
+    from panelspark.streaming.late import bars_and_late_ticks
+
+    out = io.scratch(spark, "stream-late")
+
+    def run(path):
+        source = spark.readStream.schema("stock string, ts timestamp, price double, tick long").option("maxFilesPerTrigger", 1).parquet(path)
+        ST.run_available(bars_and_late_ticks(source), out, f"{out}-checkpoint")
+
+    fed(spark, arrivals(spark, d), 5, run)
+    found = spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    bars = found.where("kind = 'bar'").select("kind", "stock", "start", "o", "h", "l", "c", "v", "repeats")
+    late = found.where("kind = 'late'").groupBy("kind", "stock", "start").agg(F.count(F.lit(1)).alias("v"))
+    return bars.unionByName(late, allowMissingColumns=True)
+
+
+@query("st3_repeated_ticks", f"WITH {ARRIVALS} SELECT DISTINCT stock, event_id AS tick, CAST(ts AS TIMESTAMP) AS ts, value AS price FROM arrivals")
+def st3_repeated_ticks(spark, d):
+    """The first arrival of every tick of that stream, within a delay that covers the late ones."""
+    out = io.scratch(spark, "stream-once")
+
+    def run(path):
+        source = spark.readStream.schema("stock string, ts timestamp, price double, tick long").option("maxFilesPerTrigger", 1).parquet(path)
+        ST.run_available(ST.deduplicated(source, "60 days", ("stock", "tick"), "ts"), out, f"{out}-checkpoint")
+
+    fed(spark, arrivals(spark, d), 5, run)
+    return spark.read.parquet(out).select("stock", "tick", F.col("ts").cast("timestamp_ntz").alias("ts"), "price")
