@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,8 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators import trees as trees_
 from panelspark.operators.evaluation import auc, evaluate, fold_roles
 from panelspark.operators.filling import MedianFill
+from panelspark.operators.parallel import run_all
 from panelspark.sources.io import stored
 
 
@@ -69,23 +71,26 @@ def staged_scores(model: PipelineModel, rows: DataFrame, features: list[str], tr
 
 
 def cross_validate(
-    rows: DataFrame, features: list[str], bounds: DataFrame, configs: dict[str, dict], trees: list[int], family: str = "sampled", keep: bool = False
+    rows: DataFrame, features: list[str], bounds: DataFrame, configs: dict[str, dict], trees: list[int], family: str = "sampled", keep: bool = False, at_once: int = 4
 ):
     """config, trees, fold, roc_auc for every fold but the test block; ``best`` marks the key with the best mean.
 
     With ``keep`` also the forecasts of the best key out of fold: stock, d, label, fold, p. The
-    rows of the folds are stored once and read by all fits.
+    rows of the folds are stored once and read by all fits, of which ``at_once`` run side by side.
     """
     placed = stored(fold_roles(rows, bounds.where("fold >= 0")), "folds")
     folds = [r["fold"] for r in bounds.where("fold >= 0").select("fold").distinct().orderBy("fold").collect()]
-    found, scored = [], {}
-    for name, config in configs.items():
-        for fold in folds:
-            one = placed.where(F.col("fold") == fold)
-            model = fit(one.where("role = 'train'"), features, config, max(trees), family=family)
-            scored[name, fold] = staged_scores(model, one.where("role = 'evaluate'"), features, trees)
-            long = scored[name, fold].withColumn("y", F.col("label")).unpivot(["fold", "y"], [f"p_{i}" for i in trees], "trees", "p")
-            found += [(name, int(r["trees"][2:]), fold, r["roc_auc"]) for r in auc(long, ["fold", "trees"]).collect()]  # a row for each number of trees
+    def fitted(name: str, config: dict, fold: int):
+        one = placed.where(F.col("fold") == fold)
+        model = fit(one.where("role = 'train'"), features, config, max(trees), family=family)
+        out = staged_scores(model, one.where("role = 'evaluate'"), features, trees)
+        long = out.withColumn("y", F.col("label")).unpivot(["fold", "y"], [f"p_{i}" for i in trees], "trees", "p")
+        return out, [(name, int(r["trees"][2:]), fold, r["roc_auc"]) for r in auc(long, ["fold", "trees"]).collect()]  # a row for each number of trees
+
+    keys = [(name, fold) for name in configs for fold in folds]
+    results = run_all(rows.sparkSession, [functools.partial(fitted, name, configs[name], fold) for name, fold in keys], at_once)
+    scored = {k: out for k, (out, _) in zip(keys, results, strict=True)}
+    found = [row for _, part in results for row in part]
     scores = rows.sparkSession.createDataFrame(found, "config string, trees int, fold int, roc_auc double")
     means: dict[tuple[str, int], list[float]] = {}
     for name, n, _, value in found:
@@ -220,21 +225,17 @@ def comparison_of_variants(spark, results: list[Result]) -> DataFrame:
     return table.join(metrics.select("variant", *[F.col(c).alias(f"test_{c}") for c in metrics.columns if c != "variant"]), "variant", "left")
 
 
-_SPLIT = re.compile(r"If \(feature (\d+) ")
-
-
 def importances(models: list[PipelineModel], features: list[str]) -> DataFrame:
     """feature, gain, split: shares of gain and of splits, a feature with its missing-value column, averaged over the models."""
-    gain, split = dict.fromkeys(features, 0.0), dict.fromkeys(features, 0.0)
-    for m in models:
-        boosted = m.stages[-1]
-        for i, g in enumerate(boosted.featureImportances.toArray()):
-            gain[features[i % len(features)]] += float(g)
-        for i in _SPLIT.findall(boosted.toDebugString):
-            split[features[int(i) % len(features)]] += 1.0
-    totals = max(sum(gain.values()), 1e-12), max(sum(split.values()), 1e-12)
-    rows = [(f, gain[f] / totals[0], split[f] / totals[1]) for f in features]
-    return SparkSession.active().createDataFrame(rows, "feature string, gain double, split double")
+    parts = [trees_.shares_of_splits(trees_.splits_of(m.stages[-1]), features) for m in models]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("feature").agg(F.avg("gain").alias("gain"), F.avg("split").alias("split"))
+
+
+def exact_attributions(model: PipelineModel, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """keys, feature, value, score, base: exact Shapley values of the boosted score (half its log odds), a feature
+    with its missing-value column."""
+    fill, boosted = model.stages[0], model.stages[-1]
+    return trees_.attributions(trees_.leaves_of(boosted), fill.transform(rows), fill.outputs(), keys, features * 2)
 
 
 def permutation_importance(folds: list[tuple[PipelineModel, DataFrame]], features: list[str], repeats: int = 3, bucket: int = 256) -> DataFrame:
@@ -282,11 +283,11 @@ def attributions(model: PipelineModel, rows: DataFrame, background: DataFrame, f
     draw = random.Random(42)
     orders = [draw.sample(features, len(features)) for _ in range(permutations)]
     spark = rows.sparkSession
-    others = background.dropna().orderBy(F.xxhash64(*features)).limit(permutations).collect()
+    others = background.orderBy(F.xxhash64(*features)).limit(permutations).collect()  # a missing value is one like any other
     steps = []
     for n, order in enumerate(orders[: len(others)]):
         for k in range(len(order) + 1):
-            steps.append((n, k, order[k - 1] if k else None, order[:k], [float(others[n][f]) for f in features]))
+            steps.append((n, k, order[k - 1] if k else None, order[:k], [None if others[n][f] is None else float(others[n][f]) for f in features]))
     plan = F.broadcast(spark.createDataFrame(steps, "n int, k int, added string, own array<string>, other array<double>"))
     mixed = [F.when(F.array_contains("own", f), F.col(f)).otherwise(F.col("other")[i]).alias(f) for i, f in enumerate(features)]
     scored = score(model, rows.crossJoin(plan).select(*keys, "n", "k", "added", *mixed), features).select(*keys, "n", "k", "added", "p")

@@ -25,7 +25,7 @@ def run_all(spark: SparkSession, tasks: list[Callable], most: int = 4) -> list:
         return task()
 
     with ThreadPoolExecutor(max(1, min(most, len(tasks)))) as pool:
-        futures = [pool.submit(inheritable_thread_target(one), i, t) for i, t in enumerate(tasks)]
+        futures = [pool.submit(inheritable_thread_target(spark)(one), i, t) for i, t in enumerate(tasks)]
         done, open_ = wait(futures, return_when=FIRST_EXCEPTION)
         failed = next((f for f in futures if f in done and f.exception()), None)
         if failed is not None:

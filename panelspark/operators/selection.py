@@ -20,6 +20,20 @@ def long_form(frame: DataFrame, keys: list[str], features: list[str]) -> DataFra
     return wide.unpivot(keys, features, "feature", "x")
 
 
+def seeded_sample(rows: DataFrame, by: list[str], keys: list[str], n: int, seed: int = 42, salts: int = 32) -> DataFrame:
+    """``n`` rows of each group, all where there are no more: those with the least hash of seed and keys.
+
+    The least of parts of a group are found first, so no task orders a whole group; which rows they
+    are depends on keys and seed alone. Rows with equal keys are ordered by nothing else.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    x = rows.withColumn("__hash", F.md5(text)).withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
+    some = F.row_number().over(Window.partitionBy(*by, "__salt").orderBy("__hash"))
+    x = x.withColumn("__turn", some).where(F.col("__turn") <= n)
+    last = F.row_number().over(Window.partitionBy(*by).orderBy("__hash"))
+    return x.withColumn("__turn", last).where(F.col("__turn") <= n).drop("__hash", "__salt", "__turn")
+
+
 def low_coverage(long: DataFrame, most_missing: float = 0.5) -> DataFrame:
     share = long.groupBy("feature").agg(F.avg(F.col("x").isNull().cast("double")).alias("missing"))
     return share.where(F.col("missing") > most_missing)

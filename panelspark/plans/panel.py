@@ -133,6 +133,44 @@ def c13_seeded_sample(spark, d):
     return T.nation_bars(spark, d).where((F.col("stock") * 7919 + F.unix_date("d") * 104729 + 42) % 10 == 0).select("stock", "d")
 
 
+@query("c13_rows_a_stock", S.statement(S.BARS, "h AS (SELECT stock, d, row_number() OVER (PARTITION BY stock ORDER BY md5('42|' || stock || '|' || d)) AS turn FROM bars)", "SELECT stock, d FROM h WHERE turn <= 50"))
+def c13_rows_a_stock(spark, d):
+    """Fifty rows of each stock, drawn by keys and seed."""
+    from panelspark.operators.selection import seeded_sample
+
+    return seeded_sample(T.nation_bars(spark, d).select("stock", "d"), ["stock"], ["stock", "d"], 50)
+
+
+@query("s7_changed_sector", S.statement(S.BARS, "SELECT sector, count(*) AS n, round(sum(CASE WHEN sector = 2 THEN 2 * c ELSE c END), 2) AS total, sector = 2 AS rewritten FROM bars GROUP BY ALL"))
+def s7_changed_sector(spark, d):
+    """A stored panel whose one sector was written anew: the files of the others are those of before."""
+    from panelspark.sources import io
+
+    path = io.scratch(spark, "panel-by-sector")
+    bars = T.nation_bars(spark, d).select("stock", "sector", "d", "c")
+    io.write_dataset(bars, path, "sector")
+    held = io.stored(spark.read.parquet(path).select(F.col("sector").cast("int").alias("sector"), F.input_file_name().alias("file")).distinct(), "panel-files")
+    io.replace_partitions(bars.where("sector = 2").withColumn("c", F.col("c") * 2), path, "sector")
+    now = spark.read.parquet(path).withColumn("file", F.input_file_name()).withColumn("sector", F.col("sector").cast("int"))
+    joined = now.join(F.broadcast(held.withColumn("old", F.lit(True))), ["sector", "file"], "left")  # a row a file
+    return joined.groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c"), 2).alias("total"), F.bool_or(F.col("old").isNull()).alias("rewritten"))
+
+
+@query("s3_bars_laid_out", S.statement(S.BARS, S.technical("bars", "tech", "daily", 20, 50, 5), "SELECT stock, count(*) AS n, round(sum(\"daily_RSI\"), 3) AS rsi, round(sum(\"daily_MACD\"), 2) AS macd, 0 AS exchanges FROM tech GROUP BY 1"))
+def s3_bars_laid_out(spark, d):
+    """Windows over a table bucketed and sorted by stock, profiled by stock, and the exchanges that their plan needs."""
+    import uuid
+
+    from panelspark.sources import io
+
+    name = f"bars_{uuid.uuid4().hex}"
+    bars = io.write_bucketed(T.nation_bars(spark, d), name, io.scratch(spark, "bars-laid-out"), buckets=8)
+    found = I.technical(bars, "daily", 20, 50, 5).groupBy("stock").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("daily_RSI"), 3).alias("rsi"), F.round(F.sum("daily_MACD"), 2).alias("macd"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return found.withColumn("exchanges", F.lit(plan.count("Exchange hashpartitioning")))
+
+
 @query("c14_truncate", S.statement(S.BARS, "SELECT stock, max(d) AS upto, count(*) FILTER (WHERE d < DATE '1997-06-30') AS strictly, count(*) AS n FROM bars WHERE d <= DATE '1997-06-30' GROUP BY 1"))
 def c14_truncate(spark, d):
     cutoff = F.lit("1997-06-30").cast("date")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -86,17 +87,92 @@ def merge_metrics(old: DataFrame, new: DataFrame, key: str = "horizon") -> DataF
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def save_model(model, path: str, metadata: dict[str, str]) -> None:
-    """An ML pipeline model and a row that says what it was made of."""
-    model.write().overwrite().save(f"{path}/model")
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the committed versions, in order."""
+    files, where = _folder(spark, f"{path}/manifests")
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+
+def _write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside its place, then renamed to it."""
+    files, where = _folder(spark, path)
+    files.mkdirs(where.getParent())
+    draft = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f"_{uuid.uuid4().hex}")
+    out = files.create(draft)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    if files.exists(where) or not files.rename(draft, where):
+        files.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def save_model(model, path: str, metadata: dict[str, str]) -> int:
+    """Keep a fitted pipeline, and what it was made of, as the next version under ``path``; its number.
+
+    The pipeline goes to a folder of its own; a manifest that names the folder and holds the
+    metadata is committed last, under the next free number. Until then nobody meets the version;
+    of two writers one takes the number and the other the one after it. Earlier versions stay.
+    """
     spark = SparkSession.active()
-    spark.createDataFrame([(k, str(v)) for k, v in metadata.items()], "key string, value string").write.mode("overwrite").parquet(f"{path}/metadata")
+    folder = f"{path}/versions/{uuid.uuid4().hex}"
+    model.write().save(f"{folder}/model")
+    text = json.dumps({"folder": folder, "metadata": {k: str(v) for k, v in metadata.items()}})
+    while True:
+        number = max(_manifests(spark, path), default=0) + 1
+        try:
+            _write_small(spark, f"{path}/manifests/{number:08d}.json", text)
+            return number
+        except FileExistsError:
+            continue
+
 
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """version, key, value: the metadata of every committed version."""
+    rows = [(n, k, v) for n in _manifests(spark, path) for k, v in _manifest(spark, path, n)["metadata"].items()]
+    return spark.createDataFrame(rows, "version int, key string, value string")
 
-def load_model(spark: SparkSession, path: str, needed: tuple[str, ...] = ()):
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict:
+    """One small JSON file."""
+    lines = spark.read.text(f"{path}/manifests/{number:08d}.json", wholetext=True).collect()
+    return json.loads(lines[0][0])
+
+
+def load_model(spark: SparkSession, path: str, needed: tuple[str, ...] = (), version: int | None = None):
+    """(pipeline, metadata) of the latest committed version, or of the one asked for.
+
+    FileNotFoundError where there is none, ValueError where its metadata lacks a needed key.
+    """
     from pyspark.ml import PipelineModel
 
-    metadata = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()}
+    there = _manifests(spark, path)
+    if not there or version not in (None, *there):
+        raise FileNotFoundError(f"{path}: no model" if version is None else f"{path}: no version {version}")
+    manifest = _manifest(spark, path, version or there[-1])
+    metadata = manifest["metadata"]
     if missing := [k for k in needed if k not in metadata]:
         raise ValueError(f"{path}: the model's metadata has no {', '.join(missing)}")
-    return PipelineModel.load(f"{path}/model"), metadata
+    return PipelineModel.load(f"{manifest['folder']}/model"), metadata
+
+
+def replace_partitions(frame: DataFrame, path: str, partition: str) -> None:
+    """Write a dataset anew for the partitions that ``frame`` has; the files of the others stay as they are."""
+    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def write_bucketed(frame: DataFrame, name: str, path: str, by: str = "stock", order: str = "d", buckets: int = 64) -> DataFrame:
+    """A table of the catalog over files in ``path``, laid out for windows by ``by``: joins and windows over it need no
+    exchange by that key."""
+    frame.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by, order).format("parquet").option("path", path).saveAsTable(name)
+    return frame.sparkSession.table(name)
