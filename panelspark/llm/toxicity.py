@@ -143,6 +143,9 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """A model from the labelled documents that aren't held out (crc32 of the id mod 5 is not 0).
 
+    Its driver holds for each document of the sample the features that it has, four bytes each: at
+    most 2 * ``per_class`` times ``features`` of them, 640 MB as a rule that no real text comes near.
+
     Of repeated labels of one id the largest counts; null labels and ids don't. With labels
     of one class only, or none, the model scores every text by the classes' shares.
     """
@@ -239,7 +242,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The input's rows and columns without the rows whose text scores ``threshold`` or more."""
+    """The input's rows and columns without the rows whose text scores ``threshold`` or more.
+
+    A null text scores as an empty one, and stays null where it is kept. Rows that repeat stay or go together,
+    null ids and other columns play no part, an empty table stays empty.
+    """
 
     def run(batches):
         import pyarrow as pa

@@ -305,6 +305,54 @@ def test_models_on_odd_tables(docs, rows, empty, spark):
     assert fit_toxicity(empty, none).intercept == 0.0
 
 
+def test_toxic_rows_leave_with_all_their_columns(spark, docs, rows, empty):
+    from panelspark.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
+
+    texts = [("bad " * 9 if i % 2 else "good " * 9, i % 2) for i in range(80)]
+    learned = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = fit_toxicity(learned, spark.createDataFrame([(i, k) for i, (_, k) in enumerate(texts)], "doc_id long, toxic int"))
+    odd = [*rows, (1, "bad " * 5, "x", None, 1), (1, "bad " * 5, "x", None, 1), (None, "so bad " * 5, None, None, None), (2, "good " * 5, "y", "k", 2), (2, "good " * 5, "y", "k", 2)]
+    frame = spark.createDataFrame(odd, SCHEMA)
+    score = {t or "": float(s) for t, s in zip([r[1] for r in odd], model.scores([r[1] or "" for r in odd]))}
+    assert score["bad " * 5] >= 0.5 > score["good " * 5]
+    assert Counter(map(tuple, drop_toxic(frame, model).collect())) == Counter(r for r in odd if score[r[1] or ""] < 0.5)
+    assert drop_toxic(frame, model).columns == frame.columns and drop_toxic(empty, model).count() == 0
+    assert score_toxicity(frame, model).count() == len(odd)
+
+
+def test_near_dedup_of_an_empty_table_drops_nothing(empty):
+    from panelspark.llm.near_dedup import drop_near_duplicates
+
+    found = drop_near_duplicates(empty)
+    assert found.count() == 0 and found.columns == empty.columns
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, copies, columns whose names clash; and no rows at all."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, rep long, keep_id long"
+    r = random.Random(4)
+    make = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, passage = make(80), make(90), make(60)
+    near = " ".join(["other", *a.split()[1:]])
+    texts = [(1, a), (2, a), (3, near), (4, None), (5, ""), (None, b), (7, b), (8, make(30) + " " + passage), (9, make(30) + " " + passage), (10, make(40)), (10, make(40))]
+    documents = [(i, t, "en", None, None, 1, 2, 3) for i, t in texts]
+    folder = str(tmp_path / "odd")
+    spark.createDataFrame(documents, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    # 1 and 2 are copies, 3 is near them, 4 and 5 are empty, 7 is a copy of the row without an id
+    assert Counter(p.doc_id for p in pieces) == Counter([2, 5, 7, 8, 9, 10, 10])
+    assert [p.length for p in pieces if p.doc_id == 5] == [1]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).columns == schema.replace(" long", "").replace(" string", "").split(", "), name
+    nothing = str(tmp_path / "nothing")
+    spark.createDataFrame([], schema).write.parquet(f"{nothing}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{nothing}/labels.parquet")
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
 def test_the_commonest_word_may_come_late():
     from panelspark.llm.rules import STATISTICS, statistics
 
@@ -392,7 +440,7 @@ def test_pipeline_stages(spark):
         assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_near_dedup", "op7_suffix_repeats"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_near_dedup", "op7_suffix_repeats", "op10_sharding", "op12_collocations"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
