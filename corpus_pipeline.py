@@ -50,6 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that the stages keep.
+
+    A null text counts as an empty one, in every stage; empty documents are equal texts, so one of them stays,
+    with a piece of the end id alone. A row without an id is a document like any other, but linked with no near
+    duplicate. Rows that repeat are exact duplicates; an id with two texts is two documents up to
+    near dedup, where one that links drop takes the other along. Other columns stay up to the last
+    stage and clash with nothing. An empty table gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
