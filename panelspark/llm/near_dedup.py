@@ -211,8 +211,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node and component, the smallest node that it reaches; ``edges`` has columns a and b.
 
-    Of the edges' nodes and those of ``nodes``. Labels spread along edges and then jump to the label of
-    their label, until none changes. Nodes with many edges, and labels whose nodes have many, are
+    Of the edges' nodes and those of ``nodes``. Labels that changed spread along edges, and all jump to the label
+    of their label, until none changes. Nodes with many edges, and labels whose nodes have many, are
     joined by broadcast: those that hold a thousandth of all edges are a few thousand at most.
     """
     both = edges.where("a <> b").select("a", "b")
@@ -234,7 +234,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     while not labels.where("moved").isEmpty():
         mass = labels.groupBy("component").agg(F.sum(F.col("degree") + 1).alias("degree"))
         hot_labels = [r["component"] for r in mass.where(many).select("component").collect()]
-        near = met(both, labels.select(F.col("node").alias("b"), "component"), "b", hot_nodes)
+        # a neighbour whose label stayed has been met with it before
+        near = met(both, labels.where("moved").select(F.col("node").alias("b"), "component"), "b", hot_nodes)
         least = labels.select("node", F.col("component").alias("was"), "component", "degree").unionByName(
             near.select(F.col("a").alias("node"), "component"), allowMissingColumns=True
         )
