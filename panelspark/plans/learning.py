@@ -218,6 +218,19 @@ def m13_tree_attributions(spark, d):
     return rounded(found, ["stock", "d", "feature"], ["value", "score", "base"])
 
 
+_LONG = " UNION ALL ".join(f"SELECT stock, d, '{f}' AS feature, {f} AS x FROM learn" for f in LEARNED)
+
+
+@query("q12_attribution_spread", S.statement(*TREES_SQL, f"s AS (SELECT stock, d, feature, sum(value) AS value FROM ({_SHARES}) GROUP BY ALL), long AS ({_LONG})", f"r AS (SELECT stock, d, feature, {S.pct_rank('x', 'feature')} AS pct FROM long)",
+    "SELECT stock, d, feature, round(pct, 6) AS pct, round(value, 6) + 0.0 AS value FROM r JOIN s USING (stock, d, feature)"))
+def q12_attribution_spread(spark, d):
+    """What a view of all attributions shows: for every row and feature the value's percentile and its attribution."""
+    x, leaves = grid_model(spark, d)
+    ranked = X.long_ranks(X.long_form(x, ["stock", "d"], LEARNED)).select("stock", "d", "feature", F.col("rank").alias("pct"))
+    values = TR.attributions(leaves, x, LEARNED, ["stock", "d"]).select("stock", "d", "feature", "value")
+    return rounded(ranked.join(values, ["stock", "d", "feature"]), ["stock", "d", "feature"], ["pct", "value"])
+
+
 @query("m13_boosted_attributions", S.statement(S.BARS, S.BASELINE, LEARNING_SQL.replace(f" AND {' AND '.join(f'{f} IS NOT NULL' for f in LEARNED)}", ""), "SELECT stock, count(*) AS n, 5 AS features, 0::BIGINT AS apart, 0::BIGINT AS other_scores FROM learn GROUP BY 1"))
 def m13_boosted_attributions(spark, d):
     """Of every stock's rows, gaps included: whether the values of all features add up to the boosted score less the
