@@ -96,8 +96,8 @@ def token_pieces(docs: DataFrame, vocabulary_file: str, end_id: int, capacity: i
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, part_rank long"
-    )
+    schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, part_rank long"
+    return map_batches(rows, run, schema, encodes=True)
 
 
 def pack_documents(

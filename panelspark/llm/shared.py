@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -144,7 +146,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow``, with this subpackage at hand in the workers."""
+def forget_encoders() -> None:
+    """Give back what a worker keeps of texts that it encoded before."""
+    tokens = sys.modules.get("panelspark.llm.tokens")
+    if tokens is not None and tokens.encoder.cache_info().currsize:
+        tokens.encoder.cache_clear()
+        gc.collect()
+
+
+def map_batches(df: DataFrame, run, schema: str, encodes: bool = False) -> DataFrame:
+    """``df.mapInArrow``, with this subpackage at hand in the workers.
+
+    Workers live through many stages. Only work that ``encodes`` finds the pieces of text that an
+    encoder has kept; other work begins without them, so they don't add to its own memory.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def fresh(batches):
+        if not encodes:
+            forget_encoders()
+        yield from run(batches)
+
+    return df.mapInArrow(fresh, schema)

@@ -218,7 +218,7 @@ def write_shards(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialise(map_batches(ordered, run, _MANIFEST), "token-manifest")
+    return materialise(map_batches(ordered, run, _MANIFEST, encodes=True), "token-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
