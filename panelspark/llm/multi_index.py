@@ -5,16 +5,18 @@ is a pair of centroids. A query walks over the pairs by the sum of its two dista
 first, with a heap (multi-sequence order), until the cells that it has met hold ``share`` of
 all entries; every entry of those cells is reranked by its exact distance.
 
-Codebooks are fitted to a bounded sample, ``SAMPLE`` entries; every vector is indexed. The
-share comes from that sample, too: for ``PROBES`` of its entries the true neighbours within
-the sample are compared with the order of their walks, and the share that reaches all but a
-small part of them (1 - ``RECALL``) is taken. Neighbours among all entries are nearer than
-those in a sample, so the share errs to the safe side where the table is larger.
+Codebooks grow with the square root of the entries, twice that between ``LEAST`` and ``MOST``
+centroids, and are fitted to a sample that grows with them (``SAMPLE`` entries or
+``A_CENTROID`` for each centroid); every vector is indexed. The share is measured on the whole
+index: the true neighbours of ``PROBES`` entries among all entries are found by brute force in
+one pass, and the share is the one at which walks of the probes reach ``RECALL`` of them. Recall
+over few queries scatters more, so few ask for more of it, up to ``STRICT``.
 
 Equal vectors are one entry that keeps its smallest ids, one more than are asked for, which
-is all of it that a result can hold. Entries and queries meet in blocks of at most about
-``BLOCK`` by ``BLOCK`` rows, so no cell, however full, ends up in one task, and a side is
-copied once for each block of the other.
+is all of it that a result can hold. Neighbouring centroids of the first half form groups of about
+``BLOCK`` entries; a fuller centroid's are dealt to blocks. Groups and queries meet in blocks
+of at most about ``BLOCK`` by ``BLOCK`` rows, so no cell, however full, ends up in one task,
+and a side is copied once for each block of the other.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import map_batches, materialise, ship
+from panelspark.llm.shared import join_to_one, map_batches, materialise, ship
 
-SAMPLE = 20_000
-CENTROIDS = 128
-RECALL = 0.98
+LEAST, MOST = 128, 1024
+SAMPLE, A_CENTROID = 20_000, 40
+RECALL, STRICT = 0.95, 0.99
 PROBES = 256
 BLOCK = 16_384
 QUERIES_A_TASK = 64
@@ -41,7 +43,7 @@ def fit_codebook(x, centroids: int, rounds: int = 12, seed: int = 7):
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[: min(centroids, len(x))]].copy()
     for _ in range(rounds):
-        nearest = squared_distances(x, c).argmin(1)
+        nearest = nearest_centroids(x, c)
         order = np.argsort(nearest, kind="stable")
         found, starts = np.unique(nearest[order], return_index=True)
         c[found] = np.add.reduceat(x[order], starts, axis=0) / np.diff(np.append(starts, len(x)))[:, None]
@@ -52,17 +54,25 @@ def squared_distances(x, c):
     return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None]
 
 
+def nearest_centroids(x, c, rows: int = 4096):
+    import numpy as np
+
+    return np.concatenate([squared_distances(x[i : i + rows], c).argmin(1) for i in range(0, len(x), rows)])
+
+
 def walk(first, second, counts, wanted: int) -> list[tuple[int, int]]:
     """Pairs of centroids by summed distance until their cells hold ``wanted`` entries."""
     import numpy as np
 
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()
-    held = counts[np.ix_(a, b)].tolist()
+    held: list[list[int]] = [[]] * len(x)  # of each row, in the order of the walk, once it is met
     heap, seen, out = [(x[0] + y[0], 0, 0)], [-1] * len(x), []  # seen: how far each row has been met
     while heap and wanted > 0:
         _, i, j = heapq.heappop(heap)
         seen[i] = j
+        if j == 0:
+            held[i] = counts[a[i], b].tolist()
         if held[i][j]:
             wanted -= held[i][j]
             out.append((int(a[i]), int(b[j])))
@@ -73,23 +83,54 @@ def walk(first, second, counts, wanted: int) -> list[tuple[int, int]]:
     return out
 
 
-def needed_share(x, books, half: int, k: int, recall: float = RECALL, probes: int = PROBES, seed: int = 7) -> float:
-    """The share of entries that walks must meet to find ``recall`` of the true neighbours, measured on a sample."""
+def neighbours_of_probes(index: DataFrame, probes, names, k: int) -> DataFrame:
+    """probe (place), c1, c2: the cells of the ``k`` nearest entries of each probe, itself left out, by brute force.
+
+    A partition keeps the nearest that it has met, so it gives back k rows a probe whatever its size.
+    """
+
+    def nearest(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = [np.zeros((len(probes), 0), t) for t in (float, np.int64, np.int64)]
+        for batch in batches:
+            m, entry = _matrix(batch.column("v")), batch.column("entry").to_numpy()
+            for i in range(0, len(m), 4096):
+                part = slice(i, i + 4096)
+                d = squared_distances(probes, m[part])
+                d[names[:, None] == entry[part][None]] = np.inf
+                new = [d, *(np.broadcast_to(batch.column(c).to_numpy()[part], d.shape) for c in ("c1", "c2"))]
+                held = [np.concatenate(x, axis=1) for x in zip(held, new, strict=True)]
+                if held[0].shape[1] > k:
+                    keep = np.argpartition(held[0], k - 1, axis=1)[:, :k]
+                    held = [np.take_along_axis(x, keep, axis=1) for x in held]
+        probe = np.repeat(np.arange(len(probes)), held[0].shape[1])
+        d, c1, c2 = (x.ravel() for x in held)
+        there = np.isfinite(d)
+        yield pa.RecordBatch.from_arrays([pa.array(x[there], t) for x, t in ((probe, pa.int32()), (d, pa.float64()), (c1, pa.int32()), (c2, pa.int32()))], names=["probe", "d", "c1", "c2"])
+
+    found = map_batches(index, nearest, "probe int, d double, c1 int, c2 int")
+    least = Window.partitionBy("probe").orderBy("d")
+    return found.withColumn("turn", F.row_number().over(least)).where(F.col("turn") <= k).select("probe", "c1", "c2")
+
+
+def needed_share(probes, books, half: int, counts, targets, recall: float) -> float:
+    """The share of entries that walks from the probes must meet to reach ``recall`` of the targets (probe, c1, c2)."""
     import numpy as np
 
-    cells = squared_distances(x[:, :half], books[0]).argmin(1) * len(books[1]) + squared_distances(x[:, half:], books[1]).argmin(1)
-    counts = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
-    asked = np.random.default_rng(seed).permutation(len(x))[:probes]
+    cells: dict[int, list[tuple[int, int]]] = {}
+    for q, i, j in targets:
+        cells.setdefault(q, []).append((i, j))
+    full = np.flatnonzero(counts.ravel())
     needed = []
-    for q in asked:
-        d = ((x - x[q]) ** 2).sum(1)
-        d[q] = np.inf
-        near = np.argpartition(d, min(k, len(x) - 1))[: min(k, len(x) - 1)]
-        first, second = squared_distances(x[q : q + 1, :half], books[0])[0], squared_distances(x[q : q + 1, half:], books[1])[0]
-        order = np.argsort((first[:, None] + second[None]).ravel(), kind="stable")
-        met = np.empty(len(order))
-        met[order] = np.cumsum(counts[order]) - counts[order]  # entries met before each cell
-        needed += list((met[cells[near]] + 1) / len(x))
+    for q, found in cells.items():
+        first, second = (squared_distances(x[None], c)[0] for x, c in ((probes[q, :half], books[0]), (probes[q, half:], books[1])))
+        sums = (first[:, None] + second[None]).ravel()[full]
+        order = np.argsort(sums)
+        before = np.concatenate([[0], np.cumsum(counts.ravel()[full][order])])
+        places = np.searchsorted(sums[order], [first[i] + second[j] for i, j in found])
+        needed += list((before[places] + 1) / before[-1])
     return float(np.quantile(needed, recall)) if needed else 1.0
 
 
@@ -104,18 +145,20 @@ def nearest_neighbours(
     vectors: DataFrame,
     k: int = 10,
     every: int = 100,
-    centroids: int = CENTROIDS,
+    centroids: int | None = None,
     share: float | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """Of each query, the rows whose id is divisible by ``every``, its ``k`` nearest others that
     the index finds: query_id, rank (from 1), vec_id, score (Euclidean distance in double).
-    ``share`` of all entries is reranked for each query; None: as many as the sample asks for.
+    ``share`` of all entries is reranked for each query; None: as many as the probes ask for.
+    ``centroids`` of each half; None: as many as the entries ask for.
 
     Ties go to the smaller id. Vectors that are null, zero, of another length than most,
     or hold null or non-finite components take no part, nor do rows with a null id; a row
-    never finds its own id. If fewer than ``k`` others exist, all are returned. Other columns
+    never finds its own id. Rows that repeat count once; an id with several vectors asks at all
+    of them and is found at the nearest. If fewer than ``k`` others exist, all are returned. Other columns
     are ignored. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -132,19 +175,25 @@ def nearest_neighbours(
     )
     least = Window.partitionBy("v").orderBy("vec_id")
     some = valid.withColumn("turn", F.row_number().over(least)).where(F.col("turn") <= k + 1)
-    entries = materialise(
-        some.groupBy("v").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_set("vec_id")).alias("ids")), "ann-entries"
-    )
+    distinct = some.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    entries = materialise(distinct.select("v", F.monotonically_increasing_id().alias("entry"), "ids"), "ann-entries")
     n_entries = entries.count()
     if not n_entries:
         return spark.createDataFrame([], schema)
 
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    import numpy as np
+
+    asked = valid.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
+    asked = materialise(join_to_one(asked, entries.select("v", "entry"), ["v"]).select("query_id", "entry").distinct(), "ann-queries")
+    n_asked = asked.count()
+
+    centroids = centroids or min(MOST, max(LEAST, int(np.ceil(2 * n_entries**0.5))))
+    drawn = max(SAMPLE, A_CENTROID * centroids)
+    sample = entries.orderBy(F.xxhash64("v"), "v").limit(drawn + PROBES).select("v", "entry").toArrow()
     half = length["n"] // 2
-    x = _matrix(sample)
-    books = [fit_codebook(x[:, :half], centroids), fit_codebook(x[:, half:], centroids)]
-    if share is None:
-        share = needed_share(x, books, half, k)
+    x, names = _matrix(sample["v"].combine_chunks()), sample["entry"].to_numpy()
+    books = [fit_codebook(x[:drawn, :half], centroids), fit_codebook(x[:drawn, half:], centroids)]
+    width = len(books[1])
 
     def assign(batches):
         import pyarrow as pa
@@ -153,22 +202,28 @@ def nearest_neighbours(
             if batch.num_rows:
                 m = _matrix(batch.column("v"))
                 for i, (name, part) in enumerate((("c1", m[:, :half]), ("c2", m[:, half:]))):
-                    batch = batch.append_column(name, pa.array(squared_distances(part, books[i]).argmin(1), pa.int32()))
+                    batch = batch.append_column(name, pa.array(nearest_centroids(part, books[i]), pa.int32()))
                 yield batch
 
     index = map_batches(entries, assign, "v array<double>, entry long, ids array<long>, c1 int, c2 int")
     index = materialise(index, "ann-index")
 
-    import numpy as np
-
-    counts = np.zeros((len(books[0]), len(books[1])), np.int64)  # bounded by the codebooks
+    counts = np.zeros((len(books[0]), width), np.int64)  # bounded by the codebooks
     for r in index.groupBy("c1", "c2").count().collect():
         counts[r["c1"], r["c2"]] = r["count"]
-    blocks = [max(1, -(-int(n) // BLOCK)) for n in counts.sum(1)]
-    block_count = F.element_at(F.array(*[F.lit(n) for n in blocks]), F.col("c1") + 1)
+    if share is None:
+        probes, its_names = x[-PROBES:], names[-PROBES:]  # past the sample where there are more entries
+        targets = neighbours_of_probes(index, probes, its_names, k).collect()  # k rows a probe
+        share = needed_share(probes, books, half, counts, targets, min(STRICT, RECALL + 0.5 / max(1, n_asked) ** 0.5))
+
+    sizes = counts.sum(1)
+    _, group_of = np.unique((np.cumsum(sizes) - sizes) // BLOCK, return_inverse=True)  # of each first centroid
+    first_of = np.searchsorted(group_of, np.arange(group_of[-1] + 1))  # a group's first centroid
+    spans = np.bincount(group_of) * width
+    blocks = [max(1, -(-int(n) // BLOCK)) for n in np.bincount(group_of, weights=sizes)]
+    of_centroid = lambda values: F.element_at(F.array(*[F.lit(int(n)) for n in values]), F.col("c1") + 1)
+    block_count = F.element_at(F.array(*[F.lit(n) for n in blocks]), F.col("group") + 1)
 
-    asked = valid.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
-    asked = materialise(asked.join(entries.select("v", "entry"), "v").select("query_id", "entry"), "ann-queries")
     queries = index.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "v")
     n_queries = queries.count()
     query_blocks = max(1, -(-n_queries // BLOCK))
@@ -184,19 +239,23 @@ def nearest_neighbours(
             first, second = squared_distances(m[:, :half], books[0]), squared_distances(m[:, half:], books[1])
             rows = []
             for q, v, a, b in zip(batch.column("entry").to_pylist(), batch.column("v").to_pylist(), first, second, strict=True):
-                cells: dict[int, np.ndarray] = {}
-                for i, j in walk(a, b, counts, wanted):
-                    cells.setdefault(i, np.zeros(len(b), np.uint8))[j] = 1
-                rows += [(q, v, i, np.packbits(bits).tobytes()) for i, bits in cells.items()]
+                met = np.array(walk(a, b, counts, wanted))
+                group = group_of[met[:, 0]]
+                place = (met[:, 0] - first_of[group]) * width + met[:, 1]
+                for g in np.unique(group):
+                    bits = np.zeros(spans[g], np.uint8)
+                    bits[place[group == g]] = 1
+                    rows.append((q, v, int(g), np.packbits(bits).tobytes()))
             kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["entry", "v", "c1", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["entry", "v", "group", "cells"])
 
-    key = ["c1", "block", "query_block"]
-    plans = map_batches(queries.repartition(max(1, -(-n_queries // QUERIES_A_TASK)), "entry"), plan, "entry long, v array<double>, c1 int, cells binary")
+    key = ["group", "block", "query_block"]
+    plans = map_batches(queries.repartition(max(1, -(-n_queries // QUERIES_A_TASK)), "entry"), plan, "entry long, v array<double>, group int, cells binary")
     left = plans.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1))).withColumn(
         "query_block", F.pmod(F.xxhash64("entry"), F.lit(query_blocks)).cast("int")
     )
-    right = index.withColumn("block", F.pmod(F.xxhash64("entry"), block_count).cast("int")).withColumn(
+    grouped = index.withColumn("group", of_centroid(group_of)).withColumn("cell", ((F.col("c1") - of_centroid(first_of[group_of])) * width + F.col("c2")).cast("int"))
+    right = grouped.drop("c1", "c2").withColumn("block", F.pmod(F.xxhash64("entry"), block_count).cast("int")).withColumn(
         "query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     )
 
@@ -206,11 +265,11 @@ def nearest_neighbours(
         out_q, out_id, out_d = [], [], []
         if asking.num_rows and held.num_rows:
             v = _matrix(held.column("v").combine_chunks())
-            c2 = held.column("c2").to_numpy()
+            cell = held.column("cell").to_numpy()
             ids = held.column("ids").to_pylist()
             q = _matrix(asking.column("v").combine_chunks())
             for name, x, cells in zip(asking.column("entry").to_pylist(), q, asking.column("cells").to_pylist(), strict=True):
-                met = np.flatnonzero(np.unpackbits(np.frombuffer(cells, np.uint8))[c2])
+                met = np.flatnonzero(np.unpackbits(np.frombuffer(cells, np.uint8))[cell])
                 if not len(met):
                     continue
                 d = np.sqrt(((v[met] - x) ** 2).sum(1))
@@ -226,11 +285,15 @@ def nearest_neighbours(
     ship(spark)
     met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rerank, "entry long, vec_id long, score double")
     nearest = Window.partitionBy("entry").orderBy("score", "vec_id")
-    best = met.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= k + 1).drop("turn")
+    best = met.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= k + 1)
+    best = best.groupBy("entry").agg(F.collect_list(F.struct("score", "vec_id")).alias("found"))  # at most k + 1
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
-        asked.join(best, "entry")
+        join_to_one(asked, best, ["entry"])
+        .select("query_id", F.inline("found"))
         .where("vec_id <> query_id")
+        .groupBy("query_id", "vec_id")
+        .agg(F.min("score").alias("score"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

@@ -76,7 +76,8 @@ def test_sharding(docs, rows, empty):
     assert shard_by_bytes(empty).count() == 0
 
 
-def test_nearest_neighbours(spark):
+def test_nearest_neighbours(spark, monkeypatch):
+    from panelspark.llm import multi_index
     from panelspark.llm.multi_index import nearest_neighbours, walk
 
     rng = np.random.default_rng(3)
@@ -99,6 +100,17 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours(few).count() == 3
     assert nearest_neighbours(frame.limit(0)).count() == 0
 
+    monkeypatch.setattr(multi_index, "BLOCK", 16)  # groups of centroids, fuller ones in blocks, queries in blocks
+    parts = {tuple(sorted((r.query_id, r["rank"], r.vec_id) for r in nearest_neighbours(frame, every=10, centroids=c, share=1.0).collect())) for c in (1, 3, 8, 64)}
+    assert parts == {tuple((q, n, i) for q in sorted(got) for n, i, _ in got[q])}
+    found = nearest_neighbours(frame, every=10).collect()
+    right = {(q, i) for q in got for _, i, _ in got[q]}
+    assert len(found) == len(right) and len({(r.query_id, r.vec_id) for r in found} & right) > 0.95 * len(right)
+
+    twice = [(0, [0.0, 1.0]), (0, [0.0, 1.0]), (0, [9.0, 0.0]), (1, [0.0, 2.0]), (2, [9.0, 0.5]), (2, [0.0, 4.0]), (100, [0.0, 1.0])]
+    twice = nearest_neighbours(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), k=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in twice] == [(0, 1, 100, 0.0), (0, 2, 2, 0.5), (100, 1, 0, 0.0), (100, 2, 1, 1.0)]
+
     a, b, counts = rng.random(5), rng.random(6), np.ones((5, 6), int)
     order = [a[i] + b[j] for i, j in walk(a, b, counts, 30)]
     assert len(order) == 30 and order == sorted(order)
