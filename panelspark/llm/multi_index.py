@@ -61,25 +61,35 @@ def nearest_centroids(x, c, rows: int = 4096):
 
 
 def walk(first, second, counts, wanted: int) -> list[tuple[int, int]]:
-    """Pairs of centroids by summed distance until their cells hold ``wanted`` entries."""
+    """Pairs of centroids by summed distance until their cells hold ``wanted`` entries; empty cells are left out.
+
+    The heap holds the next cell of every row that is open, and the next row by its nearest corner,
+    place -1, which opens before any cell of it is due.
+    """
     import numpy as np
 
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    x, y = first[a].tolist(), second[b].tolist()
-    held: list[list[int]] = [[]] * len(x)  # of each row, in the order of the walk, once it is met
-    heap, seen, out = [(x[0] + y[0], 0, 0)], [-1] * len(x), []  # seen: how far each row has been met
+    x, y = first[a], second[b]
+    heap, rows, out = [(x[0] + y[0], 0, -1)], {}, []
     while heap and wanted > 0:
-        _, i, j = heapq.heappop(heap)
-        seen[i] = j
-        if j == 0:
-            held[i] = counts[a[i], b].tolist()
-        if held[i][j]:
-            wanted -= held[i][j]
-            out.append((int(a[i]), int(b[j])))
-        if j + 1 < len(y) and (i == 0 or seen[i - 1] > j):
-            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
-        if i + 1 < len(x) and seen[i + 1] == j - 1:
-            heapq.heappush(heap, (x[i + 1] + y[j], i + 1, j))
+        _, i, j = heap[0]
+        if j < 0:
+            heapq.heappop(heap)
+            held = counts[a[i], b]
+            full = np.flatnonzero(held)
+            if len(full):
+                rows[i] = ((x[i] + y[full]).tolist(), [(int(a[i]), c) for c in b[full].tolist()], held[full].tolist())
+                heapq.heappush(heap, (rows[i][0][0], i, 0))
+            if i + 1 < len(x):
+                heapq.heappush(heap, (x[i + 1] + y[0], i + 1, -1))
+            continue
+        sums, cells, held = rows[i]
+        wanted -= held[j]
+        out.append(cells[j])
+        if j + 1 < len(sums):
+            heapq.heapreplace(heap, (sums[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
     return out
 
 
