@@ -2,8 +2,8 @@
 
 A vocabulary file's ids of a text are those of its pieces one after another, if it is cut
 only where no token can span the cut. Words come back often, so each Python worker keeps
-the ids of the pieces it has met; the library encodes each new piece. Files with other rules
-than the two kinds below are encoded text by text.
+the ids of the pieces it has met; the library encodes each new piece, words of byte-level
+files many in one string. Files with other rules than the two kinds below are encoded text by text.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -27,6 +28,7 @@ _BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 KEPT_PIECES = 500_000
 KEPT_LENGTH = 64
 BATCH_BYTES = 4_000_000
+RUN_PIECES = 1 << 18
 
 
 class Recent(dict):
@@ -112,24 +114,27 @@ class Encoder:
         self.model = self.tokenizer.model
         self.split = splitter(config)
         self.specials = [x["content"] for x in config.get("added_tokens", [])]
-        self.kept, self.spaced = Recent(), Recent()  # pieces as they are; words behind a blank
+        self.kept, self.spaced = Recent(), Recent()  # pieces as they are; words behind a blank, or with the line end before them
         self.lower = self.split is words  # such vocabularies take letters as lower-case ones
         self.shown = dict(enumerate(byte_characters()))
         self.marks = dict(zip(("", ",", "."), self._library(["", ",", "."]), strict=True))
+        if self.split is cut_before_spaces:
+            self.line_end = self._library(["\n"])[0]
+            self.bare = Tokenizer(self.model)  # takes byte characters as they are
+            merged = set("".join(t for t in config["model"]["vocab"] if len(t) > 1))
+            self.apart = next((c for c in map(self.shown.get, range(32)) if c not in merged), None)  # never in a letter
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [little_endian(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str, blank: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         """Of a word of Latin letters, which is one piece to the library's pre-tokenizers, by its model alone."""
         if not word.isascii():
             word = word.encode("utf-8").decode("latin-1").translate(self.shown)
-        if blank:
-            word = self.shown[32] + word
         return little_endian([t.id for t in self.model.tokenize(word)])
 
-    def _learn(self, kept: Recent, pieces: list[set], blank: str = "") -> list[str]:
-        """Keep the ids of pieces that are new, each with ``blank`` before it."""
+    def _learn(self, kept: Recent, pieces: list[set]) -> list[str]:
+        """Keep the ids of pieces that are new."""
         kept.trim()
         new: set[str] = set().union(*pieces)
         new.difference_update(kept)
@@ -144,14 +149,14 @@ class Encoder:
             if word.isalpha() and (word.isascii() or max(word) < "\u0180" and p.isascii() is False and unicodedata.is_normalized("NFC", p)):
                 ids = kept.get(word) or old.get(word)
                 if ids is None:
-                    ids = kept[word] = self._word(word, blank)
+                    ids = kept[word] = self._word(word)
                 if word != p:
                     kept[p] = ids + marks[mark]
             else:
                 unknown.append(p)
         for at in range(0, len(unknown), 10_000):
             part = unknown[at : at + 10_000]
-            kept.update(zip(part, self._library([blank + p for p in part] if blank else part), strict=True))
+            kept.update(zip(part, self._library(part), strict=True))
         return [p for p in fresh if len(p) > KEPT_LENGTH]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -174,37 +179,93 @@ class Encoder:
 
     def _plain_lines(self, texts: list[str]) -> list[bytes]:
         """Texts whose white space stands alone are cut at blanks and line ends, others piece by piece."""
-        cut: list[list] = []  # of each text: a first piece, the words behind blanks, the next line's first, ...
-        starts, behind = set(), set()
-        for t in texts:
-            parts: list = []
-            if _RUN.search(t) or t[-1:].isspace() or not t:
-                ps = cut_before_spaces(t)
-                starts.update(ps)
-                parts = [(p, ()) for p in ps]
-            else:
-                end = ""
-                for line in t.split("\n"):
-                    first, *rest = line.split(" ")
-                    starts.add(first := end + first)
-                    behind.update(rest)
-                    parts.append((first, rest))
-                    end = "\n"
-            cut.append(parts)
-        long = [(self.kept, p) for p in self._learn(self.kept, [starts])]
-        long += [(self.spaced, p) for p in self._learn(self.spaced, [behind], " ")]
-        kept, spaced = self.kept, self.spaced
-        out = []
-        for parts in cut:
-            ids = []
-            for first, rest in parts:
-                ids.append(kept[first])
-                ids += [spaced[p] for p in rest]
-            out.append(b"".join(ids))
-        for where, p in long:
-            where.pop(p, None)
+        lone = [bool(t) and not t[-1].isspace() and not _RUN.search(t) for t in texts]
+        done = iter(self._lone_spaces([t for t, x in zip(texts, lone, strict=True) if x]) if any(lone) else ())
+        rest = iter(self._pieces([t for t, x in zip(texts, lone, strict=True) if not x]) if not all(lone) else ())
+        return [next(done if x else rest) for x in lone]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        pieces = [cut_before_spaces(t) for t in texts]
+        long = self._learn(self.kept, [set(p) for p in pieces])
+        kept = self.kept
+        out = [b"".join([kept[p] for p in ps]) for ps in pieces]
+        for p in long:
+            kept.pop(p, None)
         return out
 
+    def _lone_spaces(self, texts: list[str]) -> list[bytes]:
+        """Each text gets a line end before it, so that a piece is behind a blank or begins with its line end."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lines = pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string())
+        cut = pc.split_pattern(lines, " ")
+        pieces = cut.values.dictionary_encode()
+        ids = self._behind(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = pieces.indices.to_numpy()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        places, known = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        out = np.empty(ends[-1], "<u4")
+        for i in range(0, len(codes), RUN_PIECES):
+            j = min(i + RUN_PIECES, len(codes))
+            shift = places[codes[i:j]] - ends[i:j]
+            out[ends[i] : ends[j]] = known[np.repeat(shift, np.diff(ends[i : j + 1])) + np.arange(ends[i], ends[j])]
+        bounds = ends[cut.offsets.to_numpy()].tolist()
+        return [out[a + 1 : b].tobytes() for a, b in zip(bounds, bounds[1:])]  # without that line end
+
+    def _behind(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, behind a blank or with the line end that they begin with."""
+        kept = self.spaced
+        kept.trim()
+        ids = [*map(kept.get, pieces)]
+        old, marks = kept.old, self.marks
+        fresh, stems, other, learned = [], [], [], {}
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            p = pieces[i]
+            if (x := old.get(p)) is not None:
+                ids[i] = kept[p] = x
+                continue
+            stem = p[:-1] if p[-1:] in marks else p
+            word = stem[1:] if stem[:1] == "\n" else stem
+            if self.apart and word.isalpha() and (word.isascii() or max(word) < "\u0180"):
+                fresh.append(i)
+                stems.append(stem)
+                if stem not in kept and stem not in old:
+                    learned[stem] = b""
+            else:
+                other.append(i)
+        new = [*learned]
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            learned.update(zip(part, self._letters(part), strict=True))
+        for i, stem in zip(fresh, stems, strict=True):
+            ids[i] = (learned.get(stem) or kept.get(stem) or old[stem]) + marks[pieces[i][len(stem) :]]
+        for at in range(0, len(other), 10_000):
+            places = other[at : at + 10_000]
+            lines = [pieces[i][1:] if pieces[i][:1] == "\n" else " " + pieces[i] for i in places]
+            for i, x in zip(places, self._library(lines), strict=True):
+                ids[i] = self.line_end + x if pieces[i][:1] == "\n" else x
+        for p, x in chain(learned.items(), ((pieces[i], ids[i]) for i in chain(fresh, other))):
+            if len(p) <= KEPT_LENGTH:
+                kept[p] = x
+        return ids
+
+    def _letters(self, stems: list[str]) -> list[bytes]:
+        """The ids of words of Latin letters by the model alone, many in one string, set apart by a byte that merges with none."""
+        import numpy as np
+
+        table = np.array([ord(c) for c in self.shown.values()], "<u4")
+        table[10] = ord(self.apart)
+        lines = [s[1:] if s[0] == "\n" else " " + s for s in stems]
+        groups = ["\n".join(lines[i : i + 64]) + "\n" for i in range(0, len(lines), 64)]
+        texts = [table[np.frombuffer(g.encode("utf-8"), np.uint8)].tobytes().decode("utf-32-le") for g in groups]
+        packed = b"".join([little_endian(x.ids) for x in self.bare.encode_batch_fast(texts, add_special_tokens=False)])
+        cuts = 4 * np.flatnonzero(np.frombuffer(packed, "<u4") == self.model.token_to_id(self.apart))
+        out = [packed[a:b] for a, b in zip([0, *(cuts[:-1] + 4).tolist()], cuts.tolist(), strict=True)]
+        return [self.line_end + x if s[0] == "\n" else x for s, x in zip(stems, out, strict=True)]
+
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:

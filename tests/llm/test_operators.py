@@ -241,6 +241,41 @@ def test_encoders_equal_the_library(name):
     assert [own.decode(np.array(x, "<u4").tobytes()) for x in want] == [library.decode(x, skip_special_tokens=False) for x in want]
 
 
+def test_new_words_go_to_the_library_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from panelspark.llm import tokens as t
+
+    r = random.Random(6)
+    path = t.vocabulary_path("byte_bpe_50k.json")
+    library, cached = Tokenizer.from_file(path), t.Encoder(path)
+    cached.spaced.most = 2000  # words met before are given up and met again
+    monkeypatch.setattr(t, "RUN_PIECES", 1000)
+    calls = Counter()
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            calls[name] += 1
+            return getattr(self.of, name)
+
+    cached.model, cached.tokenizer = Counted(cached.model), Counted(cached.tokenizer)
+    letters = "abcdefghijklmnopqrstuvwxyzABCéñßÿªºİſſı"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.choice((1, 3, 8, 90))))
+    plain = ["".join(word() + r.choice((" ", ", ", ". ", "\n", ".\n")) for _ in range(500)) + "end" for _ in range(10)]
+    odd = ["),", "'s", "1a", "\x00", "\xffĀ", "a\tb", "x\x85y", "漢字", "ǆ", "é\u0301", "--", ".", ",", "don't", "a.,"]
+    texts = [*plain, *plain[:3]]
+    texts += ["".join(r.choice(odd + [word()]) + r.choice((" ", "\n", "  ", ", ")) for _ in range(40)) + r.choice(("z", "")) for _ in range(200)]
+    texts += ["", " a", "\na", "\ta b", "\t\tb c", "\n", "a ", "a\x1c", "a\x1cb c", ",", ". .", "\n, a"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    got = [x for i in range(0, 10, 2) for x in cached.encode(plain[i : i + 2])]
+    assert got == want[:10] and sum(calls.values()) < 100  # of over 2,000 new words
+    for i in range(0, len(texts), 5):
+        assert cached.encode(texts[i : i + 5]) == want[i : i + 5]
+
+
 def test_bpe_query_rows(docs, rows, empty):
     from panelspark.llm.bpe import encode_and_decode, vocabulary
     from panelspark.llm.tokens import vocabulary_path
