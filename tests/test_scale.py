@@ -203,6 +203,27 @@ def test_a_loss_of_everything(spark):
     assert flat.count() == 0
 
 
+@pytest.mark.parametrize("name", ["b12_equity_curve"])
+def test_growth_that_a_double_holds_without_the_capital(spark, monkeypatch, name):
+    """A unit grows to 1e305, so a million of them are too many for a double; logs and ratios are of the unit."""
+    from panelspark.plans import evaluation
+
+    day = 305 / 95  # decades
+    bars = _prices(spark, {stock: [10 ** (day * i - 100) for i in range(99)] for stock in range(5)}).withColumn("v", F.lit(1.0))
+    found = bars.select("stock", "d", F.lit(1.0).alias("y"), (F.col("stock") / 10).alias("p"))
+    monkeypatch.setattr(evaluation, "scored", lambda spark, d: found)
+    monkeypatch.setattr(evaluation.T, "nation_bars", lambda spark, d: bars)
+    curve = evaluation.QUERIES[name](spark, "").orderBy("d").collect()
+    logs = [c for c in ("log_equity", "log_benchmark", "strategy", "benchmark", "baseline") if c in curve[0]]
+    assert len(curve) == 19 and len(logs) >= 2
+    assert all(abs(r[c] - 5 * day * (i + 1) * math.log(10)) < 0.01 for i, r in enumerate(curve) for c in logs)
+    if name == "b12_equity_curve":
+        config = B.Config()
+        held, own = evaluation.curve_of(spark, "", config)
+        metrics = B.metrics(own, B.trades(held, config), config).first()
+        assert 1e304 < metrics.cumulative_return < 1e306 and metrics.max_drawdown == 0.0 and math.isfinite(metrics.excess_return)
+
+
 def test_every_setting_of_a_sweep_equals_its_own_run(spark):
     r = random.Random(9)
     closes = {s: [50.0] for s in range(9)}
