@@ -203,7 +203,7 @@ def test_a_loss_of_everything(spark):
     assert flat.count() == 0
 
 
-@pytest.mark.parametrize("name", ["b12_equity_curve", "b18_two_strategies"])
+@pytest.mark.parametrize("name", ["b12_equity_curve", "b18_two_strategies", "b8_inverse_volatility"])
 def test_growth_that_a_double_holds_without_the_capital(spark, monkeypatch, name):
     """A unit grows to 1e305, so a million of them are too many for a double; logs and ratios are of the unit."""
     from panelspark.plans import evaluation
