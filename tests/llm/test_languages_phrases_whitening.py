@@ -145,6 +145,49 @@ def test_collocations_of_nothing(spark):
     assert collocations(empty).count() == 0 and collocations(few).count() == 0
 
 
+def test_shards_stay_bounded_within_a_batch(monkeypatch):
+    """A batch whose sequences all pass comes in many shards, none much larger than it may be, and loses nothing."""
+    import pyarrow as pa
+
+    from panelspark.llm import phrases as P
+    from panelspark.llm.automata import Transducer
+
+    class Passes:
+        value = b"\xff" * (1 << 13)
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randrange(60)) for _ in range(400)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "fr"] * 10), pa.array([t.encode() for t in texts], pa.binary())], names=["lang", "text"])
+    want = Counter()
+    for i, t in enumerate(texts):
+        w = t.encode().split()
+        want.update((b"fr" if i % 2 else b"en", *w[j : j + k]) for k in range(1, 6) for j in range(len(w) - k + 1))
+    for most, words in ((1000, 300_000), (300_000, 100)):
+        monkeypatch.setattr(P, "SHARD_SEQUENCES", most)
+        monkeypatch.setattr(P, "SHARD_WORDS", words)
+        monkeypatch.setattr(P, "ADDED_SEQUENCES", 500, raising=False)
+        got, sizes = Counter(), []
+        for shard in P._shards(16, [Passes, Passes])(iter([batch])):
+            sizes += shard.column("keys").to_pylist()
+            found = list(Transducer.from_bytes(shard.column("data")[0].as_py()).items())
+            assert len(found) == sizes[-1] and found == sorted(found)
+            got.update(dict(found))
+        assert got == want and max(sizes) <= (1500 if most == 1000 else len(want)) and len(sizes) > 1
+
+
+def test_buckets_are_counted_in_parts(monkeypatch):
+    """Buckets that a task sends in several parts, with counts over a byte, pass where their sum is enough."""
+    from panelspark.llm import phrases as P
+
+    r = np.random.default_rng(3)
+    buckets = (r.random(40_000) ** 4 * (1 << 18)).astype(np.uint32)
+    rows = sorted(row for part in np.array_split(buckets, 7) for row in P._encoded(np.sort(part), 400))
+    found = [(b.column("chunk")[0].as_py(), b.column("data")[0].as_py()) for b in P._add_chunks(400)(iter([P._chunk_rows([(None, None, *row)]) for row in rows]))]
+    assert [c for c, _ in found] == sorted({c for c, _ in rows}) and len(found) > 1
+    got = {(c << P.CHUNK_BITS) + i for c, bits in found for i in np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")).tolist()}
+    assert got == {b for b, n in Counter(buckets.tolist()).items() if n >= 400} and got
+
+
 def test_transducers_are_minimal_and_exact():
     from panelspark.llm.automata import Transducer, union
 
